@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
+from .bpe import encode_texts
 from .lookalike import canonical_texts, look_alike_pairs
 from .split import split_oversized
 
@@ -29,7 +30,17 @@ def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(table(spark, d, "regions", ["region_key", "text"])).drop("text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p5_found": p5_found, "p5_canonical": p5_canonical}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode_texts(table(spark, d, "documents", ["doc_id", "text"]))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p5_found": p5_found,
+    "p5_canonical": p5_canonical,
+    "p6_ids": p6_ids,
+}
 SQL = {
     # white space as the splitter takes it off: the separators 1C-1F beside the Unicode white space
     "p2_found": r"""
