@@ -22,12 +22,12 @@ def lists(values: np.ndarray, counts: list[int] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``function`` on each batch that has rows."""
+def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` on slices of at most ``rows`` rows, so that what it needs beside a slice stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield function(batch)
+            for at in range(0, batch.num_rows, rows):
+                yield function(batch.slice(at, rows))
 
     return run

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .bpe import encode_texts
+from .leaks import item_report, leaked_items
 from .lookalike import canonical_texts, look_alike_pairs
 from .split import split_oversized
 
@@ -34,12 +35,26 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_texts(table(spark, d, "documents", ["doc_id", "text"]))
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    return item_report(_leaks(spark, d), table(spark, d, "eval_items"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
+    "p7_found": p7_found,
+    "p7_items": p7_items,
 }
 SQL = {
     # white space as the splitter takes it off: the separators 1C-1F beside the Unicode white space
