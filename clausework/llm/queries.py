@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from .bpe import encode_texts
+from .language import foreign_languages, language_segments
 from .leaks import item_report, leaked_items
 from .lookalike import canonical_texts, look_alike_pairs
 from .split import split_oversized
@@ -47,6 +48,14 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return item_report(_leaks(spark, d), table(spark, d, "eval_items"))
 
 
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language_segments(table(spark, d, "documents", ["doc_id", "text", "lang", "source"]))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return foreign_languages(p8_segments(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
@@ -55,6 +64,8 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_found": p7_found,
     "p7_items": p7_items,
+    "p8_found": p8_found,
+    "p8_segments": p8_segments,
 }
 SQL = {
     # white space as the splitter takes it off: the separators 1C-1F beside the Unicode white space
