@@ -10,6 +10,7 @@ from .bpe import encode_texts
 from .language import foreign_languages, language_segments
 from .leaks import item_report, leaked_items
 from .lookalike import canonical_texts, look_alike_pairs
+from .scans import repair_scans
 from .split import split_oversized
 
 
@@ -23,6 +24,18 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunks", ["chunk_id", "text"]))
 
 
+CHUNK_COLUMNS = ["chunk_id", "text", "is_table", "regulation_id", "regulation_name"]
+
+
+def p4_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repair_scans(table(spark, d, "chunks", CHUNK_COLUMNS)).select("chunk_id", F.array_join("noise", "+").alias("noise"), "text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each chunk and kind of noise in it."""
+    return repair_scans(table(spark, d, "chunks", CHUNK_COLUMNS)).select("chunk_id", F.explode("noise").alias("noise")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = look_alike_pairs(table(spark, d, "regions", ["region_key", "source_sha256", "text"]))
     return pairs.select(F.col("key_1").alias("region_key_1"), F.col("key_2").alias("region_key_2"))
@@ -59,6 +72,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p4_found": p4_found,
+    "p4_repaired": p4_repaired,
     "p5_found": p5_found,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
