@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from difflib import SequenceMatcher
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from .arrow import per_batch
 #: A line is a header of its document if it stands alone in so many chunks of it.
 HEADER_CHUNKS = 2
 #: Part of a header's letters that a cut-off line must still have; likeness that a garbled one must have.
-HEADER_PART, HEADER_LIKE = 0.55, 0.88
+HEADER_PART, HEADER_LIKE = 0.45, 0.88
 #: Words with at least this share of all words are known; there are at most 1 / share of them, which bounds what is sent out.
 KNOWN_SHARE = 2e-6
 #: How many times more frequent the right word must be: for look-alike letters, and for any one letter.
@@ -28,20 +29,23 @@ LEAST_COUNT = 15
 SALTS = 16
 #: What a scanner writes for one letter. First groups of signs, then single signs, then letters of
 #: the same alphabet that resemble each other.
-GROUPS = [("l-l", "н"), ("rn", "м"), ("ii", "й"), ("io", "ю"), ("ьi", "ы"), ("/i", "л"), ("|1", "и"), ("|", "л")]
+GROUPS = [(")(", "ж"), ("l-l", "н"), ("rn", "м"), ("ii", "й"), ("io", "ю"), ("ьi", "ы"), ("/i", "л"), ("|1", "и"), ("|", "л")]
 SINGLES = dict(zip("0873465acekmopxyhtbiA", "овтзчбзасекморхунтвіа", strict=False)) | {"5": "б", "9": "д"}
 ALIKE = [("и", "н"), ("с", "е"), ("л", "п"), ("м", "н"), ("г", "т"), ("д", "л"), ("ц", "п"), ("ш", "щ"), ("з", "э"), ("ь", "ъ"), ("о", "а"), ("н", "п"), ("и", "й"), ("б", "в"), ("ё", "е")]
-_PAGE = re.compile(r"^\W*(?:(?:стр|страница|с|лист|л|page|p|seite|бет)\b\.?\s*)?\W*\d{1,5}\W*(?:(?:из|of|von|/)\s*\d{1,5}\W*)?$", re.IGNORECASE)
-_NOT_PAGE = re.compile(r"\d[.,:;]\d|\d\s*[.,;:%°]\s*$|^\s*\d+\)")
+_PAGE = re.compile(
+    r"^\s*(?P<open>[-–—\[(]\s*)?(?:(?:стр|страница|с|лист|л|page|p|seite|бет)\b\.?\s*)?\d{1,4}(?:\s*(?:из|of|von)\s*\d{1,4}|\s+/\s+\d{1,4})?(?P<close>\s*[-–—\])])?\s*$",
+    re.IGNORECASE,
+)
 _NUMBER_LEFT = re.compile(r"^\d{1,5}\s{2,}")
 _NUMBER_RIGHT = re.compile(r"\s{2,}(?:(?:стр|страница|с|лист|л|page|p)\b\.?\s*)?\d{1,5}$", re.IGNORECASE)
 _ENDS = re.compile(r"[.;:!?,»)]\s*$")
-_TITLE_START = re.compile(r"^[«\"„(]?[^\W\d_a-zа-яё]")
+_STOP = re.compile(r"[.!?:]\s*$")
+_TITLE_START = re.compile(r"^[«\"„(]?(?=[^\W\d_a-zа-яё])[^\W\d_]{2,}(?!\w)|^[«\"„(]?[^\W\d_a-zа-яё] ")
 _DIVIDED = re.compile(r"([^\W\d_]+)[-¬‐­]\s*$")
 _CONTINUES = re.compile(r"^\s*[^\W_]?[a-zа-яё|/0-9]")
-_WORD = re.compile(r"[^\s«»\"“”„(),;:!?]+")
+_WORD = re.compile(r"(?:\)\((?=\w)|[^\s«»\"“”„(),;:!?])+")
 _CYRILLIC = re.compile("[а-яё]")
-_STRANGE = re.compile("[a-z0-9|/]")
+_STRANGE = re.compile("[a-z0-9|/()]")
 _ENTRY = re.compile(r"^\s*(?:\d+(?:\.\d+)*[.)]|[а-яёa-z]\)|[-–—•]\s|Приложение\b)")
 _WITHIN = {}
 for _a, _b in ALIKE:
@@ -51,7 +55,8 @@ for _a, _b in ALIKE:
 
 def is_page_line(line: str) -> bool:
     """A line that holds a page number only, with or without words for page, bars or brackets."""
-    return bool(_PAGE.match(line)) and not _NOT_PAGE.search(line)
+    m = _PAGE.match(line)
+    return m is not None and (m["open"] is None) == (m["close"] is None)
 
 
 def header_key(line: str) -> str:
@@ -67,27 +72,29 @@ def _letters(text: str) -> str:
 def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int]]:
     """For each key that could be a header: (occurrences, those that stand alone).
 
-    A line stands alone if the text does not flow through it: it ends without a stop although there was room for
-    the next word, or it is the last line. The first line of a table is its own head, and a line of cells is none.
+    A line stands alone if the text does not flow through it. It does flow where a stop ends the line or there was
+    no room for the next word, and where the line starts a sentence that the next line goes on with. The first
+    line of a table is its own head, and a line of cells is none. A page number beside it sets a line apart.
     """
     lines = text.split("\n")
-    width = max(map(len, lines))
-    out: dict[str, tuple[int, int]] = {}
     content = [i for i, line in enumerate(lines) if line.strip() and not is_page_line(line)]
+    width = median(len(lines[i]) for i in content) if content else 0
+    out: dict[str, tuple[int, int]] = {}
     for n, i in enumerate(content):
         line = lines[i].strip()
-        if "|" in line or not 8 <= len(line) <= 150 or not _TITLE_START.match(_NUMBER_LEFT.sub("", line)):
+        bare = _NUMBER_RIGHT.sub("", _NUMBER_LEFT.sub("", line))
+        if "|" in line or not 8 <= len(line) <= 150 or not _TITLE_START.match(bare):
             continue
-        alone = not (n == 0 and is_table)
-        if alone:
-            bare = _NUMBER_RIGHT.sub("", line)
-            if _ENDS.search(bare) and not bare.startswith("«"):
-                alone = False
-            elif n + 1 < len(content):
-                following = lines[content[n + 1]].split()
-                alone = bool(bare != line or _NUMBER_LEFT.match(line)) or len(line) + 1 + len(following[0]) <= width
-        a, b = out.get(header_key(line), (0, 0))
-        out[header_key(line)] = a + 1, b + alone
+        numbered = bare != line
+        alone = not (n == 0 and is_table) and (numbered or not _ENDS.search(bare) or bare.startswith("«"))
+        if alone and n + 1 < len(content) and not numbered:
+            following = lines[content[n + 1]].strip()
+            before = lines[content[n - 1]] if n else ""
+            sentence = (not n or _STOP.search(before)) and following[:1].islower() and not _ENTRY.match(following)
+            alone = "|" in following or (not sentence and len(line) + 1 + len(following.split()[0]) <= width)
+        key = header_key(line)
+        a, b = out.get(key, (0, 0))
+        out[key] = a + 1, b + alone
     return out
 
 
@@ -161,7 +168,7 @@ def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str],
 
 
 def words_in(text: str) -> list[str]:
-    """Words with a Cyrillic or Latin letter as written, in lower case, signs inside kept."""
+    """Words with a letter, in lower case, signs inside kept."""
     out = []
     for m in _WORD.finditer(text.lower()):
         w = m[0].strip(".-—–'")
@@ -222,15 +229,15 @@ class Reader:
                 n = self.known.get(form, 0)
                 if n >= max(LEAST_COUNT, 2 * count) and n > best_count and not _STRANGE.search(form):
                     best, best_count = form, n
+            if best is None:  # two letters misread in different ways
+                plain = [f for f in self._unscanned(word) if len(f) >= 5 and f.isalpha() and not _STRANGE.search(f)]
+                for right in filter(None, (self._like(f, count) for f in plain)):
+                    if self.known[right] > best_count:
+                        best, best_count = right, self.known[right]
             return best
         if len(word) < 4 or not word.replace("-", "").isalpha():
             return None
-        for i, c in enumerate(word):
-            for other in _WITHIN.get(c, ()):
-                form = word[:i] + other + word[i + 1 :]
-                n = self.known.get(form, 0)
-                if n >= max(LEAST_COUNT, LIKELY * max(count, 1)) and n > best_count:
-                    best, best_count = form, n
+        best = self._like(word, count)
         if best is None and len(word) >= 5:
             for i in range(len(word)):
                 for form in self._holes.get((i, word[:i] + word[i + 1 :]), ()):
@@ -239,6 +246,17 @@ class Reader:
                         best, best_count = form, n
         return best
 
+    def _like(self, word: str, count: int) -> str | None:
+        """The most frequent known word in which one letter is another of the same look, if it is far more frequent."""
+        best, best_count = None, 0
+        for i, c in enumerate(word):
+            for other in _WITHIN.get(c, ()):
+                form = word[:i] + other + word[i + 1 :]
+                n = self.known.get(form, 0)
+                if n >= max(LEAST_COUNT, LIKELY * max(count, 1)) and n > best_count:
+                    best, best_count = form, n
+        return best
+
     @staticmethod
     def _unscanned(word: str) -> set[str]:
         """What the word may have been: groups of signs taken back, alone and together with single signs."""
@@ -262,6 +280,8 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
         raw = m[0]
         core = raw.strip(".-—–'")
         right = reader.right(core.lower()) if len(core) > 1 else None
+        if right is not None and m.start() and m.string[m.start() - 1] in "«\"“„" and not _STRANGE.search(core.lower()):
+            right = None  # a name may be like a word
         if right is None:
             return raw
         kinds.add("misread")
