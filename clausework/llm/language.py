@@ -34,7 +34,7 @@ SPELLINGS = {
     "es": "es spa spanish español espanol castellano",
 }
 #: Labelled documents of each language on which the word model is fitted, at most (in expectation).
-SAMPLE_DOCS = 1500
+SAMPLE_DOCS = 600
 #: Weight, in words, of the character model in the word model; in documents, of the wider prior in a source's.
 WORD_PRIOR, SOURCE_PRIOR = 5.0, 20.0
 #: One word never speaks by more than this for one language against another.
@@ -271,19 +271,20 @@ def language_segments(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> D
         .select("e.doc_id", "e.labelled", "e.n_words", "e.likelihoods", "p.prior")
     )
 
+    label_table = {k: np.array(v) for k, v in label_given.items()}
+
     def fuse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "labelled", "main", "main_confidence", "segment_no", "lang", "confidence", "n_sentences", "longest")}
-        for doc_id, labelled, n_words, flat, prior in zip(*(batch[c].to_pylist() for c in ("doc_id", "labelled", "n_words", "likelihoods", "prior")), strict=True):
-            score = np.array(flat or [], dtype=np.float64).reshape(-1, len(LANGUAGES))
-            base = np.array(label_given[str(labelled)]) + (np.log(prior) if prior else 0.0)
-            segments = _segments(score, n_words or [], base)
-            whole = _posterior(score.sum(axis=0) + base) if score.any() else None
-            for k, (lang, sure, count, longest) in enumerate(segments, 1):
-                row = (doc_id, labelled, LANGUAGES[whole.argmax()] if whole is not None else None, float(whole.max()) if whole is not None else 0.0, k, lang, sure, count, longest)
-                for c, v in zip(out, row, strict=True):
-                    out[c].append(v)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32()]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
+        rows = batch.num_rows
+        counts = np.diff(batch["n_words"].offsets.to_numpy())
+        score = batch["likelihoods"].flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(LANGUAGES))
+        n_words = batch["n_words"].flatten().to_numpy(zero_copy_only=False)
+        prior = np.zeros((rows, len(LANGUAGES)))
+        has = np.flatnonzero(np.asarray(batch["prior"].is_valid()))
+        if len(has):
+            prior[has] = np.log(batch["prior"].flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(LANGUAGES))
+        labels = batch["labelled"].to_pylist()
+        base = prior + np.array([label_table[str(x)] for x in labels])
+        return _fused(batch["doc_id"], labels, counts, n_words, score, base)
 
     return joined.mapInArrow(
         per_batch(fuse),
@@ -292,35 +293,66 @@ def language_segments(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> D
 
 
 def _posterior(log_weight: np.ndarray) -> np.ndarray:
-    w = np.exp(log_weight - log_weight.max())
-    return w / w.sum()
-
-
-def _segments(score: np.ndarray, n_words: list[int], base: np.ndarray) -> list[tuple[str | None, float, int, int]]:
-    """(language, confidence, sentences, words of the longest one) of each run of sentences."""
-    if not len(score) or not score.any():
-        return [(None, 0.0, len(score), max(n_words, default=0))]
-    posterior = [_posterior(x) for x in score + base]
-    order = np.sort(score, axis=1)
-    clear = order[:, -1] - order[:, -2] >= LEAST_EVIDENCE
-    own = [LANGUAGES[p.argmax()] if c else None for p, c in zip(posterior, clear, strict=True)]
-    if not any(own):
-        whole = _posterior(score.sum(axis=0) + base)
-        return [(LANGUAGES[whole.argmax()], float(whole.max()), len(score), max(n_words))]
-    out: list[list] = []
-    for k, lang in enumerate(own):
-        if out and (lang is None or lang == out[-1][0]):
-            out[-1][1].append(k)
-        elif lang is not None:
-            out.append([lang, [k]])
-        elif not out:
-            out.append([next(x for x in own if x), [k]])
-    result = []
-    for lang, members in out:
-        mine = [k for k in members if own[k] == lang]
-        sure = _posterior(score[members].sum(axis=0) + base)[LANGUAGES.index(lang)]
-        result.append((lang, float(sure), len(members), max((n_words[k] for k in mine), default=0)))
-    return result
+    """Probabilities of each row."""
+    w = np.exp(log_weight - log_weight.max(axis=1, keepdims=True))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def _fused(doc_ids: pa.Array, labels: list, counts: np.ndarray, n_words: np.ndarray, score: np.ndarray, base: np.ndarray) -> pa.RecordBatch:
+    """The segments of a batch. ``score``: one row for each sentence; ``base``: prior and label of each document."""
+    rows, size = len(counts), len(LANGUAGES)
+    owner = np.repeat(np.arange(rows), counts)
+    whole = np.zeros((rows, size))
+    np.add.at(whole, owner, score)
+    silent = ~whole.any(axis=1)
+    whole_posterior = _posterior(whole + base)
+    ordered = np.sort(score, axis=1)
+    clear = ordered[:, -1] - ordered[:, -2] >= LEAST_EVIDENCE if len(score) else np.zeros(0, bool)
+    own = np.where(clear, (score + base[owner]).argmax(axis=1), -1) if len(score) else np.zeros(0, int)
+    # a sentence without clear evidence goes with the one before it in its document, the first ones with the next
+    position = np.arange(len(own))
+    last = np.maximum.accumulate(np.where(own >= 0, position, -1)) if len(own) else position
+    first_of = np.concatenate([[0], np.cumsum(counts)])[:-1]
+    follows = last >= first_of[owner] if len(own) else np.zeros(0, bool)
+    after = np.minimum.accumulate(np.where(own >= 0, position, len(own))[::-1])[::-1] if len(own) else position
+    end_of = first_of + counts
+    precedes = after < end_of[owner] if len(own) else np.zeros(0, bool)
+    lang = np.where(follows, own[np.maximum(last, 0)], np.where(precedes, own[np.minimum(after, max(len(own) - 1, 0))], whole_posterior.argmax(axis=1)[owner])) if len(own) else own
+    lang = np.where(silent[owner], -1, lang)
+    begins = np.ones(len(own), bool)
+    begins[1:] = (owner[1:] != owner[:-1]) | (lang[1:] != lang[:-1])
+    at = np.flatnonzero(begins)
+    seg_owner, seg_lang = owner[at], lang[at]
+    n_sentences = np.diff(np.concatenate([at, [len(own)]]))
+    sums = np.add.reduceat(score, at, axis=0) if len(at) else np.zeros((0, size))
+    sure = _posterior(sums + base[seg_owner])[np.arange(len(at)), np.maximum(seg_lang, 0)] if len(at) else np.zeros(0)
+    mine = np.where((own == lang) & (own >= 0) | (~follows & ~precedes), n_words, 0) if len(own) else n_words
+    longest = np.maximum.reduceat(mine, at) if len(at) else np.zeros(0, int)
+    # documents without sentences have one segment of no language
+    bare = np.flatnonzero(counts == 0)
+    seg_owner = np.concatenate([seg_owner, bare])
+    order = np.argsort(seg_owner, kind="stable")
+    seg_owner = seg_owner[order]
+    seg_lang = np.concatenate([seg_lang, np.full(len(bare), -1)])[order]
+    sure = np.where(seg_lang < 0, 0.0, np.concatenate([sure, np.zeros(len(bare))])[order])
+    n_sentences = np.concatenate([n_sentences, np.zeros(len(bare), int)])[order]
+    longest = np.concatenate([longest, np.zeros(len(bare), int)])[order]
+    number = np.arange(len(seg_owner)) - np.searchsorted(seg_owner, seg_owner, "left") + 1
+    names = np.array([*LANGUAGES, None], dtype=object)
+    main = np.where(silent, -1, whole_posterior.argmax(axis=1))
+    main_sure = np.where(silent, 0.0, whole_posterior.max(axis=1))
+    columns = {
+        "doc_id": doc_ids.take(pa.array(seg_owner)),
+        "labelled": pa.array([labels[k] for k in seg_owner.tolist()], pa.string()),
+        "main": pa.array(names[main[seg_owner]].tolist(), pa.string()),
+        "main_confidence": pa.array(main_sure[seg_owner], pa.float64()),
+        "segment_no": pa.array(number, pa.int32()),
+        "lang": pa.array(names[seg_lang].tolist(), pa.string()),
+        "confidence": pa.array(sure, pa.float64()),
+        "n_sentences": pa.array(n_sentences, pa.int32()),
+        "longest": pa.array(longest, pa.int32()),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def foreign_languages(segments: DataFrame, words: int = SENTENCE_WORDS) -> DataFrame:
