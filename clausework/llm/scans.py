@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .arrow import per_batch
 
 #: A line is a header of its document if it stands alone in so many chunks of it.
@@ -41,7 +42,7 @@ _NUMBER_RIGHT = re.compile(r"\s{2,}(?:(?:стр|страница|с|лист|л|
 _ENDS = re.compile(r"[.;:!?,»)]\s*$")
 _STOP = re.compile(r"[.!?:]\s*$")
 _TITLE_START = re.compile(r"^[«\"„(]?(?=[^\W\d_a-zа-яё])[^\W\d_]{2,}(?!\w)|^[«\"„(]?[^\W\d_a-zа-яё] ")
-_DIVIDED = re.compile(r"([^\W\d_]+)[-¬‐­]\s*$")
+_HYPHENS = {"-", "\u00ac", "\u2010", "\u00ad"}
 _CONTINUES = re.compile(r"^\s*[^\W_]?[a-zа-яё|/0-9]")
 _WORD = re.compile(r"(?:\)\((?=\w)|[^\s«»\"“”„(),;:!?])+")
 _CYRILLIC = re.compile("[а-яё]")
@@ -132,7 +133,7 @@ def is_header_line(line: str, headers: list[str], title: str, reverse_title: str
         return True
     letters = _letters(key)
     for known in (title, reverse_title):
-        if len(known) >= 12 and len(letters) >= HEADER_PART * len(known) and (known.startswith(letters) or SequenceMatcher(None, known, letters).ratio() >= HEADER_LIKE + 0.05):
+        if len(known) >= 12 and len(letters) >= HEADER_PART * len(known) and (known.startswith(letters) or _alike(known, letters, HEADER_LIKE + 0.05)):
             return True
     if not _TITLE_START.match(line.strip().lstrip("0123456789 ")):
         return False
@@ -140,19 +141,32 @@ def is_header_line(line: str, headers: list[str], title: str, reverse_title: str
         known = _letters(header)
         if len(letters) >= max(8, HEADER_PART * len(known)) and known.startswith(letters):
             return True
-        if abs(len(known) - len(letters)) <= 0.15 * len(known) and SequenceMatcher(None, known, letters).ratio() >= HEADER_LIKE:
+        if _alike(known, letters, HEADER_LIKE):
             return True
     return False
 
 
+def _alike(known: str, letters: str, least: float) -> bool:
+    """Likeness of at least ``least``; a garbled header still has one of its ends, which spares most lines the comparison."""
+    if abs(len(known) - len(letters)) > 0.15 * len(known) or (known[:5] != letters[:5] and known[-5:] != letters[-5:]):
+        return False
+    return SequenceMatcher(None, known, letters).ratio() >= least
+
+
+def _divided(line: str) -> bool:
+    """True if the line ends with a letter and a hyphen of any kind."""
+    end = line.rstrip()
+    return end[-1:] in _HYPHENS and end[-2:-1].isalpha()
+
+
 def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str], bool]:
     """The lines without noise, divided words joined to the line they begin on; whether there was one."""
     kept = [line for line, kind in zip(lines, noise, strict=True) if kind is None]
     divided, k = False, 0
     while k < len(kept):
-        m = _DIVIDED.search(kept[k])
-        after = next((j for j in range(k + 1, len(kept)) if kept[j].strip()), None)
-        if m and after is not None and _CONTINUES.match(kept[after]):
+        m = _divided(kept[k])
+        after = next((j for j in range(k + 1, len(kept)) if kept[j].strip()), None) if m else None
+        if after is not None and _CONTINUES.match(kept[after]):
             first, _, rest = kept[after].lstrip().partition(" ")
             if _CYRILLIC.search(first.lower()) or not any(c.isdigit() for c in first):
                 divided = True
@@ -161,7 +175,7 @@ def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str],
                     kept[after] = rest
                 else:
                     del kept[after]
-                if _DIVIDED.search(kept[k]):
+                if _divided(kept[k]):
                     continue
         k += 1
     return kept, divided
@@ -192,7 +206,8 @@ def known_words(chunks: DataFrame, share: float = KNOWN_SHARE) -> dict[str, int]
             out.update(words_in("\n".join(kept)))
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
-    counted = chunks.where("text is not null and text <> ''").select("text").mapInArrow(per_batch(count), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = chunks.where("text is not null and text <> ''").select("text").mapInArrow(per_batch(count), "word string, n bigint")
+    counted = cut(words.groupBy("word").agg(F.sum("n").alias("n")))  # read twice
     total = counted.agg(F.sum("n")).first()[0] or 0
     table = counted.where(F.col("n") >= max(1, share * total)).toArrow()
     return dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
@@ -204,6 +219,8 @@ class Reader:
     def __init__(self, known: dict[str, int]):
         self.known = known
         self._memory: dict[str, str | None] = {}
+        #: words as written that stay as they are
+        self.settled: set[str] = set()
         #: word with one letter left out -> known words that have any letter there
         self._holes: dict[tuple[int, str], list[str]] = {}
         for w, n in known.items():
@@ -278,17 +295,23 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
 
     def mend(m: re.Match) -> str:
         raw = m[0]
+        if raw in settled:
+            return raw
         core = raw.strip(".-—–'")
         right = reader.right(core.lower()) if len(core) > 1 else None
-        if right is not None and m.start() and m.string[m.start() - 1] in "«\"“„" and not _STRANGE.search(core.lower()):
+        quoted = m.start() and m.string[m.start() - 1] in "«\"“„"
+        if right is not None and quoted and not _STRANGE.search(core.lower()):
             right = None  # a name may be like a word
         if right is None:
+            if not quoted and len(settled) < 300_000:
+                settled.add(raw)
             return raw
         kinds.add("misread")
         if core[:1].isupper() or (core[:1].isdigit() and m.start() == 0):
             right = right[0].upper() + right[1:]
         return raw.replace(core, right, 1)
 
+    settled = reader.settled
     mended = [_WORD.sub(mend, line) for line in kept]
     paragraphs: list[str] = []
     for line in mended:
