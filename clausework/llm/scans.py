@@ -56,7 +56,7 @@ for _a, _b in ALIKE:
 
 def is_page_line(line: str) -> bool:
     """A line that holds a page number only, with or without words for page, bars or brackets."""
-    m = _PAGE.match(line)
+    m = _PAGE.match(line) if len(line) <= 60 else None
     return m is not None and (m["open"] is None) == (m["close"] is None)
 
 
@@ -126,8 +126,11 @@ def document_headers(chunks: DataFrame) -> DataFrame:
 
 def is_header_line(line: str, headers: list[str], title: str, reverse_title: str) -> bool:
     """One of the document's headers, whole, cut off or garbled; or a line of its number and name only."""
+    first = line.lstrip(" \t0123456789«\"„(")[:1]
+    if not first.isupper() or "|" in line:
+        return False
     key = header_key(line)
-    if len(key) < 8 or "|" in key:
+    if len(key) < 8:
         return False
     if key in headers:
         return True
@@ -183,12 +186,13 @@ def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str],
 
 def words_in(text: str) -> list[str]:
     """Words with a letter, in lower case, signs inside kept."""
-    out = []
-    for m in _WORD.finditer(text.lower()):
-        w = m[0].strip(".-—–'")
-        if len(w) > 1 and any(c.isalpha() for c in w):
-            out.append(w)
-    return out
+    return [w for w in map(_core, _WORD.findall(text.lower())) if w]
+
+
+def _core(raw: str) -> str:
+    """The word in a token, or nothing."""
+    w = raw.strip(".-—–'")
+    return w if len(w) > 1 and any(map(str.isalpha, w)) else ""
 
 
 def known_words(chunks: DataFrame, share: float = KNOWN_SHARE) -> dict[str, int]:
@@ -199,11 +203,15 @@ def known_words(chunks: DataFrame, share: float = KNOWN_SHARE) -> dict[str, int]
     """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out: Counter[str] = Counter()
+        raw: Counter[str] = Counter()
         for text in batch["text"].to_pylist():
             lines = text.split("\n")
             kept, _ = join_divided(lines, ["page" if is_page_line(x) else None for x in lines])
-            out.update(words_in("\n".join(kept)))
+            raw.update(_WORD.findall("\n".join(kept).lower()))
+        out: Counter[str] = Counter()
+        for token, n in raw.items():
+            if word := _core(token):
+                out[word] += n
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
     words = chunks.where("text is not null and text <> ''").select("text").mapInArrow(per_batch(count), "word string, n bigint")
@@ -295,24 +303,21 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
 
     def mend(m: re.Match) -> str:
         raw = m[0]
-        if raw in settled:
-            return raw
         core = raw.strip(".-—–'")
         right = reader.right(core.lower()) if len(core) > 1 else None
-        quoted = m.start() and m.string[m.start() - 1] in "«\"“„"
-        if right is not None and quoted and not _STRANGE.search(core.lower()):
-            right = None  # a name may be like a word
         if right is None:
-            if not quoted and len(settled) < 300_000:
+            if len(settled) < 300_000:
                 settled.add(raw)
             return raw
+        if m.start() and m.string[m.start() - 1] in "«\"“„" and not _STRANGE.search(core.lower()):
+            return raw  # a name may be like a word
         kinds.add("misread")
         if core[:1].isupper() or (core[:1].isdigit() and m.start() == 0):
             right = right[0].upper() + right[1:]
         return raw.replace(core, right, 1)
 
     settled = reader.settled
-    mended = [_WORD.sub(mend, line) for line in kept]
+    mended = [line if settled.issuperset(_WORD.findall(line)) else _WORD.sub(mend, line) for line in kept]
     paragraphs: list[str] = []
     for line in mended:
         stripped = line.strip()
