@@ -318,15 +318,16 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
 
     settled = reader.settled
     mended = [line if settled.issuperset(_WORD.findall(line)) else _WORD.sub(mend, line) for line in kept]
-    paragraphs: list[str] = []
+    paragraphs: list[list[str]] = []
     for line in mended:
         stripped = line.strip()
-        flows = paragraphs and paragraphs[-1] and stripped and not _ENTRY.match(stripped) and "|" not in stripped and "|" not in paragraphs[-1]
-        if flows and not (re.search(r"[.;:!?]$", paragraphs[-1]) and _ENTRY.match(stripped)):
-            paragraphs[-1] += " " + stripped
+        last = paragraphs[-1][-1] if paragraphs else ""
+        flows = last and stripped and "|" not in stripped and "|" not in last and not _ENTRY.match(stripped)
+        if flows:
+            paragraphs[-1].append(stripped)
         else:
-            paragraphs.append(stripped)
-    return sorted(kinds), "\n".join(paragraphs)
+            paragraphs.append([stripped])
+    return sorted(kinds), "\n".join(" ".join(p) for p in paragraphs)
 
 
 _READERS: dict[int, Reader] = {}
