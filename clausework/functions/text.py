@@ -26,8 +26,8 @@ def question_key(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Search tokens; a Latin e before digits is the Cyrillic one, as in codes of additives."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[а-яёa-z0-9]+"), F.lit(0))
-    return F.transform(found, lambda t: F.regexp_replace(t, "^e([0-9]+)$", "е$1"))
+    one_alphabet = F.regexp_replace(F.lower(text), "(?<![а-яёa-z0-9])e(?=[0-9]+(?![а-яёa-z0-9]))", "е")
+    return F.regexp_extract_all(one_alphabet, F.lit("[а-яёa-z0-9]+"), F.lit(0))
 
 
 def words(text: Column, least: int = 3) -> Column:

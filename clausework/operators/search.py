@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, TOP_K, RRF_K = 20, 10, 60
@@ -23,15 +24,19 @@ class Bm25:
 
     def __init__(self, corpus: DataFrame, key: str, text: str):
         words = corpus.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("words")).where(F.col("doc").isNotNull())
-        self.lengths = words.select("doc", F.coalesce(F.size("words"), F.lit(0)).alias("length"))
-        self.postings = words.select("doc", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("doc", "length", "term").agg(F.count("*").alias("tf"))
+        # an empty text is one row without a term, so that it counts in the number and the mean length of documents
+        rows = words.select("doc", F.greatest(F.size("words"), F.lit(0)).alias("length"), F.explode_outer("words").alias("term"))
+        # the index is written once: every statistic and every search reads it and none tokenizes the corpus again
+        self.index = cut(rows.groupBy("doc", "length", "term").agg(F.count("*").alias("tf")))
+        self.postings = self.index.where("term is not null")
 
     def statistics(self) -> tuple[DataFrame, float, float]:
         """(term, idf), mean document length and number of documents.
 
         A negative idf is replaced by ``EPSILON`` times the mean idf over all terms.
         """
-        n, mean_length = self.lengths.agg(F.count("*"), F.avg("length")).first()
+        n, total = self.index.select("doc", "length").distinct().agg(F.count("*"), F.sum("length")).first()
+        mean_length = total / n if n else 0.0
         df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         raw = df.select("term", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
