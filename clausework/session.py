@@ -53,7 +53,8 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Rows for work in Python: as they lie where the scan has a task for every core, else spread over the cores.
 
-    A single file of one row group is one task whatever its size; only such inputs are moved.
+    A single file of one row group is one task whatever its size; only such inputs are moved. Meant for scans: a
+    plan with shuffles in it would be run to learn its partitions.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
