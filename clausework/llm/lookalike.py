@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut, spread
 from .arrow import per_batch
 from .chars import canonical, skeleton
 
@@ -15,7 +16,7 @@ def canonical_texts(rows: DataFrame, key: str = "region_key", text: str = "text"
 
     A null text has null forms, an empty one empty forms. Each text is settled by itself, without a shuffle.
     """
-    wanted = rows.select(key, *keep, F.col(text).alias("text"))
+    wanted = spread(rows.select(key, *keep, F.col(text).alias("text")))
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch["text"].to_pylist()
@@ -37,7 +38,8 @@ def look_alike_pairs(rows: DataFrame, key: str = "region_key", within: str = "so
     the forms are paired by a join on the hash of (within, skeleton), a hot source being as many groups as it has
     looks.
     """
-    settled = (
+    # small rows (two keys, two hashes) that both sides of the join read: written once, so each text is settled once
+    settled = cut(
         canonical_texts(rows.where(f"`{within}` is not null and text is not null and text <> ''"), key, keep=(within,))
         .select(F.col(key).alias("row_key"), F.col(within).alias("within"), "text", F.sha2("skeleton", 256).alias("look"), F.sha2("text", 256).alias("form"))
         .drop("text")
