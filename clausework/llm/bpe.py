@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .arrow import lists, per_batch
 
 #: Where the vocabulary files of public tokenizers lie on this machine; callers may pass another folder.
@@ -185,4 +186,4 @@ def encode_texts(documents: DataFrame, tokenizer: str = "byte_bpe_50k.json", fol
         flat = np.frombuffer(b"".join(ids), dtype=np.int32)
         return pa.RecordBatch.from_arrays([batch["doc_id"], lists(flat, [len(x) // 4 for x in ids])], ["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(per_batch(encode), "doc_id bigint, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(per_batch(encode), "doc_id bigint, ids array<int>")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .arrow import lists, per_batch
 from .chars import canonical
 
@@ -177,7 +177,7 @@ def _count_words(sample: DataFrame, first: Model | None) -> dict[tuple[str, str]
                         out[of, w] += 1
         return pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.string()), pa.array([k[1] for k in out], pa.string()), pa.array(list(out.values()), pa.int64())], ["lang", "word", "n"])
 
-    counted = sample.select("labelled", "text").mapInArrow(per_batch(count), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = spread(sample.select("labelled", "text")).mapInArrow(per_batch(count), "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     # the vocabulary of a bounded sample: a word met once only says no more than its characters do
     table = counted.where("n > 1").toArrow()
     return {(a, b): c for a, b, c in zip(*(table[x].to_pylist() for x in ("lang", "word", "n")), strict=True)}
@@ -216,7 +216,7 @@ def _evidence(documents: DataFrame, model: Model) -> DataFrame:
         )
 
     schema = "doc_id bigint, labelled string, source string, source_group string, n_words array<int>, likelihoods array<float>, by_text string"
-    return documents.select(*keep, "text").mapInArrow(per_batch(read), schema)
+    return spread(documents.select(*keep, "text")).mapInArrow(per_batch(read), schema)
 
 
 _MODELS: dict[str, Model] = {}

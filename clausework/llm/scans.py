@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from .arrow import per_batch
 
 #: A line is a header of its document if it stands alone in so many chunks of it.
@@ -214,7 +214,7 @@ def known_words(chunks: DataFrame, share: float = KNOWN_SHARE) -> dict[str, int]
                 out[word] += n
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
-    words = chunks.where("text is not null and text <> ''").select("text").mapInArrow(per_batch(count), "word string, n bigint")
+    words = spread(chunks.where("text is not null and text <> ''").select("text")).mapInArrow(per_batch(count), "word string, n bigint")
     counted = cut(words.groupBy("word").agg(F.sum("n").alias("n")))  # read twice
     total = counted.agg(F.sum("n")).first()[0] or 0
     table = counted.where(F.col("n") >= max(1, share * total)).toArrow()
