@@ -11,8 +11,11 @@ from .arrow import per_batch
 from .chars import canonical, skeleton
 
 
-def canonical_texts(rows: DataFrame, key: str = "region_key", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, the columns of ``keep``, ``text``, ``canonical``, ``skeleton``: one row for each row.
+FORMS = {"canonical": canonical, "skeleton": skeleton}
+
+
+def canonical_texts(rows: DataFrame, key: str = "region_key", text: str = "text", keep: tuple[str, ...] = (), forms: tuple[str, ...] = ("canonical", "skeleton")) -> DataFrame:
+    """``key``, the columns of ``keep``, ``text`` and the ``forms`` (``canonical``, ``skeleton``): one row for each row.
 
     A null text has null forms, an empty one empty forms. Each text is settled by itself, without a shuffle.
     """
@@ -20,11 +23,11 @@ def canonical_texts(rows: DataFrame, key: str = "region_key", text: str = "text"
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch["text"].to_pylist()
-        forms = [pa.array([None if t is None else f(t) for t in texts], pa.string()) for f in (canonical, skeleton)]
-        return pa.RecordBatch.from_arrays([*batch.columns, *forms], [*batch.schema.names, "canonical", "skeleton"])
+        made = [pa.array([None if t is None else FORMS[f](t) for t in texts], pa.string()) for f in forms]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *forms])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted.schema.fields)
-    return wanted.mapInArrow(per_batch(settle), schema + ", canonical string, skeleton string")
+    return wanted.mapInArrow(per_batch(settle), schema + "".join(f", {f} string" for f in forms))
 
 
 def look_alike_pairs(rows: DataFrame, key: str = "region_key", within: str = "source_sha256") -> DataFrame:
@@ -40,7 +43,7 @@ def look_alike_pairs(rows: DataFrame, key: str = "region_key", within: str = "so
     """
     # small rows (two keys, two hashes) that both sides of the join read: written once, so each text is settled once
     settled = cut(
-        canonical_texts(rows.where(f"`{within}` is not null and text is not null and text <> ''"), key, keep=(within,))
+        canonical_texts(rows.where(f"`{within}` is not null and text is not null and text <> ''"), key, keep=(within,), forms=("skeleton",))
         .select(F.col(key).alias("row_key"), F.col(within).alias("within"), "text", F.sha2("skeleton", 256).alias("look"), F.sha2("text", 256).alias("form"))
         .drop("text")
         .distinct()
