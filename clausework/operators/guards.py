@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_look_alikes
+#: Latin letters drawn like Cyrillic ones as capitals or small ones, in lower case as the words are.
+LOOK_ALIKES = "abcehkmoptxy", "авсенкмортху"
 
 
 def missing_words(source: Column, read: Column, squashed: Column) -> Column:
@@ -47,10 +49,24 @@ def near_pairs(left: DataFrame, right: DataFrame, within: list[str], limit: int
 
 
 def nearest(pairs: DataFrame, within: list[str]) -> DataFrame:
-    """The mutually nearest pairs, ties by the words; pairs that only differ in look-alike letters are named so."""
+    """A 1:1 assignment of the words, nearest pairs first, ties by the words.
 
-    a = Window.partitionBy(*within, "word_1").orderBy("distance", "word_2")
-    b = Window.partitionBy(*within, "word_2").orderBy("distance", "word_1")
-    best = pairs.withColumn("_a", F.row_number().over(a)).withColumn("_b", F.row_number().over(b)).where("_a = 1 and _b = 1").drop("_a", "_b")
-    same = fold_look_alikes(F.col("word_1")) == fold_look_alikes(F.col("word_2"))
-    return best.withColumn("kind", F.when(same, "homoglyph").otherwise("substitution"))
+    A word whose nearest partner is taken gets the next free one; the result is that of taking the mutually nearest
+    pairs again and again until no pair of free words is left. The assignment runs once for each group, over its
+    pairs. Pairs that only differ in look-alike letters are named so.
+    """
+
+    def assign(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("distance", "ascending"), ("word_1", "ascending"), ("word_2", "ascending")])
+        taken_1, taken_2, kept = set(), set(), []
+        for i, (a, b) in enumerate(zip(group["word_1"].to_pylist(), group["word_2"].to_pylist(), strict=True)):
+            if a not in taken_1 and b not in taken_2:
+                taken_1.add(a)
+                taken_2.add(b)
+                kept.append(i)
+        return group.take(pa.array(kept, pa.int64()))
+
+    rows = pairs.select(*within, "word_1", "word_2", "distance")
+    best = rows.groupBy(*within).applyInArrow(assign, rows.schema)
+    fold = lambda w: F.translate(F.lower(w), *LOOK_ALIKES)
+    return best.withColumn("kind", F.when(fold("word_1") == fold("word_2"), "homoglyph").otherwise("substitution"))

@@ -87,7 +87,7 @@ def _pairs_of_reads(spark: SparkSession, d: str) -> DataFrame:
     """Texts of one block in the first and the second read of its layout, the first row of each."""
     regions = table(spark, d, "regions", ["source_sha256", "read_no", "region_id", "text", "region_key"]).where("text is not null and text <> ''")
     one = regions.groupBy("source_sha256", "region_id", "read_no").agg(F.min_by("text", "region_key").alias("text"))
-    clean = F.regexp_replace(F.lower("text"), "[^а-яёa-z0-9]", " ")
+    clean = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", " ")
     a = one.where("read_no = 1").select("source_sha256", "region_id", clean.alias("a"))
     b = one.where("read_no = 2").select("source_sha256", "region_id", clean.alias("b"))
     return a.join(b, ["source_sha256", "region_id"])
@@ -114,7 +114,8 @@ def j30_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _words_of_reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    pairs = _pairs_of_reads(spark, d).select("source_sha256", F.regexp_replace("a", "[^a-z ]", " ").alias("a"), F.regexp_replace("b", "[^a-z ]", " ").alias("b"))
+    """Words of all alphabets, split at everything but letters, that only one of the two reads has."""
+    pairs = _pairs_of_reads(spark, d).select("source_sha256", F.regexp_replace("a", r"\P{L}", " ").alias("a"), F.regexp_replace("b", r"\P{L}", " ").alias("b"))
     both = lambda x, y: F.array_except(T.words(c(x), 5), T.words(c(y), 5))
     return pairs.select("source_sha256", F.explode(both("a", "b")).alias("word")), pairs.select("source_sha256", F.explode(both("b", "a")).alias("word"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from clausework.operators import boxes as B
 from clausework.operators import guards as G
 from clausework.operators import segments as S
+from clausework.plans import layout as L
 
 
 def test_pack_against_brute_force(spark):
@@ -78,3 +79,31 @@ def test_boxes(spark, rows):
     assert rows(B.overlapping(twice, ["p"], 0.5), "id_1", "id_2", "iou") == [(3, 6, 1.0)]
     box = spark.range(1).select(B.normalize(F.lit(90.0), F.lit(10.0), F.lit(20.0), F.lit(-5.0)).alias("b")).first().b
     assert tuple(box) == (0.2, 0.0, 0.9, 0.1)
+
+
+def test_words_of_all_alphabets_are_assigned_until_none_is_free(spark, tmp_path):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row, last = [i], row
+            for j, e in enumerate(y, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != e)))
+        return row[-1]
+
+    first = "молодой Hалейте қышқылы crème wordab wordaa стабилизатор"
+    second = "молотый Налейте қышкылы creme wordaс wordxy стабилизатоp"
+    schema = "source_sha256 string, read_no int, region_id string, text string, region_key long"
+    spark.createDataFrame([("s", 1, "r", first, 1), ("s", 2, "r", second, 2)], schema).write.parquet(str(tmp_path / "regions.parquet"))
+    a, b = first.lower().split(), second.lower().split()
+    edges = sorted((distance(x, y), x, y) for x in a for y in b if x != y and len(x) >= 5 and len(y) >= 5 and distance(x, y) <= 2)
+    got = L.j17_near_words(spark, str(tmp_path)).collect()
+    assert sorted((r.distance, r.word_1, r.word_2) for r in got) == edges
+    want, used = set(), set()
+    for n, x, y in edges:
+        if ("a", x) not in used and ("b", y) not in used:
+            used |= {("a", x), ("b", y)}
+            want.add((x, y, n))
+    best = L.j17_nearest(spark, str(tmp_path)).collect()
+    assert {(r.word_1, r.word_2, r.distance) for r in best} == want
+    assert ("wordab", "wordxy", 2) in want and ("wordaa", "wordaс", 1) in want
+    assert {r.word_1 for r in best if r.kind == "homoglyph"} == {"hалейте", "стабилизатор"}
