@@ -12,6 +12,7 @@ from ..operators import segments as S
 from ..sources.tables import table
 
 c = F.col
+READ = ["source_sha256", "read_no", "region_id"]
 RULES = {"substrings": ["Архивная копия"], "patterns": [r"Приложение [0-9]+", r"[0-9]+$"]}
 
 
@@ -84,56 +85,61 @@ def t08_event_runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _pairs_of_reads(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of one block in the first and the second read of its layout, the first row of each."""
-    regions = table(spark, d, "regions", ["source_sha256", "read_no", "region_id", "text", "region_key"]).where("text is not null and text <> ''")
-    one = regions.groupBy("source_sha256", "region_id", "read_no").agg(F.min_by("text", "region_key").alias("text"))
+    """Texts of one block in the first and in each later read of its layout, the first row of each.
+
+    A block that only one of the two reads has comes out with an empty text on the other side; so does every block
+    of a first read whose later read has no text at all. ``read_no`` is the later read.
+    """
+    rows = table(spark, d, "regions", ["source_sha256", "read_no", "region_id", "text", "region_key"])
+    later = rows.where("read_no > 1").select("source_sha256", "read_no").distinct()
+    one = rows.where("text is not null and text <> ''").groupBy(*READ).agg(F.min_by("text", "region_key").alias("text"))
     clean = F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]", " ")
-    a = one.where("read_no = 1").select("source_sha256", "region_id", clean.alias("a"))
-    b = one.where("read_no = 2").select("source_sha256", "region_id", clean.alias("b"))
-    return a.join(b, ["source_sha256", "region_id"])
+    a = one.where("read_no = 1").select("source_sha256", "region_id", clean.alias("a")).join(later, "source_sha256")
+    b = one.where("read_no > 1").select(*READ, clean.alias("b"))
+    return a.join(b, READ, "full").select(*READ, F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))
 
 
 def j15_word_anti(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the first read that the second lacks, and the share that is there."""
+    """Words of the first read that a later one lacks, and the share that is there."""
     a, b = T.words(c("a")), T.words(c("b"))
     missing = G.missing_words(a, b, F.regexp_replace(F.translate("b", "ё", "е"), " ", ""))
-    return _pairs_of_reads(spark, d).select("source_sha256", "region_id", F.array_join(missing, "|").alias("missing"), F.round(G.coverage(missing, a), 4).alias("coverage"))
+    return _pairs_of_reads(spark, d).select(*READ, F.array_join(missing, "|").alias("missing"), F.round(G.coverage(missing, a), 4).alias("coverage"))
 
 
 def j16_invented(spark: SparkSession, d: str) -> DataFrame:
-    """Words of the second read that the first lacks, as often as they stand there."""
+    """Words of a later read that the first lacks, as often as they stand there."""
     invented = G.invented_words(T.word_list(c("b")), T.words(c("a")), F.regexp_replace(F.translate("a", "ё", "е"), " ", ""))
-    return _pairs_of_reads(spark, d).select("source_sha256", "region_id", F.array_join(invented, "|").alias("invented"), F.round(F.size(invented) / F.nullif(F.size(T.word_list(c("b"))), F.lit(0)), 4).alias("mismatch"))
+    return _pairs_of_reads(spark, d).select(*READ, F.array_join(invented, "|").alias("invented"), F.round(F.size(invented) / F.nullif(F.size(T.word_list(c("b"))), F.lit(0)), 4).alias("mismatch"))
 
 
 def j30_diff(spark: SparkSession, d: str) -> DataFrame:
     """Both differences and the common part of the words of two reads."""
     a, b = T.words(c("a")), T.words(c("b"))
     pairs = _pairs_of_reads(spark, d)
-    return pairs.select("source_sha256", "region_id", F.size(F.array_except(a, b)).cast("bigint").alias("only_first"), F.size(F.array_except(b, a)).cast("bigint").alias("only_second"), F.size(F.array_intersect(a, b)).cast("bigint").alias("common"))
+    return pairs.select(*READ, F.size(F.array_except(a, b)).cast("bigint").alias("only_first"), F.size(F.array_except(b, a)).cast("bigint").alias("only_second"), F.size(F.array_intersect(a, b)).cast("bigint").alias("common"))
 
 
 def _words_of_reads(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Words of all alphabets, split at everything but letters, that only one of the two reads has."""
-    pairs = _pairs_of_reads(spark, d).select("source_sha256", F.regexp_replace("a", r"\P{L}", " ").alias("a"), F.regexp_replace("b", r"\P{L}", " ").alias("b"))
+    pairs = _pairs_of_reads(spark, d).select("source_sha256", "read_no", F.regexp_replace("a", r"\P{L}", " ").alias("a"), F.regexp_replace("b", r"\P{L}", " ").alias("b"))
     both = lambda x, y: F.array_except(T.words(c(x), 5), T.words(c(y), 5))
-    return pairs.select("source_sha256", F.explode(both("a", "b")).alias("word")), pairs.select("source_sha256", F.explode(both("b", "a")).alias("word"))
+    return pairs.select("source_sha256", "read_no", F.explode(both("a", "b")).alias("word")), pairs.select("source_sha256", "read_no", F.explode(both("b", "a")).alias("word"))
 
 
 def j17_near_words(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of unmatched words of two reads that are at most two edits apart."""
-    return G.near_pairs(*_words_of_reads(spark, d), ["source_sha256"])
+    return G.near_pairs(*_words_of_reads(spark, d), ["source_sha256", "read_no"])
 
 
 def j17_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return G.nearest(G.near_pairs(*_words_of_reads(spark, d), ["source_sha256"]), ["source_sha256"])
+    return G.nearest(G.near_pairs(*_words_of_reads(spark, d), ["source_sha256", "read_no"]), ["source_sha256", "read_no"])
 
 
 def j18_digit_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Digit runs of the second read that no run of the first one holds."""
+    """Digit runs of a later read that no run of the first one holds."""
     runs_a, runs_b = T.digit_runs(c("a"), 4), T.digit_runs(c("b"), 4)
     lost = F.filter(runs_b, lambda r: ~F.exists(runs_a, lambda x: x.contains(r)))
-    return _pairs_of_reads(spark, d).select("source_sha256", "region_id", F.array_join(lost, "|").alias("unconfirmed"))
+    return _pairs_of_reads(spark, d).select(*READ, F.array_join(lost, "|").alias("unconfirmed"))
 
 
 def j23_markers(spark: SparkSession, d: str) -> DataFrame:
@@ -202,13 +208,13 @@ def c05_assess(spark: SparkSession, d: str) -> DataFrame:
     missing = G.missing_words(a, b, F.regexp_replace(F.translate("b", "ё", "е"), " ", ""))
     invented = G.invented_words(b, a, F.regexp_replace(F.translate("a", "ё", "е"), " ", ""))
     reasons = F.array_compact(F.array(F.when(F.size(missing) > 3, F.lit("words missing")), F.when(F.size(invented) > 3, F.lit("words invented")), F.when(F.size(b) < 2, F.lit("hardly read"))))
-    return pairs.select("source_sha256", "region_id", F.when(F.size(reasons) > 0, "manual").otherwise("read").alias("status"), F.array_join(reasons, "; ").alias("reason"))
+    return pairs.select(*READ, F.when(F.size(reasons) > 0, "manual").otherwise("read").alias("status"), F.array_join(reasons, "; ").alias("reason"))
 
 
 def c06_guards(spark: SparkSession, d: str) -> DataFrame:
-    """Layouts in which more than a tenth of the blocks need a person."""
+    """Later reads of layouts in which more than a tenth of the blocks need a person."""
     status = c05_assess(spark, d)
-    per = status.groupBy("source_sha256").agg(F.count("*").alias("n"), F.count_if(c("status") == "manual").alias("manual"))
+    per = status.groupBy("source_sha256", "read_no").agg(F.count("*").alias("n"), F.count_if(c("status") == "manual").alias("manual"))
     return per.withColumn("partial", F.round(c("manual") / c("n"), 4) > 0.1)
 
 

@@ -107,3 +107,20 @@ def test_words_of_all_alphabets_are_assigned_until_none_is_free(spark, tmp_path)
     assert {(r.word_1, r.word_2, r.distance) for r in best} == want
     assert ("wordab", "wordxy", 2) in want and ("wordaa", "wordaс", 1) in want
     assert {r.word_1 for r in best if r.kind == "homoglyph"} == {"hалейте", "стабилизатор"}
+
+
+def test_every_later_read_and_every_block_is_compared(spark, tmp_path):
+    schema = "source_sha256 string, read_no int, region_id string, text string, region_key long"
+    data = [("s", 1, "r1", "склад їжа құқық", 1), ("s", 1, "r2", "только первый", 2), ("s", 2, "r1", "склад їжа құқық", 3), ("s", 2, "r3", "новый блок стоит здесь 12345", 4), ("s", 3, "r1", "склад", 5), ("s", 4, "r1", None, 6), ("t", 1, "r1", "один раз", 7)]
+    spark.createDataFrame(data, schema).write.parquet(str(tmp_path / "regions.parquet"))
+    d = str(tmp_path)
+    key = lambda r: (r.read_no, r.region_id)
+    missing = {key(r): (r.missing, r.coverage) for r in L.j15_word_anti(spark, d).collect()}
+    assert missing == {(2, "r1"): ("", 1.0), (2, "r2"): ("первый|только", 0.0), (2, "r3"): ("", None), (3, "r1"): ("їжа|құқық", 0.3333), (3, "r2"): ("первый|только", 0.0), (4, "r1"): ("склад|їжа|құқық", 0.0), (4, "r2"): ("первый|только", 0.0)}
+    invented = {key(r): r.invented for r in L.j16_invented(spark, d).collect()}
+    assert invented == dict.fromkeys(missing, "") | {(2, "r3"): "новый|блок|стоит|здесь|12345"}
+    diff = {key(r): (r.only_first, r.only_second, r.common) for r in L.j30_diff(spark, d).collect()}
+    assert diff[2, "r3"] == (0, 5, 0) and diff[3, "r1"] == (2, 0, 1)
+    assert {key(r) for r in L.j18_digit_runs(spark, d).collect() if r.unconfirmed == "12345"} == {(2, "r3")}
+    assert {key(r) for r in L.c05_assess(spark, d).collect() if "words invented" in r.reason} == {(2, "r3")}
+    assert {(r.source_sha256, r.read_no): (r.n, r.manual) for r in L.c06_guards(spark, d).collect()} == {("s", 2): (3, 2), ("s", 3): (2, 2), ("s", 4): (2, 2)}
