@@ -8,6 +8,7 @@ not the number of records; only the last step reads the records again to cast th
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,8 +152,8 @@ def rename_pairs(steps: DataFrame, profiles: DataFrame, score: float = RENAME_SC
 
     Candidates are only the gone and the new fields of one file. A pair scores the likeness of contents – the
     overlap of both names' token shares, of the kind of value in which they agree best – raised by the likeness
-    of the names; where no kind of value can be compared the names alone decide. Of several candidates the best
-    one wins on both sides, ties by name.
+    of the names; where no kind of value can be compared the names alone decide. Pairs are taken
+    from the best score down, ties by name, until no gone and new field of the file are left that match.
     """
     here = steps.select("site", "table_name", "step", "field")
     before = here.withColumn("step", F.col("step") + 1)
@@ -186,13 +187,20 @@ def rename_pairs(steps: DataFrame, profiles: DataFrame, score: float = RENAME_SC
         .where(F.col("score") >= score)
     )
     found = pairs.join(scored, ["table_name", "field", "new_field"])
-    best = lambda side, other: F.row_number().over(Window.partitionBy("site", "table_name", "step", side).orderBy(F.desc("score"), other))
-    return (
-        found.withColumn("rank_a", best("field", "new_field"))
-        .withColumn("rank_b", best("new_field", "field"))
-        .where("rank_a = 1 and rank_b = 1")
-        .select("site", "table_name", "step", "field", "new_field", "score")
-    )
+    rows = found.select("site", "table_name", "step", "field", "new_field", "score")
+    return rows.groupBy("site", "table_name", "step").applyInArrow(_assign, rows.schema)
+
+
+def _assign(pairs: pa.Table) -> pa.Table:
+    """The pairs of one file taken from the best score down, each field once; what is left free meets again."""
+    pairs = pairs.sort_by([("score", "descending"), ("field", "ascending"), ("new_field", "ascending")])
+    gone, new, kept = set(), set(), []
+    for i, (a, b) in enumerate(zip(pairs["field"].to_pylist(), pairs["new_field"].to_pylist(), strict=True)):
+        if a not in gone and b not in new:
+            gone.add(a)
+            new.add(b)
+            kept.append(i)
+    return pairs.take(pa.array(kept, pa.int64()))
 
 
 def _fold(group: pd.DataFrame) -> pd.DataFrame:

@@ -57,3 +57,9 @@ def test_union_schema_and_records(spark):
     assert types == {"id": "whole", "Kind": "string", "n": "decimal"}
     whole = sd.unified_records(fields, names).collect()
     assert len(whole) == 50 and all(set(r.record) == {"id", "Kind", "n"} for r in whole)
+
+
+def test_every_gone_field_gets_the_best_free_one(spark):
+    a = [{"id": i, "qqq": 100 + i, "www": 500 + i} for i in range(20)]
+    b = [{"id": i, "kkk": 200 + i, "zzz": 700 + i} for i in range(20)]
+    assert log(spark, [("1", 1, a), ("2", 2, b)]) == {("2", "qqq", "renamed"), ("2", "www", "renamed")}
