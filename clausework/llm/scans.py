@@ -22,8 +22,6 @@ from .arrow import per_batch
 HEADER_CHUNKS = 2
 #: Part of a header's letters that a cut-off line must still have; likeness that a garbled one must have.
 HEADER_PART, HEADER_LIKE = 0.45, 0.88
-#: Words with at least this share of all words are known; there are at most 1 / share of them, which bounds what is sent out.
-KNOWN_SHARE = 2e-6
 #: How many times more frequent the right word must be: for look-alike letters, and for any one letter.
 LIKELY, SURE = 20, 200
 LEAST_COUNT = 15
@@ -195,12 +193,8 @@ def _core(raw: str) -> str:
     return w if len(w) > 1 and any(map(str.isalpha, w)) else ""
 
 
-def known_words(chunks: DataFrame, share: float = KNOWN_SHARE) -> dict[str, int]:
-    """The words of the corpus that make up at least ``share`` of it, with their counts.
-
-    At most 1 / share words can, whatever the corpus, so the driver and each task hold a bounded dictionary.
-    Counts cover all chunks and are summed before the shuffle.
-    """
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """(word, n): every word of the corpus with its exact count, summed before the shuffle and written once."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw: Counter[str] = Counter()
@@ -215,14 +209,62 @@ def known_words(chunks: DataFrame, share: float = KNOWN_SHARE) -> dict[str, int]
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
     words = spread(chunks.where("text is not null and text <> ''").select("text")).mapInArrow(per_batch(count), "word string, n bigint")
-    counted = cut(words.groupBy("word").agg(F.sum("n").alias("n")))  # read twice
-    total = counted.agg(F.sum("n")).first()[0] or 0
-    table = counted.where(F.col("n") >= max(1, share * total)).toArrow()
-    return dict(zip(table["word"].to_pylist(), table["n"].to_pylist(), strict=True))
+    return cut(words.groupBy("word").agg(F.sum("n").alias("n")))  # read several times
+
+
+def _look_alikes(word: str) -> list[str]:
+    """The word with one letter replaced by another of the same look."""
+    return [word[:i] + other + word[i + 1 :] for i, c in enumerate(word) for other in _WITHIN.get(c, ())]
+
+
+def _right_forms(word: str) -> list[tuple[int, str, int]]:
+    """(tier, form, ratio): what the word may be a misreading of, the form being at least ``ratio`` times as frequent."""
+    if not _CYRILLIC.search(word):
+        return []
+    if _STRANGE.search(word):
+        plain = [f for f in Reader._unscanned(word) if not _STRANGE.search(f)]
+        return [(0, f, 2) for f in plain] + [(1, g, LIKELY) for f in plain if len(f) >= 5 and f.isalpha() for g in _look_alikes(f)]
+    if len(word) < 4 or not word.replace("-", "").isalpha():
+        return []
+    return [(0, g, LIKELY) for g in _look_alikes(word)]
+
+
+def misread_words(counted: DataFrame) -> DataFrame:
+    """(word, right): each misread word of the corpus and what it should be, decided by the exact counts of both.
+
+    Candidate forms are made once for each distinct word and joined with the counted words; any one letter may be
+    wrong where the right word is ``SURE`` times as frequent (joined on the word without the letter at its place).
+    The lowest tier wins, in it the most frequent form. The rules are those of :class:`Reader`.
+    """
+
+    def forms(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(w, n, *f) for w, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True) for f in _right_forms(w)]
+        columns = list(zip(*rows, strict=True)) or [[], [], [], [], []]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["word", "n", "tier", "form", "ratio"])
+
+    right = counted.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
+    near = counted.mapInArrow(per_batch(forms), "word string, n bigint, tier int, form string, ratio int").join(right.where(F.col("n_form") >= LEAST_COUNT), "form")
+    holes = lambda df, w: df.withColumn("i", F.explode(F.sequence(F.lit(1), F.length(w)))).withColumn("rest", F.expr(f"concat(substring({w}, 1, i - 1), substring({w}, i + 1))"))
+    sure = holes(right.where((F.col("n_form") >= SURE) & (F.length("form") >= 5) & F.col("form").rlike(r"^\p{L}+$")), "form")
+    plain = counted.where((F.length("word") >= 5) & F.col("word").rlike("[а-яё]") & ~F.col("word").rlike("[a-z0-9|/()]") & F.col("word").rlike(r"^[\p{L}-]+$"))
+    any_letter = holes(plain, "word").join(sure, ["i", "rest"]).where("word <> form").withColumn("tier", F.lit(1)).withColumn("ratio", F.lit(SURE))
+    columns = ["word", "n", "tier", "form", "ratio", "n_form"]
+    found = near.select(*columns).unionByName(any_letter.select(*columns)).where(F.col("n_form") >= F.col("ratio") * F.greatest("n", F.lit(1)))
+    return found.groupBy("word").agg(F.max_by("form", F.struct(-F.col("tier"), "n_form", "form")).alias("right"))
+
+
+class Settled:
+    """Gives the right form of the misread words that are already decided."""
+
+    def __init__(self, pairs: dict[str, str]):
+        self.right = pairs.get
+        #: words as written that stay as they are
+        self.settled: set[str] = set()
 
 
 class Reader:
-    """Decides what each word of a scan should be, by the known words."""
+    """Decides what each word of a scan should be, by a dictionary of all words; :func:`misread_words` does so for a corpus."""
 
     def __init__(self, known: dict[str, int]):
         self.known = known
@@ -274,12 +316,10 @@ class Reader:
     def _like(self, word: str, count: int) -> str | None:
         """The most frequent known word in which one letter is another of the same look, if it is far more frequent."""
         best, best_count = None, 0
-        for i, c in enumerate(word):
-            for other in _WITHIN.get(c, ()):
-                form = word[:i] + other + word[i + 1 :]
-                n = self.known.get(form, 0)
-                if n >= max(LEAST_COUNT, LIKELY * max(count, 1)) and n > best_count:
-                    best, best_count = form, n
+        for form in _look_alikes(word):
+            n = self.known.get(form, 0)
+            if n >= max(LEAST_COUNT, LIKELY * max(count, 1)) and n > best_count:
+                best, best_count = form, n
         return best
 
     @staticmethod
@@ -292,7 +332,7 @@ class Reader:
         return forms
 
 
-def examine(text: str, headers: list[str], title: str, reverse_title: str, reader: Reader) -> tuple[list[str], str]:
+def examine(text: str, headers: list[str], title: str, reverse_title: str, reader: Reader | Settled) -> tuple[list[str], str]:
     """(kinds of noise, repaired text) of a chunk."""
     lines = text.split("\n")
     noise = ["page" if is_page_line(x) else "header" if is_header_line(x, headers, title, reverse_title) else None for x in lines]
@@ -330,7 +370,7 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
     return sorted(kinds), "\n".join(" ".join(p) for p in paragraphs)
 
 
-_READERS: dict[int, Reader] = {}
+_READERS: dict[int, Settled] = {}
 
 
 def repair_scans(chunks: DataFrame) -> DataFrame:
@@ -351,7 +391,8 @@ def repair_scans(chunks: DataFrame) -> DataFrame:
     rows = chunks.select(
         "chunk_id", "text", F.regexp_extract("chunk_id", r"^(.*?)(?::[^:]*)?$", 1).alias("document"), column("is_table", "boolean"), column("regulation_id", "string"), column("regulation_name", "string")
     ).dropDuplicates(["chunk_id", "text"])
-    known = rows.sparkSession.sparkContext.broadcast(known_words(chunks))
+    table = misread_words(word_counts(chunks)).toArrow()
+    known = rows.sparkSession.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["right"].to_pylist(), strict=True)))
     salted = document_headers(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["document", "salt"], "left")
 
@@ -359,7 +400,7 @@ def repair_scans(chunks: DataFrame) -> DataFrame:
         reader = _READERS.get(known_id := id(known.value))
         if reader is None:
             _READERS.clear()
-            reader = _READERS[known_id] = Reader(known.value)
+            reader = _READERS[known_id] = Settled(known.value)
         ids, kinds, texts = [], [], []
         for chunk_id, text, number, name, headers in zip(*(batch[c].to_pylist() for c in ("chunk_id", "text", "regulation_id", "regulation_name", "headers")), strict=True):
             ids.append(chunk_id)

@@ -82,3 +82,14 @@ def test_words_and_codes():
     assert [reader.right(w) for w in ("мука", "100г", "3-й", "ph-метром", "зумямуска", "e322")] == [None] * 6
     kept, divided = S.join_divided(["гиб-", "3", "рида и", "прибор A5-", "98 цел"], [None, "page", None, None, None])
     assert divided and kept == ["гибрида", "и", "прибор A5-", "98 цел"]
+
+
+def test_misread_words_follow_the_exact_counts(spark):
+    known = {"испытаниях": 16, "испьпаниях": 1, "испытанияx": 1, "плёнок": 23, "плёпок": 300, "масел": 15, "мясел": 1, "м0сел": 1, "содержание": 5000, "содержпние": 20, "содержвние": 26, "форнула": 2, "формула": 41, "ск0бок": 1, "скобок": 15, "пуl-lкта": 1, "пункта": 900, "e322": 7}
+    filler = {f"слово{c}": 10**7 for c in "абв"}  # the size of the corpus changes nothing
+    for words in (known, known | filler):
+        got = {r.word: r.right for r in S.misread_words(spark.createDataFrame(list(words.items()), "word string, n bigint")).collect()}
+        reader = S.Reader(words)
+        assert got == {w: right for w in words if (right := reader.right(w))}
+        assert got["испытанияx"] == "испытаниях" and got["ск0бок"] == "скобок" and got["содержпние"] == "содержание"
+        assert "плёнок" not in got and "содержвние" not in got
