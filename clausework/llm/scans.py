@@ -7,7 +7,9 @@ document; what a divided or misread word should be is decided by the vocabulary
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Callable
 from difflib import SequenceMatcher
 from statistics import median
 
@@ -43,6 +45,8 @@ _TITLE_START = re.compile(r"^[«\"„(]?(?=[^\W\d_a-zа-яё])[^\W\d_]{2,}(?!\w)
 _HYPHENS = {"-", "\u00ac", "\u2010", "\u00ad"}
 _CONTINUES = re.compile(r"^\s*[^\W_]?[a-zа-яё|/0-9]")
 _WORD = re.compile(r"(?:\)\((?=\w)|[^\s«»\"“”„(),;:!?])+")
+_SIGNS = ".-—–'"
+_SUSPENDED = re.compile(r"(\w+)- (\w+)")
 _CYRILLIC = re.compile("[а-яё]")
 _STRANGE = re.compile("[a-z0-9|/()]")
 _ENTRY = re.compile(r"^\s*(?:\d+(?:\.\d+)*[.)]|[а-яёa-z]\)|[-–—•]\s|Приложение\b)")
@@ -160,8 +164,17 @@ def _divided(line: str) -> bool:
     return end[-1:] in _HYPHENS and end[-2:-1].isalpha()
 
 
-def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str], bool]:
-    """The lines without noise, divided words joined to the line they begin on; whether there was one."""
+def _last_word(line: str) -> re.Match | None:
+    return next(reversed(list(_WORD.finditer(line))), None)
+
+
+def join_divided(lines: list[str], noise: list[str | None], choose: Callable[[str, str], str | None] = lambda a, b: "") -> tuple[list[str], bool]:
+    """The lines without noise, divided words joined to the line they begin on; whether there was one.
+
+    ``choose`` gets the two parts in lower case and gives what stands between them: nothing, the word's own hyphen,
+    or a hyphen and a blank where they are two words and stay on their lines; None leaves both parts out. Signs that
+    only divide (¬ and the soft hyphen) are not asked about, except to leave the parts out.
+    """
     kept = [line for line, kind in zip(lines, noise, strict=True) if kind is None]
     divided, k = False, 0
     while k < len(kept):
@@ -170,8 +183,16 @@ def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str],
         if after is not None and _CONTINUES.match(kept[after]):
             first, _, rest = kept[after].lstrip().partition(" ")
             if _CYRILLIC.search(first.lower()) or not any(c.isdigit() for c in first):
-                divided = True
-                kept[k] = kept[k].rstrip()[:-1] + first
+                stem, sign = kept[k].rstrip()[:-1], kept[k].rstrip()[-1]
+                last, begin = _last_word(stem), _WORD.search(first)
+                between = choose(last[0].lower().strip(_SIGNS), begin[0].lower().strip(_SIGNS)) if last and begin else ""
+                if sign not in "-\u2010":
+                    between = between and ""
+                if between == "- ":
+                    k += 1
+                    continue
+                divided |= between == ""
+                kept[k] = stem[: last.start()] if between is None else stem + between + first
                 if rest.strip():
                     kept[after] = rest
                 else:
@@ -182,6 +203,43 @@ def join_divided(lines: list[str], noise: list[str | None]) -> tuple[list[str],
     return kept, divided
 
 
+def page_numbers(rows: DataFrame) -> DataFrame:
+    """(chunk_id, text_hash, pages): the bare numbers of a chunk that are page numbers, by line.
+
+    They must belong to the longest sequence of numbers of page lines that does not fall over the chunks of the
+    document, in the order of position and line; a number alone in its document is none. What is gathered for a
+    document is a few numbers.
+    """
+    position = F.regexp_extract("chunk_id", r":([^:]*)$", 1)
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for *key, text in zip(*(batch[c].to_pylist() for c in ("document", "chunk_id", "text_hash", "position", "text")), strict=True):
+            out.extend((*key, i, int(re.search(r"\d+", x)[0]), x.strip().isdigit()) for i, x in enumerate(text.split("\n")) if is_page_line(x))
+        columns = list(zip(*out, strict=True)) or [[]] * len(found.names)
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, found.types, strict=True)], found.names)
+
+    def rising(group: pa.Table) -> pa.Table:
+        group = group.sort_by([(x, "ascending") for x in ("number_at", "position", "chunk_id", "text_hash", "line")])
+        numbers, ends, at, before = group["number"].to_pylist(), [], [], []
+        for i, n in enumerate(numbers):
+            k = bisect_right(ends, n)
+            before.append(at[k - 1] if k else -1)
+            ends[k : k + 1], at[k : k + 1] = [n], [i]
+        kept, i = [], at[-1]
+        while i >= 0:
+            kept.append(i)
+            i = before[i]
+        return group.take(pa.array(kept if len(kept) > 1 else [], pa.int64())).select(["chunk_id", "text_hash", "line", "bare"])
+
+    found = pa.schema([("document", pa.string()), ("chunk_id", pa.string()), ("text_hash", pa.int64()), ("position", pa.string()), ("line", pa.int32()), ("number", pa.int32()), ("bare", pa.bool_())])
+    lines = rows.where("text is not null and text <> ''").select("document", "chunk_id", "text_hash", position.alias("position"), "text")
+    lines = lines.mapInArrow(per_batch(find), "document string, chunk_id string, text_hash bigint, position string, line int, number int, bare boolean")
+    lines = lines.withColumn("number_at", F.expr("try_cast(position as bigint)"))
+    pages = lines.groupBy("document").applyInArrow(rising, "chunk_id string, text_hash bigint, line int, bare boolean")
+    return pages.where("bare").groupBy("chunk_id", "text_hash").agg(F.collect_set("line").alias("pages"))
+
+
 def words_in(text: str) -> list[str]:
     """Words with a letter, in lower case, signs inside kept."""
     return [w for w in map(_core, _WORD.findall(text.lower())) if w]
@@ -189,20 +247,31 @@ def words_in(text: str) -> list[str]:
 
 def _core(raw: str) -> str:
     """The word in a token, or nothing."""
-    w = raw.strip(".-—–'")
+    w = raw.strip(_SIGNS)
     return w if len(w) > 1 and any(map(str.isalpha, w)) else ""
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
-    """(word, n): every word of the corpus with its exact count, summed before the shuffle and written once."""
+    """(word, n): every word of the corpus with its exact count, summed before the shuffle and written once.
+
+    Divided words are not counted: they are rows of count 0 (joined), and their parts with a line end between them
+    are rows too; so are pairs of words with a hyphen and a blank between them.
+    """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw: Counter[str] = Counter()
+        out: Counter[str] = Counter()
+        parts: Counter[tuple[str, str]] = Counter()
         for text in batch["text"].to_pylist():
             lines = text.split("\n")
-            kept, _ = join_divided(lines, ["page" if is_page_line(x) else None for x in lines])
-            raw.update(_WORD.findall("\n".join(kept).lower()))
-        out: Counter[str] = Counter()
+            kept, _ = join_divided(lines, ["page" if is_page_line(x) else None for x in lines], lambda a, b: parts.update([(a, b)]))
+            whole = "\n".join(kept).lower()
+            raw.update(_WORD.findall(whole))
+            out.update(f"{a}- {b}" for a, b in _SUSPENDED.findall(whole))
+        for (a, b), n in parts.items():
+            out[f"{a}\n{b}"] += n
+            if word := _core(a + b):
+                out[word] += 0
         for token, n in raw.items():
             if word := _core(token):
                 out[word] += n
@@ -212,6 +281,16 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     return cut(words.groupBy("word").agg(F.sum("n").alias("n")))  # read several times
 
 
+def divided_words(counted: DataFrame) -> DataFrame:
+    """(parts, between): the divided words that are not simply joined, by the counts of the joined, the hyphenated and the separate form."""
+    parts = counted.where(F.col("word").contains("\n")).select(F.col("word").alias("parts"))
+    forms = parts.withColumn("between", F.explode(F.array(F.lit(""), F.lit("-"), F.lit("- "))))
+    forms = forms.withColumn("word", F.replace("parts", F.lit("\n"), F.col("between"))).join(counted, "word", "left")
+    # at equal counts the shorter sign wins
+    best = forms.groupBy("parts").agg(F.max_by("between", F.struct(F.coalesce("n", F.lit(0)), -F.length("between"))).alias("between"))
+    return best.where("between <> ''")
+
+
 def _look_alikes(word: str) -> list[str]:
     """The word with one letter replaced by another of the same look."""
     return [word[:i] + other + word[i + 1 :] for i, c in enumerate(word) for other in _WITHIN.get(c, ())]
@@ -243,6 +322,7 @@ def misread_words(counted: DataFrame) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["word", "n", "tier", "form", "ratio"])
 
+    counted = counted.where(~F.col("word").rlike(r"\s"))
     right = counted.select(F.col("word").alias("form"), F.col("n").alias("n_form"))
     near = counted.mapInArrow(per_batch(forms), "word string, n bigint, tier int, form string, ratio int").join(right.where(F.col("n_form") >= LEAST_COUNT), "form")
     holes = lambda df, w: df.withColumn("i", F.explode(F.sequence(F.lit(1), F.length(w)))).withColumn("rest", F.expr(f"concat(substring({w}, 1, i - 1), substring({w}, i + 1))"))
@@ -257,8 +337,9 @@ def misread_words(counted: DataFrame) -> DataFrame:
 class Settled:
     """Gives the right form of the misread words that are already decided."""
 
-    def __init__(self, pairs: dict[str, str]):
+    def __init__(self, pairs: dict[str, str], between: dict[str, str]):
         self.right = pairs.get
+        self.between = lambda a, b: between.get(f"{a}\n{b}", "")
         #: words as written that stay as they are
         self.settled: set[str] = set()
 
@@ -332,12 +413,12 @@ class Reader:
         return forms
 
 
-def examine(text: str, headers: list[str], title: str, reverse_title: str, reader: Reader | Settled) -> tuple[list[str], str]:
+def examine(text: str, headers: list[str], title: str, reverse_title: str, reader: Settled, pages: list[int]) -> tuple[list[str], str]:
     """(kinds of noise, repaired text) of a chunk."""
     lines = text.split("\n")
-    noise = ["page" if is_page_line(x) else "header" if is_header_line(x, headers, title, reverse_title) else None for x in lines]
+    noise = ["page" if is_page_line(x) and (i in pages or not x.strip().isdigit()) else "header" if is_header_line(x, headers, title, reverse_title) else None for i, x in enumerate(lines)]
     kinds = {k for k in noise if k}
-    kept, divided = join_divided(lines, noise)
+    kept, divided = join_divided(lines, noise, reader.between)
     if divided:
         kinds.add("hyphen")
 
@@ -390,28 +471,28 @@ def repair_scans(chunks: DataFrame) -> DataFrame:
     column = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
     rows = chunks.select(
         "chunk_id", "text", F.regexp_extract("chunk_id", r"^(.*?)(?::[^:]*)?$", 1).alias("document"), column("is_table", "boolean"), column("regulation_id", "string"), column("regulation_name", "string")
-    ).dropDuplicates(["chunk_id", "text"])
-    table = misread_words(word_counts(chunks)).toArrow()
-    known = rows.sparkSession.sparkContext.broadcast(dict(zip(table["word"].to_pylist(), table["right"].to_pylist(), strict=True)))
+    ).dropDuplicates(["chunk_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
+    counted = word_counts(chunks)
+    known = rows.sparkSession.sparkContext.broadcast([dict(zip(*(c.to_pylist() for c in x.toArrow().columns), strict=True)) for x in (misread_words(counted), divided_words(counted))])
     salted = document_headers(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["document", "salt"], "left")
+    joined = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["document", "salt"], "left").join(page_numbers(rows), ["chunk_id", "text_hash"], "left")
 
     def repair(batch: pa.RecordBatch) -> pa.RecordBatch:
         reader = _READERS.get(known_id := id(known.value))
         if reader is None:
             _READERS.clear()
-            reader = _READERS[known_id] = Settled(known.value)
+            reader = _READERS[known_id] = Settled(*known.value)
         ids, kinds, texts = [], [], []
-        for chunk_id, text, number, name, headers in zip(*(batch[c].to_pylist() for c in ("chunk_id", "text", "regulation_id", "regulation_name", "headers")), strict=True):
+        for chunk_id, text, number, name, headers, pages in zip(*(batch[c].to_pylist() for c in ("chunk_id", "text", "regulation_id", "regulation_name", "headers", "pages")), strict=True):
             ids.append(chunk_id)
             if not text:
                 kinds.append([])
                 texts.append(text)
                 continue
             a, b = _letters(number or ""), _letters(name or "")
-            found, mended = examine(text, headers or [], a + b if a and b else "", b + a if a and b else "", reader)
+            found, mended = examine(text, headers or [], a + b if a and b else "", b + a if a and b else "", reader, pages or [])
             kinds.append(found)
             texts.append(mended)
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], ["chunk_id", "noise", "text"])
 
-    return joined.select("chunk_id", "text", "regulation_id", "regulation_name", "headers").mapInArrow(per_batch(repair), "chunk_id string, noise array<string>, text string")
+    return joined.select("chunk_id", "text", "regulation_id", "regulation_name", "headers", "pages").mapInArrow(per_batch(repair), "chunk_id string, noise array<string>, text string")

@@ -93,3 +93,13 @@ def test_misread_words_follow_the_exact_counts(spark):
         assert got == {w: right for w in words if (right := reader.right(w))}
         assert got["испытанияx"] == "испытаниях" and got["ск0бок"] == "скобок" and got["содержпние"] == "содержание"
         assert "плёнок" not in got and "содержвние" not in got
+
+
+def test_compounds_and_bare_values_stay(spark):
+    texts = ["Масса какао-порошка и двух- или трёх слоёв указана в ведомости", "Масса какао-\nпорошка указана в ведо-\nмости и двух-\nили трёх слоёв"]
+    texts += [f"Текст пункта стоит здесь\n{n}\nи идёт дальше" for n in (3, 2016, 4, 5, 1, 7)]
+    df = spark.createDataFrame([(f"d:{i:04d}", t) for i, t in enumerate(texts)] + [("e:0000", "Год\n1999\nстоит один")], "chunk_id string, text string")
+    got = {r.chunk_id: r for r in S.repair_scans(df).collect()}
+    assert got["d:0001"].noise == ["hyphen"] and got["d:0001"].text == "Масса какао-порошка указана в ведомости и двух- или трёх слоёв"
+    assert {k for k, r in got.items() if "page" in r.noise} == {"d:0002", "d:0004", "d:0005", "d:0007"}
+    assert "2016" in got["d:0003"].text and "1999" in got["e:0000"].text
