@@ -123,7 +123,7 @@ def a28_basis_share(spark: SparkSession, d: str) -> DataFrame:
 
 def a29_findings(spark: SparkSession, d: str) -> DataFrame:
     """Of each layout the first eight words in only one of its regions, sorted, and how many more there are."""
-    words = table(spark, d, "regions", ["source_sha256", "region_key", "text"]).select("source_sha256", "region_key", F.explode(T.words(F.regexp_replace("text", "[^а-яёa-zА-ЯЁA-Z0-9]", " "), 5)).alias("word"))
+    words = table(spark, d, "regions", ["source_sha256", "region_key", "text"]).select("source_sha256", "region_key", F.explode(T.words(c("text"), 5)).alias("word"))
     rare = words.groupBy("source_sha256", "word").agg(F.count_distinct("region_key").alias("n")).where("n = 1")
     first = rare.withColumn("place", F.row_number().over(Window.partitionBy("source_sha256").orderBy("word"))).where("place <= 8")
     examples = first.groupBy("source_sha256").agg(F.array_join(F.array_sort(F.collect_list("word")), "|").alias("examples"))

@@ -135,7 +135,7 @@ def a20_consensus(spark: SparkSession, d: str) -> DataFrame:
     """Words of a layout that at least half of its reads have."""
     regions = table(spark, d, "regions", ["source_sha256", "read_no", "text"])
     runs = regions.groupBy("source_sha256").agg(F.count_distinct("read_no").alias("n_runs"))
-    words = regions.select("source_sha256", "read_no", F.explode(T.words(F.regexp_replace("text", "[^а-яёa-zА-ЯЁA-Z0-9]", " "), 5)).alias("word"))
+    words = regions.select("source_sha256", "read_no", F.explode(T.words(c("text"), 5)).alias("word"))
     return J.consensus(words, ["source_sha256"], "word", "read_no", runs).groupBy("source_sha256").agg(F.count("*").alias("n_words"), F.sum("n_seen").alias("n_seen"))
 
 

@@ -65,7 +65,7 @@ def t06_positional_id(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t07_tail_sentence(spark: SparkSession, d: str) -> DataFrame:
-    return _chunks(spark, d).select("chunk_id", T.tail_sentence(F.regexp_replace("text", "[^а-яёa-zА-ЯЁA-Z0-9 .,!?\n]", "")).alias("tail"))
+    return _chunks(spark, d).select("chunk_id", T.tail_sentence(c("text")).alias("tail"))
 
 
 def t08_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -145,7 +145,7 @@ def j18_digit_runs(spark: SparkSession, d: str) -> DataFrame:
 def j23_markers(spark: SparkSession, d: str) -> DataFrame:
     """Words of the aspects' names that stand in the chunks: aspect, word, chunks."""
     names = table(spark, d, "aspects", ["aspect_id", "aspect_name"]).select("aspect_id", F.explode(T.words(c("aspect_name"), 5)).alias("word"))
-    words = _chunks(spark, d).select("chunk_id", F.explode(T.words(F.regexp_replace("text", "[^а-яёa-zА-ЯЁA-Z0-9]", " "), 5)).alias("word"))
+    words = _chunks(spark, d).select("chunk_id", F.explode(T.words(c("text"), 5)).alias("word"))
     return words.join(names, "word").groupBy("aspect_id", "word").agg(F.count_distinct("chunk_id").alias("n_chunks"))
 
 

@@ -140,7 +140,7 @@ def p25_conditional_update(spark: SparkSession, d: str) -> DataFrame:
 
 def f01_norm(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents", ["doc_id", "text"])
-    return docs.select("doc_id", F.md5(T.norm_text(F.regexp_replace("text", "[^а-яёa-zА-ЯЁA-Z0-9 \n]", "")).cast("binary")).alias("norm_md5"))
+    return docs.select("doc_id", F.md5(T.norm_text(c("text")).cast("binary")).alias("norm_md5"))
 
 
 def f02_question_key(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +153,7 @@ def f03_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f05_words(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "regions", ["region_key", "text"]).select("region_key", F.size(T.words(F.regexp_replace("text", "[^а-яёa-zА-ЯЁA-Z0-9 \n]", " "))).cast("bigint").alias("n_words")).where("n_words >= 0")
+    return table(spark, d, "regions", ["region_key", "text"]).select("region_key", F.size(T.words(c("text"))).cast("bigint").alias("n_words")).where("n_words >= 0")
 
 
 def f07_digit_runs(spark: SparkSession, d: str) -> DataFrame:

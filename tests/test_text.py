@@ -34,3 +34,17 @@ def test_scripts_and_tails(spark):
     assert one(spark, T.is_mixed_script, "мaма") is True and one(spark, T.is_mixed_script, "мама") is False
     assert one(spark, T.fold_look_alikes, "Mолоко") == "Молоко"
     assert one(spark, T.tail_sentence, "Первое предложение было здесь. Да.") == "Первое предложение было здесь. Да."
+
+
+def test_queries_take_the_whole_text(spark, tmp_path):
+    from clausework.plans import layout, text
+
+    d = str(tmp_path)
+    spark.createDataFrame([(1, "Їжа, що є"), (2, "жа що"), (3, "ЇЖА,  що є")], "doc_id int, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "құқықтар crème Größe")], "region_key int, text string").write.parquet(f"{d}/regions.parquet")
+    spark.createDataFrame([("a:1", "Перше речення. Їжа зберігається — у «сухому» місці за кімнатної температури.")], "chunk_id string, text string").write.parquet(f"{d}/chunks.parquet")
+    md5 = {r.doc_id: r.norm_md5 for r in text.f01_norm(spark, d).collect()}
+    assert md5[1] == md5[3] != md5[2]
+    assert md5[1] == __import__("hashlib").md5("їжа, що є".encode()).hexdigest()
+    assert text.f05_words(spark, d).first().n_words == 3
+    assert layout.t07_tail_sentence(spark, d).first().tail == "Їжа зберігається — у «сухому» місці за кімнатної температури."
