@@ -1,70 +1,101 @@
 """Schemas that drift between files of newline-delimited JSON records.
 
-The records stay in Spark: each is parsed into a variant, the fields are exploded and aggregated to one header
-row for each (file, field). Everything after that works on headers, whose number follows the number of files and
-not the number of records; only the last step reads the records again to cast them to the union schema.
+The records are parsed once, as variants, and reduced to counts for each (file, field, type, token); these counts
+are written, and headers, profiles and renames are derived from them. Headers, one row for each file, lie in the
+order of time in range partitions; what passes from one partition to the next is one header each, so that a site
+with a third of all files is as many tasks as its files need. The union schema folds the kinds of values that were
+met through a lattice of promotions, and a projection of the records casts each file to it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: JSON types from the narrowest to the widest. A column takes the least type that holds both sides:
-#: whole -> decimal -> string, boolean -> string, array and object -> string (their JSON text).
-LATTICE = {"whole": 1, "decimal": 2, "boolean": 4, "string": 8, "array": 16, "object": 32}
+#: What a kind of value can be cast to. Kinds of text that only look like a number or a truth value are cast so
+#: beside real ones: a column of such texts alone stays text.
+PROMOTIONS = {
+    "boolean": ("boolean", "whole", "decimal", "string"),
+    "whole": ("whole", "decimal", "string"),
+    "decimal": ("decimal", "string"),
+    "flag": ("boolean", "whole", "decimal", "string"),
+    "digits": ("whole", "decimal", "string"),
+    "coded": ("whole", "decimal", "string"),
+    "fraction": ("decimal", "string"),
+    "array": ("array", "string"),
+    "object": ("string",),
+    "string": ("string",),
+}
+#: Types of columns from the narrowest to the widest, with their types in the table.
+TYPES = {"boolean": "boolean", "whole": "bigint", "decimal": "double", "array": "array<string>", "string": "string"}
+FIRM = ("boolean", "whole", "decimal", "array", "string", "object")
+#: Fields of an object that carry its value, the first that is there.
+CARRIERS = ("id", "code", "label", "value", "name", "text")
 #: A new field carries a gone one's content from this score on (see :func:`rename_pairs`).
 RENAME_SCORE = 0.6
 #: Weight of the likeness of names against the likeness of contents.
 NAME_WEIGHT = 0.35
-#: Contents count as compared where both sides have at least so many values of one kind.
-MIN_VALUES = 5
-FILE = ["site", "table_name", "file_name", "exported_at"]
+#: Values whose likeness counts as much as that of the names; with more of them the contents decide.
+PRIOR_VALUES = 1.0
+#: Lines of one file that are grouped in one task.
+FILE_BLOCK = 20_000
+KEY = ["site", "table_name", "file_name"]
+ORDER = ["site", "table_name", "exported_at", "file_name"]
 
 
 def _json_type(kind: Column) -> Column:
+    """The JSON type of a variant's schema; a number written with a point or an exponent is decimal.
+
+    A whole number has the schema BIGINT, or a decimal one of 19 digits or more where it is too large for that.
+    """
+    digits = F.regexp_extract(kind, r"^DECIMAL\((\d+),0\)$", 1)
     return (
         F.when(kind == "VOID", F.lit(None))
         .when(kind == "BOOLEAN", "boolean")
         .when(kind == "STRING", "string")
         .when(kind.startswith("OBJECT"), "object")
         .when(kind.startswith("ARRAY"), "array")
-        .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | kind.rlike(r"^DECIMAL\(\d+,0\)$"), "whole")
+        .when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | ((digits != "") & (digits.cast("int") >= 19)), "whole")
         .otherwise("decimal")
     )
 
 
-def parse_fields(lines: DataFrame) -> DataFrame:
-    """One row for each field of each valid record: the file's columns, ``line_no``, ``field``, ``json``, ``json_type``.
+def _opened(text: Column) -> Column:
+    """The text of a value with one wrapping opened: a one-element array, a one-field object or a carrier of a value."""
+    carried = F.coalesce(*(F.get_json_object(text, f"$.{name}") for name in CARRIERS), F.nullif(F.regexp_extract(text, r'^\{"[^"]*":("?)(.*)\1\}$', 2), F.lit("")), text)
+    element = F.when(F.json_array_length(text) == 1, F.get_json_object(text, "$[0]")).otherwise(text)
+    return F.when(text.startswith("{") & text.endswith("}"), carried).when(text.startswith("["), element).otherwise(text)
 
-    Records that are no JSON object are passed over; a null value keeps its field with a null type.
-    """
-    written = F.from_json("record", "map<string, string>")
-    parsed = lines.select(*FILE, "line_no", F.expr("try_parse_json(record)").alias("v"), written.alias("written")).where("v is not null and startswith(schema_of_variant(v), 'OBJECT')")
-    # a variant object turns into a map of variants; its entries are the fields
-    fields = parsed.select(*FILE, "line_no", "written", F.explode(F.expr("cast(v as map<string, variant>)")).alias("field", "value"))
-    kind = F.coalesce(F.expr("schema_of_variant(value)"), F.lit("VOID"))
-    # a variant keeps 7.0 as the whole number 7; the record's own text still has the decimal point
-    json_type = F.when(_json_type(kind).isin("whole", "decimal"), F.when(F.expr("written[field]").rlike("[.eE]"), "decimal").otherwise("whole")).otherwise(_json_type(kind))
-    return fields.select(*FILE, "line_no", "field", F.when(kind != "VOID", F.expr("to_json(value)")).alias("json"), json_type.alias("json_type"))
-
-
-def _content(json: Column) -> Column:
-    """The value without its wrapping: one-element arrays and one-field objects opened, quotes and id prefixes off."""
-    text = json
-    for _ in range(2):
-        text = F.regexp_replace(text, r'^\{\s*"[^"]*"\s*:\s*(.*)\}$', "$1")
-        text = F.regexp_replace(text, r"^\[\s*([^,]*)\s*\]$", "$1")
-        text = F.regexp_replace(text, r'^"(.*)"$', "$1")
-    text = F.lower(F.trim(text))
+
+def _bare(opened: Column) -> Column:
+    """The opened value in lower case, a number without the letters that lead it and without a zero fraction, truth as 1 or 0."""
+    text = F.lower(F.trim(opened))
     text = F.regexp_replace(text, r"^[a-z]{1,5}[-_#:]0*(\d+)$", "$1")
     return F.when(text.isin("true", "yes"), "1").when(text.isin("false", "no"), "0").otherwise(text)
 
 
+def _kind(json_type: Column, opened: Column) -> Column:
+    """The key of :data:`PROMOTIONS` for a value, by its JSON type and, where it is wrapped or text, by what it holds."""
+    text = F.lower(F.trim(opened))
+    held = (
+        F.when(text.rlike(r"^-?\d+(\.0+)?$"), "digits")
+        .when(text.rlike(r"^-?\d+\.\d+$"), "fraction")
+        .when(text.rlike(r"^[a-z]{1,5}[-_#:]\d+$"), "coded")
+        .when(text.isin("true", "false", "yes", "no"), "flag")
+        .when(text.startswith("[") & (json_type == "array"), "array")
+        .when(text.startswith("{") & (json_type == "object"), "object")
+        .otherwise("string")
+    )
+    plain = F.when(text.rlike(r"^-?\d+(\.0+)?$"), "whole").otherwise("decimal")
+    return F.when(json_type.isin("whole", "decimal"), plain).when(json_type == "boolean", "boolean").otherwise(held)
+
+
 def _token(content: Column, number: Column) -> Column:
     """What is counted of a value: small whole numbers as they are, large numbers by magnitude, texts with numbers and codes masked."""
     size = F.floor(F.log2(F.abs(number) + 1) * 2).cast("string")
@@ -78,51 +109,51 @@ def _token(content: Column, number: Column) -> Column:
     )
 
 
-def read_headers(fields: DataFrame) -> DataFrame:
-    """One row for each (file, field): the sorted set of JSON types, the number of values and the profile's shape.
+def count_values(lines: DataFrame) -> DataFrame:
+    """Counts of the values of each (file, block of lines, field, type, kind, token), written once.
 
-    Aggregated map-side on (file, field); a file with a third of all records is a few rows for each task.
+    ``lines``: ``file_name``, ``site``, ``table_name``, ``exported_at``, ``line_no``, ``record``. The rows move once,
+    as they are, to the task of their file and block of ``FILE_BLOCK`` lines; parsing and counting follow there
+    without a further shuffle, and a file with a third of all lines is as many tasks as it has blocks. Four masks
+    hold which remainders by 256 the whole numbers of a group have: they tell values that never come again.
     """
-    number = F.expr("try_cast(content as double)")
-    with_content = fields.withColumn("content", _content(F.col("json")))
-    return with_content.groupBy(*FILE, "field").agg(
-        F.sort_array(F.collect_set("json_type")).alias("types"),
-        F.count("json").alias("n_values"),
-        F.count(number).alias("n_numbers"),
-        F.approx_count_distinct("content").alias("n_distinct"),
-        (F.max(number) - F.min(number)).alias("spread"),
-        F.count("*").alias("n_records"),
+    block = F.coalesce(F.floor(F.col("line_no") / FILE_BLOCK), F.lit(0)).alias("block")
+    moved = lines.where("site is not null and table_name is not null and file_name is not null").select(*KEY, "exported_at", block, "record").repartition(*KEY, "block")
+    parsed = moved.select(*KEY, "block", "exported_at", F.expr("try_parse_json(record)").alias("v")).where("v is not null and startswith(schema_of_variant(v), 'OBJECT')")
+    # a variant object turns into a map of variants; its entries are the fields
+    fields = parsed.select(*KEY, "block", "exported_at", F.explode(F.expr("cast(v as map<string, variant>)")).alias("field", "value"))
+    typed = fields.select(*KEY, "block", "exported_at", "field", _json_type(F.coalesce(F.expr("schema_of_variant(value)"), F.lit("VOID"))).alias("json_type"), F.expr("cast(value as string)").alias("text"))
+    # wrappings are opened twice, step by step: one expression would repeat itself within itself
+    wrapped = F.col("json_type").isin("array", "object")
+    opened = typed.withColumn("once", F.when(wrapped, _opened(F.col("text"))).otherwise(F.col("text"))).withColumn("opened", F.when(wrapped, _opened(F.col("once"))).otherwise(F.col("once")))
+    kinds = opened.withColumn("kind", F.when(F.col("json_type").isNotNull(), _kind(F.col("json_type"), F.col("opened")))).withColumn("content", _bare(F.col("opened")))
+    # text such as 12e345 is no number but a code
+    is_number = F.col("json_type").isin("whole", "decimal") | F.col("content").rlike(r"^-?\d+(\.\d+)?$")
+    numbers = kinds.withColumn("number", F.when(is_number, F.expr("try_cast(content as double)"))).withColumn("number", F.when(F.abs("number") < 1e300, F.col("number")))
+    tokens = numbers.select(*KEY, "block", "exported_at", "field", "json_type", "kind", "number", F.when(F.col("json_type").isNotNull(), _token(F.col("content"), F.col("number"))).alias("token"))
+    rest = F.expr("cast(pmod(number, 256) as int)")
+    masks = [F.bit_or(F.when(F.floor(rest / 64) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(rest, F.lit(64)))).otherwise(F.lit(0).cast("bigint"))).alias(f"mask_{i}") for i in range(4)]
+    counted = tokens.groupBy(*KEY, "block", "field", "json_type", "kind", F.col("number").isNotNull().alias("is_number"), "token").agg(
+        F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), *masks, F.min("exported_at").alias("exported_at")
     )
+    return cut(counted)
 
 
-def _is_sequence(h: str = "") -> Column:
-    c = lambda x: F.col(h + x)
-    return (c("n_values") >= 8) & (c("n_numbers") == c("n_values")) & (c("spread") <= 3 * c("n_values")) & (c("n_distinct") >= 0.8 * c("n_values"))
-
-
-def name_profiles(fields: DataFrame, headers: DataFrame) -> DataFrame:
-    """Share of each token among the values of a field's name, for each kind (number or text) of value.
-
-    Columns: ``table_name``, ``field``, ``kind``, ``token``, ``share``, ``n_kind``. The numbers of a field that
-    counts upwards within its file are one token, ``<sequence>``: their size says nothing.
-    """
-    number = F.expr("try_cast(content as double)")
-    tokens = (
-        fields.where("json is not null")
-        .withColumn("content", _content(F.col("json")))
-        .select("table_name", "file_name", "field", F.when(number.isNull(), "text").otherwise("number").alias("kind"), _token(F.col("content"), number).alias("token"))
-        .groupBy("table_name", "file_name", "field", "kind", "token")
-        .agg(F.count("*").alias("n"))
-    )
-    sequences = headers.select("table_name", "file_name", "field", _is_sequence().alias("is_sequence"))
-    counted = (
-        tokens.join(sequences, ["table_name", "file_name", "field"])
-        .withColumn("token", F.when(F.col("is_sequence"), "<sequence>").otherwise(F.col("token")))
-        .groupBy("table_name", "field", "kind", "token")
-        .agg(F.sum("n").alias("n"))
+def read_headers(counts: DataFrame) -> DataFrame:
+    """One row for each (file, field): the sorted set of JSON types and whether its numbers count upwards."""
+    h = counts.groupBy(*KEY, "field").agg(
+        F.sort_array(F.collect_set("json_type")).alias("types"),
+        F.sum(F.when(F.col("json_type").isNotNull(), F.col("n")).otherwise(0)).alias("n_values"),
+        F.sum(F.when(F.col("is_number"), F.col("n")).otherwise(0)).alias("n_numbers"),
+        (F.max("high") - F.min("low")).alias("spread"),
+        sum((F.bit_count(F.bit_or(f"mask_{i}")) for i in range(4)), F.lit(0)).alias("n_rests"),
+        F.min("exported_at").alias("exported_at"),
     )
-    whole = Window.partitionBy("table_name", "field", "kind")
-    return counted.withColumn("n_kind", F.sum("n").over(whole)).withColumn("share", F.col("n") / F.col("n_kind"))
+    n = F.col("n_values")
+    # different whole numbers span at least n - 1; of n of them so many remainders by 256 are to be expected
+    distinct = F.least(n, 256 * (1 - F.exp(-n / 256.0)))
+    sequence = (n > 1) & (F.col("n_numbers") == n) & F.col("spread").between(0.8 * (n - 1), 3 * n) & (F.col("n_rests") >= 0.8 * distinct)
+    return h.select(*KEY, "exported_at", "field", "types", F.coalesce(sequence, F.lit(False)).alias("is_sequence"))
 
 
 def _words(name: Column) -> Column:
@@ -140,55 +171,139 @@ def _name_likeness(a: Column, b: Column) -> Column:
     return F.greatest(shared, F.when(edit > 0.5, edit).otherwise(F.lit(0.0)), inside)
 
 
-def file_steps(headers: DataFrame) -> DataFrame:
-    """Headers with ``step``, the position of the file among the files of its site and table by time (ties by name)."""
-    files = headers.select(*FILE).distinct()
-    order = Window.partitionBy("site", "table_name").orderBy(F.col("exported_at").asc_nulls_first(), "file_name")
-    return headers.join(files.withColumn("step", F.row_number().over(order)).select("site", "table_name", "file_name", "step"), ["site", "table_name", "file_name"])
+def _in_order(files: DataFrame) -> DataFrame:
+    """The files in range partitions by site, table and time, with ``block``, the number of the partition; written once."""
+    return cut(files.repartitionByRange(*(F.col(c) for c in ORDER)).sortWithinPartitions(*ORDER).withColumn("block", F.spark_partition_id()))
+
+
+def file_headers(headers: DataFrame) -> DataFrame:
+    """One row for each file, in order: ``fields``, the structs (field, types) of its header, and ``block``."""
+    files = headers.groupBy(*KEY).agg(F.min("exported_at").alias("exported_at"), F.array_sort(F.collect_list(F.struct("field", "types"))).alias("fields"))
+    return _in_order(files)
+
 
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
 
-def rename_pairs(steps: DataFrame, profiles: DataFrame, score: float = RENAME_SCORE) -> DataFrame:
-    """(site, table_name, step, field, new_field): a field of the file before that is gone and the new field that carries its content.
 
-    Candidates are only the gone and the new fields of one file. A pair scores the likeness of contents – the
-    overlap of both names' token shares, of the kind of value in which they agree best – raised by the likeness
-    of the names; where no kind of value can be compared the names alone decide. Pairs are taken
-    from the best score down, ties by name, until no gone and new field of the file are left that match.
+def _batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 5000) -> Iterator[pa.RecordBatch]:
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _carried(blocks: dict[int, dict], before: dict | None = None) -> dict[int, dict]:
+    """For each block the state in which the one before it ends. ``blocks``: what :func:`_fold` says of each alone.
+
+    A field whose types a block does not know takes them from the state before the block.
     """
-    here = steps.select("site", "table_name", "step", "field")
-    before = here.withColumn("step", F.col("step") + 1)
-    last = here.groupBy("site", "table_name").agg(F.max("step").alias("last"))
-    key = ["site", "table_name", "step", "field"]
-    gone = before.join(last, ["site", "table_name"]).where("step <= last").drop("last").join(here, key, "left_anti")
-    new = here.where("step > 1").join(before, key, "left_anti").withColumnRenamed("field", "new_field")
-    pairs = gone.join(new, ["site", "table_name", "step"])
-    names = pairs.select("table_name", "field", "new_field").distinct()
-    a = profiles.select("table_name", "field", "kind", "token", F.col("share").alias("share_a"), F.col("n_kind").alias("n_a"))
-    b = profiles.select("table_name", F.col("field").alias("new_field"), "kind", "token", F.col("share").alias("share_b"), F.col("n_kind").alias("n_b"))
-    kinds_a = a.groupBy("table_name", "field", "kind").agg(F.max("n_a").alias("n_a"))
-    kinds_b = b.groupBy("table_name", "new_field", "kind").agg(F.max("n_b").alias("n_b"))
-    comparable = names.join(kinds_a, ["table_name", "field"]).join(kinds_b, ["table_name", "new_field", "kind"]).where(F.least("n_a", "n_b") >= MIN_VALUES)
-    overlap = (
-        names.join(a.drop("n_a"), ["table_name", "field"])
-        .join(b.drop("n_b"), ["table_name", "new_field", "kind", "token"])
-        .groupBy("table_name", "field", "new_field", "kind")
-        .agg(F.sum(F.least("share_a", "share_b")).alias("overlap"))
+    out, state = {}, before
+    for block in sorted(blocks):
+        out[block] = state
+        end = blocks[block]
+        fields = {}
+        for name, types, origin in end["fields"]:
+            if types is None and origin is not None and state is not None and (state["site"], state["table_name"]) == (end["site"], end["table_name"]):
+                types = state["fields"].get(origin)
+            fields[name] = tuple(types) if types is not None else None
+        state = {"site": end["site"], "table_name": end["table_name"], "fields": fields}
+    return out
+
+
+def _ends(ordered: DataFrame, step) -> dict[int, dict]:
+    """The last state of each block, gathered on the driver: one header for each partition of the files."""
+    schema = pa.schema([("block", pa.int32()), ("site", pa.string()), ("table_name", pa.string()), ("fields", pa.list_(pa.struct([("name", pa.string()), ("types", pa.list_(pa.string())), ("origin", pa.string())])))])
+
+    def last(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = None
+        for end in step(_rows(batches)):
+            pass
+        if end is not None:
+            yield from _batches([end], schema)
+
+    found = ordered.mapInArrow(last, "block int, site string, table_name string, fields array<struct<name: string, types: array<string>, origin: string>>").collect()
+    return {r["block"]: {"site": r["site"], "table_name": r["table_name"], "fields": [tuple(f) for f in r["fields"]]} for r in found}
+
+
+def _name_ends(rows: Iterator[dict]) -> Iterator[tuple]:
+    for r in rows:
+        yield r["block"], r["site"], r["table_name"], [{"name": f["field"], "types": None, "origin": None} for f in r["fields"]]
+
+
+def step_pairs(ordered: DataFrame) -> DataFrame:
+    """(site, table_name, file_name, field, new_field): each field gone since the file before with each new field of the file."""
+    sent = ordered.sparkSession.sparkContext.broadcast(_carried(_ends(ordered, _name_ends)))
+    schema = pa.schema([(c, pa.string()) for c in (*KEY, "field", "new_field")])
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            key, names = None, set()
+            for i, r in enumerate(_rows(batches)):
+                if i == 0 and (before := sent.value.get(r["block"])):
+                    key, names = (before["site"], before["table_name"]), set(before["fields"])
+                here = {f["field"] for f in r["fields"]}
+                if key == (r["site"], r["table_name"]):
+                    for gone in sorted(names - here):
+                        for new in sorted(here - names):
+                            yield r["site"], r["table_name"], r["file_name"], gone, new
+                key, names = (r["site"], r["table_name"]), here
+
+        yield from _batches(made(), schema)
+
+    return ordered.mapInArrow(pairs, ", ".join(f"{f.name} string" for f in schema))
+
+
+def rename_pairs(counts: DataFrame, headers: DataFrame, pairs: DataFrame, score: float = RENAME_SCORE) -> DataFrame:
+    """(site, table_name, file_name, field, new_field): a field that is gone and the new field that carries its content.
+
+    Candidates are only the gone and the new fields of one file. A pair scores the likeness of contents – the overlap
+    of both names' token shares over the whole journal, of the kind of value (number or text) in which they agree
+    best – raised by the likeness of the names. Few values say little: the content's weight is m / (m +
+    ``PRIOR_VALUES``), m being the smaller number of values, and the names have the rest. Numbers that count upwards
+    within a file are one token: their size says nothing. Pairs are taken from the best score down, ties by name,
+    until no gone and new field of the file are left that match.
+    """
+    names = pairs.groupBy("table_name", "field", "new_field").agg(F.lit(1).alias("one")).drop("one")
+    sides = cut(names).withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("name", F.when(F.col("side") == "a", F.col("field")).otherwise(F.col("new_field")))
+    flags = headers.where("is_sequence").select(*KEY, "field", F.lit(True).alias("flag"))
+    profile = (
+        counts.where("json_type is not null")
+        .join(flags, [*KEY, "field"], "left")
+        .groupBy("table_name", F.col("field").alias("name"), "is_number", F.when(F.col("flag"), "<sequence>").otherwise(F.col("token")).alias("token"))
+        .agg(F.sum("n").alias("n"))
     )
-    content = (
-        comparable.join(overlap, ["table_name", "field", "new_field", "kind"], "left")
-        .groupBy("table_name", "field", "new_field")
-        .agg(F.max(F.coalesce("overlap", F.lit(0.0))).alias("content"))
+    met = (
+        profile.join(sides, ["table_name", "name"])
+        .groupBy("table_name", "field", "new_field", "is_number", "token")
+        .agg(*(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s) for s in "ab"))
     )
-    likeness = _name_likeness(F.col("field"), F.col("new_field"))
-    scored = (
-        names.join(content, ["table_name", "field", "new_field"], "left")
-        .withColumn("name", likeness)
-        .withColumn("score", F.when(F.col("content").isNull(), F.col("name")).otherwise(F.when(F.col("content") < 0.25, 0.0).otherwise(F.col("content") + NAME_WEIGHT * F.col("name"))))
-        .where(F.col("score") >= score)
+    total = met.groupBy("table_name", "field", "new_field", "is_number").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
+    overlap = (
+        met.where("a > 0 and b > 0")
+        .join(total, ["table_name", "field", "new_field", "is_number"])
+        .groupBy("table_name", "field", "new_field", "is_number")
+        .agg(F.sum(F.least(F.col("a") / F.col("n_a"), F.col("b") / F.col("n_b"))).alias("overlap"))
     )
-    found = pairs.join(scored, ["table_name", "field", "new_field"])
-    rows = found.select("site", "table_name", "step", "field", "new_field", "score")
-    return rows.groupBy("site", "table_name", "step").applyInArrow(_assign, rows.schema)
+    scored = _scores(total, overlap).where(F.col("score") >= score)
+    rows = pairs.join(scored, ["table_name", "field", "new_field"]).select(*KEY, "field", "new_field", "score")
+    return rows.groupBy(*KEY).applyInArrow(_assign, rows.schema)
+
+
+def _scores(total: DataFrame, overlap: DataFrame) -> DataFrame:
+    key = ["table_name", "field", "new_field"]
+    m = F.least("n_a", "n_b")
+    sure = m / (m + PRIOR_VALUES)
+    kinds = total.join(overlap, [*key, "is_number"], "left").withColumn("sure", sure).withColumn("likeness", F.coalesce("overlap", F.lit(0.0)))
+    content = kinds.groupBy(*key).agg(F.max_by(F.struct("likeness", "sure"), F.struct(F.col("likeness") * F.col("sure"), "sure")).alias("best"))
+    names = _name_likeness(F.col("field"), F.col("new_field"))
+    by_content = F.when(F.col("best.likeness") < 0.25, 0.0).otherwise(F.col("best.likeness") + NAME_WEIGHT * names)
+    return content.select(*key, (F.col("best.sure") * by_content + (1 - F.col("best.sure")) * names).alias("score"))
 
 
 def _assign(pairs: pa.Table) -> pa.Table:
@@ -203,58 +318,85 @@ def _assign(pairs: pa.Table) -> pa.Table:
     return pairs.take(pa.array(kept, pa.int64()))
 
 
-def _fold(group: pd.DataFrame) -> pd.DataFrame:
-    """Carry the fields of one site and table from file to file. ``group``: headers with ``old_field`` where renamed."""
-    out, state, had_files = [], {}, False
-    for (_, file_name), rows in group.groupby(["step", "file_name"], sort=True):
-        now = {}
-        for row in rows.itertuples():
-            types = tuple(row.types) if row.types is not None else ()
-            old = row.old_field if isinstance(row.old_field, str) else row.field
-            if old in state:
-                before, root, width = state[old]
-                if old != row.field:
-                    out.append((file_name, row.step, old, row.field, "renamed", root))
-                if types and before and set(types) != set(before):
-                    out.append((file_name, row.step, old, row.field, "type_changed", root))
-                now[row.field] = (types or before, root, width | sum(LATTICE[t] for t in types))
-            else:
-                if had_files:
-                    out.append((file_name, row.step, row.field, row.field, "added", row.field))
-                now[row.field] = (types, row.field, sum(LATTICE[t] for t in types))
-        taken = {r.old_field for r in rows.itertuples() if isinstance(r.old_field, str)}
-        for field, (_, root, _) in state.items():
-            if field not in now and field not in taken:
-                out.append((file_name, rows.step.iloc[0], field, field, "removed", root))
-        state, had_files = now, True
-    frame = pd.DataFrame(out, columns=["file_name", "step", "field", "new_field", "change", "root"])
-    frame.insert(0, "table_name", group.table_name.iloc[0])
-    frame.insert(0, "site", group.site.iloc[0])
-    return frame
-
-
-def schema_changes(steps: DataFrame, renames: DataFrame) -> DataFrame:
-    """The ordered log of changes: site, table_name, file_name, step, field, new_field, change, root.
-
-    The fold runs once for each site and table over its headers (a few rows for each file). A file without a
-    non-null value of a field keeps the types it had before, through renames too.
-    """
-    old = renames.select("site", "table_name", "step", F.col("new_field").alias("field"), F.col("field").alias("old_field"))
-    rows = steps.select("site", "table_name", "file_name", "step", "field", "types").join(old, ["site", "table_name", "step", "field"], "left")
-    schema = "site string, table_name string, file_name string, step int, field string, new_field string, change string, root string"
-    return rows.groupBy("site", "table_name").applyInPandas(_fold, schema)
-
-
-def read_drift(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Fields, headers, headers with their step, and renames.
-
-    The headers and the profiles are written once to the checkpoint folder: they are small beside the records and
-    are read by many joins, each of which would parse all records again.
+def _step(r: dict, state: dict[str, tuple] | None) -> tuple[list[tuple[str, str, str]], dict[str, tuple]]:
+    """(changes, state) of a file after the one that left ``state``: field -> (types, field of the unknown state before)."""
+    old_name = {x["new_field"]: x["field"] for x in r["renames"] or ()}
+    changes, now = [], {}
+    for f in r["fields"]:
+        field, types = f["field"], tuple(f["types"])
+        old = old_name.get(field, field)
+        if state is not None and old in state:
+            before, origin = state[old]
+            if old != field:
+                changes.append((old, field, "renamed"))
+            if types and before and types != before:
+                changes.append((old, field, "type_changed"))
+            now[field] = (types, None) if types else (before, origin)
+        else:
+            if state is not None:
+                changes.append((field, field, "added"))
+            now[field] = (types or None, None)
+    taken = set(old_name.values())
+    changes += [(field, field, "removed") for field in state or () if field not in now and field not in taken]
+    return changes, now
+
+
+def schema_changes(ordered: DataFrame, renames: DataFrame) -> DataFrame:
+    """The ordered log of changes: site, table_name, file_name, exported_at, field, new_field, change.
+
+    A fold over the files of each site and table in order. It runs twice: the first time each range partition folds
+    its files alone and says how it ends (one header), with the fields whose types only the partition before knows;
+    with these joined up, the second run gives the log. A file without a non-null value of a field keeps the types
+    it had before, through renames too.
     """
-    fields = parse_fields(lines)
-    headers = cut(read_headers(fields))
-    steps = cut(file_steps(headers))
-    return fields, headers, steps, rename_pairs(steps, cut(name_profiles(fields, headers)))
+    pairs = renames.groupBy(*KEY).agg(F.collect_list(F.struct("field", "new_field")).alias("renames"))
+    files = _in_order(ordered.drop("block").join(pairs, KEY, "left"))
+    context = files.sparkSession.sparkContext
+    before = context.broadcast({b: x and {**x, "fields": list(x["fields"])} for b, x in _carried(_ends(files, _name_ends)).items()})
+
+    def alone(rows: Iterator[dict]) -> Iterator[tuple]:
+        key, state = None, None
+        for i, r in enumerate(rows):
+            if i == 0 and (known := before.value.get(r["block"])):
+                key, state = (known["site"], known["table_name"]), {name: (None, name) for name in known["fields"]}
+            mine = (r["site"], r["table_name"])
+            _, state = _step(r, state if key == mine else None)
+            key = mine
+            yield r["block"], *mine, [{"name": n, "types": t, "origin": o} for n, (t, o) in state.items()]
+
+    starts = context.broadcast(_carried(_ends(files, alone)))
+    schema = pa.schema([("site", pa.string()), ("table_name", pa.string()), ("file_name", pa.string()), ("exported_at", pa.timestamp("us", "UTC")), *((c, pa.string()) for c in ("field", "new_field", "change"))])
+
+    def log(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> Iterator[tuple]:
+            key, state = None, None
+            for i, r in enumerate(_rows(batches)):
+                if i == 0 and (known := starts.value.get(r["block"])):
+                    key, state = (known["site"], known["table_name"]), {n: (t, None) for n, t in known["fields"].items()}
+                mine = (r["site"], r["table_name"])
+                changes, state = _step(r, state if key == mine else None)
+                key = mine
+                for c in changes:
+                    yield *mine, r["file_name"], r["exported_at"], *c
+
+        yield from _batches(made(), schema)
+
+    time = dict(ordered.dtypes)["exported_at"]
+    return files.mapInArrow(log, f"site string, table_name string, file_name string, exported_at {'timestamp' if time != 'timestamp_ntz' else time}, field string, new_field string, change string")
+
+
+class Drift:
+    """The counts, headers, ordered files and renames of exported records."""
+
+    def __init__(self, lines: DataFrame):
+        self.lines = lines
+        self.counts = count_values(lines)
+        self.headers = read_headers(self.counts)
+        self.files = file_headers(self.headers)
+        self.renames = cut(rename_pairs(self.counts, self.headers, step_pairs(self.files)).drop("score"))
+
+    def changes(self) -> DataFrame:
+        return schema_changes(self.files, self.renames)
 
 
 def drift_report(lines: DataFrame) -> DataFrame:
@@ -263,58 +405,118 @@ def drift_report(lines: DataFrame) -> DataFrame:
     ``lines``: ``file_name``, ``site``, ``table_name``, ``exported_at``, ``line_no``, ``record``. Nulls and broken
     records are passed over, repeated lines change nothing, an empty table gives an empty report, further columns
     are ignored. A file none of whose records is valid takes no part, nor does a row with a null site, table or
-    file name.
+    file name; of several times of one file the earliest counts, files without a time come first.
     """
-    _, _, steps, renames = read_drift(lines)
-    return schema_changes(steps, renames)
+    return Drift(lines).changes()
 
 
-def canonical_names(headers: DataFrame, renames: DataFrame) -> DataFrame:
+def canonical_names(drift: Drift) -> DataFrame:
     """(table_name, field, column): the names of one field across all sites and files under the most frequent of them.
 
-    Names are linked by the renames found; the smallest name of a group spreads along the links. The links are
-    schema-sized: one row for each pair of names of a table.
+    Names are linked by the renames found, the most frequent rename first, and by the same words in another style;
+    two names that stand in one header together are two fields and never linked. One group holds the names of one
+    table and the different pairs of names of its headers: it grows with the schema, not with files or records.
     """
-    names = headers.groupBy("table_name", "field").agg(F.sum("n_records").alias("n"))
-    links = renames.select(F.col("table_name").alias("of_table"), F.col("field").alias("old_name"), F.col("new_field").alias("new_name")).distinct()
-
-    def group(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        root = {f: f for f in left.field}
-
-        def find(x: str) -> str:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        for a, b in sorted(zip(right.old_name, right.new_name, strict=True)):
-            a, b = find(a), find(b)
-            root[max(a, b)] = min(a, b)
-        left = left.assign(root=[find(f) for f in left.field]).sort_values(["root", "n", "field"], ascending=[True, False, True])
-        left["column"] = left.groupby("root").field.transform("first")
-        return left[["table_name", "field", "column"]]
-
-    return names.groupBy("table_name").cogroup(links.groupBy("of_table")).applyInPandas(group, "table_name string, field string, column string")
+    counts = drift.counts.groupBy("table_name", "field").agg(F.sum("n").alias("n"))
+    links = drift.renames.groupBy("table_name", F.col("field").alias("a"), F.col("new_field").alias("b")).agg(F.count("*").alias("n"))
+    header = F.col("header")
+    headers = drift.files.select("table_name", F.transform("fields", lambda f: f["field"]).alias("header")).distinct()
+    pairs = headers.select("table_name", F.explode(F.transform(header, lambda x: F.struct(x.alias("a"), header.alias("others")))).alias("p")).select("table_name", F.col("p.a").alias("a"), F.explode("p.others").alias("b"))
+    apart = pairs.where("a < b").distinct()
+    part = lambda df, what, a, b, n: df.select("table_name", F.lit(what).alias("what"), a.alias("a"), b.alias("b"), n.alias("n"))
+    none = F.lit(None).cast("string")
+    one = F.lit(0).cast("bigint")
+    style = F.array_join(_words(F.col("field")), " ")
+    rows = part(counts, "name", F.col("field"), style, F.col("n")).unionByName(part(links, "link", F.col("a"), F.col("b"), F.col("n"))).unionByName(part(apart, "apart", F.col("a"), F.coalesce("b", none), one))
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        names = rows[rows.what == "name"]
+        members = {f: {f} for f in names.a}
+        apart = {frozenset(p) for p in rows[rows.what == "apart"][["a", "b"]].itertuples(index=False)}
+
+        def link(a: str, b: str) -> None:
+            x, y = members.get(a), members.get(b)
+            if x is not None and y is not None and x is not y and not any(frozenset((p, q)) in apart for p in x for q in y):
+                x |= y
+                for f in y:
+                    members[f] = x
+
+        for _, same in names.sort_values("a").groupby("b"):
+            for f in same.a.iloc[1:]:
+                link(same.a.iloc[0], f)
+        found = rows[rows.what == "link"].sort_values(["n", "a", "b"], ascending=[False, True, True])
+        for a, b in zip(found.a, found.b, strict=True):
+            link(a, b)
+        n = dict(zip(names.a, names.n, strict=True))
+        best = {f: max(sorted(m), key=lambda x: n[x]) for f, m in members.items()}
+        return pd.DataFrame({"table_name": names.table_name, "field": names.a, "column": names.a.map(best)})
+
+    return rows.groupBy("table_name").applyInPandas(group, "table_name string, field string, column string")
+
+
+def _join_of_kinds(kinds: Column) -> Column:
+    """The least type that all ``kinds`` can be cast to and that one of them is by itself."""
+    out = F.lit("string")
+    for t in reversed(TYPES):
+        able = [k for k, to in PROMOTIONS.items() if t in to]
+        firm = [k for k in FIRM if k in able]
+        all_able = F.size(F.array_except(kinds, F.array(*map(F.lit, able)))) == 0
+        out = F.when(all_able & F.arrays_overlap(kinds, F.array(*map(F.lit, firm))), t).otherwise(out)
+    return F.when(F.size(kinds) == 0, "string").otherwise(out)
+
+
+def union_schema(drift: Drift, names: DataFrame) -> DataFrame:
+    """(table_name, column, union_type, seen_types, n_files): the least type of the lattice that holds every file's values.
+
+    The kinds of the opened values count, not the wrappings, except where a column has arrays only. A column without
+    a value is text.
+    """
+    rows = drift.counts.join(names, ["table_name", "field"])
+    seen = rows.groupBy("table_name", "column").agg(
+        F.collect_set("kind").alias("kinds"), F.array_join(F.sort_array(F.collect_set("json_type")), "+").alias("seen_types"), F.count_distinct("site", "file_name").alias("n_files")
+    )
+    union = F.when(F.col("seen_types") == "array", "array").otherwise(_join_of_kinds(F.col("kinds")))
+    return seen.select("table_name", "column", union.alias("union_type"), "seen_types", "n_files")
 
 
-def union_schema(headers: DataFrame, names: DataFrame) -> DataFrame:
-    """(table_name, column, union_type, n_files): the least type of the lattice that holds every file's values."""
-    types = headers.join(names, ["table_name", "field"]).select("table_name", "column", "file_name", F.explode_outer("types").alias("t"))
-    bits = types.groupBy("table_name", "column").agg(F.sort_array(F.collect_set("t")).alias("types"), F.count_distinct("file_name").alias("n_files"))
-    only = lambda *t: F.size(F.array_except("types", F.array(*map(F.lit, t)))) == 0
-    union = F.when(F.size("types") == 0, "null").when(only("whole"), "whole").when(only("whole", "decimal"), "decimal").when(only("boolean"), "boolean").otherwise("string")
-    return bits.select("table_name", "column", union.alias("union_type"), F.array_join("types", "+").alias("seen_types"), "n_files")
+def _cast(opened: Column, union_type: str) -> Column:
+    """An opened value in its column's type; null where it cannot be cast, which the union type rules out."""
+    if union_type == "string":
+        return opened
+    bare = F.regexp_replace(_bare(opened), r"\.0+$", "") if union_type == "whole" else _bare(opened)
+    return bare.try_cast(TYPES[union_type])
 
 
-def unified_records(fields: DataFrame, names: DataFrame) -> DataFrame:
-    """One row for each record: the file's columns, ``line_no`` and ``record``, a map from the union schema's column to the value's text.
+def unified_table(lines: DataFrame, table_name: str, columns: list[tuple[str, str, list[str]]]) -> DataFrame:
+    """The valid records of one table in one schema: the file's columns, ``line_no``, and each column in its type.
 
-    Where two fields of one record fall on one column, the one with the column's own name wins. Repeated lines
-    stay, with their own line number.
+    ``columns``: (column, union type, names in the files). Projections of the records: nothing is shuffled. Where a
+    record has a column under two names, the column's own name counts, then the first in order that is not null.
+    Values are opened (``[7]``, ``{"id": 7}``) and, in columns of numbers, taken out of text (``"CHK-0007"``, ``"7"``,
+    ``7.0``). Repeated lines stay, with their own line number. A column named like one of the file's gets the prefix
+    ``record_``.
     """
-    # as many names as the schemas have: Spark broadcasts it by its size or joins by shuffle
-    named = fields.join(names, ["table_name", "field"])
-    one = named.groupBy(*FILE, "line_no", "column").agg(
-        F.max_by(F.col("json"), F.struct(F.when(F.col("field") == F.col("column"), 1).otherwise(0), F.col("field"))).alias("json")
-    )
-    value = F.regexp_replace("json", r'^"(.*)"$', "$1")
-    return one.groupBy(*FILE, "line_no").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", value.alias("value"))))).alias("record"))
+    keys = ["site", "file_name", "exported_at", "line_no"]
+    rows = lines.where(F.col("table_name") == table_name).select(*keys, F.expr("try_parse_json(record)").alias("v"))
+    rows = rows.where("site is not null and file_name is not null and v is not null and startswith(schema_of_variant(v), 'OBJECT')")
+    raw, once, twice, out = [], [], [], []
+    for i, (column, union_type, names) in enumerate(columns):
+        paths = ["$['" + n.replace("\\", "\\\\").replace("'", "\\'") + "']" for n in sorted(names, key=lambda n: (n != column, n))]
+        raw.append(F.coalesce(*(F.try_variant_get("v", p, TYPES["array" if union_type == "array" else "string"]) for p in paths)).alias(f"_{i}"))
+        value = F.col(f"_{i}")
+        once.append((value if union_type == "array" else _opened(value)).alias(f"_{i}"))
+        twice.append((value if union_type == "array" else _opened(value)).alias(f"_{i}"))
+        taken = column.lower() in {*KEY, "exported_at", "line_no"}
+        out.append((value if union_type == "array" else _cast(value, union_type)).alias(f"record_{column}" if taken else column))
+    return rows.select(*keys, *raw).select(*keys, *once).select(*keys, *twice).select(*keys, *out)
+
+
+def unified_columns(drift: Drift) -> dict[str, list[tuple[str, str, list[str]]]]:
+    """For each table the columns of its union schema with type and names: schema-sized, and needed to plan the projection."""
+    names = canonical_names(drift)
+    names = cut(names)
+    grouped = names.groupBy("table_name", "column").agg(F.sort_array(F.collect_list("field")).alias("names")).join(union_schema(drift, names), ["table_name", "column"])
+    out: dict[str, list[tuple[str, str, list[str]]]] = {}
+    for r in grouped.orderBy("table_name", "column").collect():
+        out.setdefault(r["table_name"], []).append((r["column"], r["union_type"], r["names"]))
+    return out
