@@ -2,14 +2,13 @@
 
 Items and documents are brought to streams of letters and digits as a reader sees them. Every run of ``RUN`` words
 of an item (or the whole of a shorter one) is a window. The windows of items and those of documents at every word
-start are embedded by the CGK random walk, which maps edit distance to Hamming distance; keys of sampled
-coordinates of the embedding put windows that are alike into one bucket, several times for a target recall; the
-candidates are verified exactly.
+start are embedded by the CGK random walk, which maps edit distance to Hamming distance; the walk goes through the
+whole window. Keys of steps sampled over the whole walk put windows that are alike into one bucket, in several tables
+for a target recall; every candidate is verified once, by a banded edit distance of a batch of candidates.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 from functools import reduce
@@ -26,9 +25,12 @@ from .chars import BLANKS, INVISIBLE, LOOK_ALIKES, WIDE, stable
 
 RUN = 12
 RECALL = 0.95
-SAMPLES = 16
-#: Steps of the walk that are taken for every window; a window of fewer characters takes as many steps.
-STEPS = 32
+#: Steps of the walk that a key holds: for equal windows, and where windows may differ.
+SAMPLES, SAMPLES_OF_EDITED = 16, 5
+#: A window may differ in one letter for each so many letters of it, up to the edits allowed.
+LETTERS_AN_EDIT = 12
+#: Windows with random edits on which the number of tables is measured; most tables that are made.
+PLANTED, MOST_TABLES = 400, 60
 #: Characters of items that are sent to the executors at a time; more items are taken in blocks.
 BLOCK_CHARS = 16 << 20
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
@@ -80,9 +82,14 @@ def _codes(read_text: str) -> np.ndarray:
 
 
 class Windows:
-    """The windows of a block of items with their keys."""
+    """The windows of a block of items and the tables that find them.
 
-    def __init__(self, items: list[tuple[int, str]], run: int = RUN, max_edits: int = 0, recall: float = RECALL, seed: int = 7):
+    ``tables`` is their number where it is known already; else as many are made as the target recall needs, measured
+    on the windows themselves with ``max_edits`` random edits each. Windows without edits have equal keys in every
+    table: one table finds all of them.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], run: int = RUN, max_edits: int = 0, recall: float = RECALL, seed: int = 7, tables: int | None = None):
         self.max_edits = max_edits
         by_text: dict[str, set[int]] = {}
         for item_id, text in items:
@@ -92,101 +99,217 @@ class Windows:
                     by_text.setdefault("".join(words[k : k + run]), set()).add(item_id)
         self.texts = sorted(by_text)
         self.items = [sorted(by_text[t]) for t in self.texts]
-        classes: dict[int, list[int]] = {}
-        for w, text in enumerate(self.texts):
-            n = len(_codes(text))
-            classes.setdefault(STEPS if n >= STEPS else 1 << (n.bit_length() - 1), []).append(w)
+        codes = [_codes(t) for t in self.texts]
+        self.lengths = np.array([len(c) for c in codes], dtype=np.int64)
+        self.limits = np.minimum(max_edits, self.lengths // LETTERS_AN_EDIT)
+        self.codes = _padded(codes, int(self.lengths.max(initial=0)))
+        # the walk sees letters as one byte: those of the items, in order of appearance, and one for all others
+        letters = np.unique(self.codes[self.codes > 0])
+        self.byte = np.zeros(1 << 16, dtype=np.uint8)
+        self.byte[letters] = 1 + np.arange(len(letters)) % 254
+        self.tables: list[_Table] = []
+        if not self.texts:
+            return
         rng = np.random.default_rng(seed)
-        # one coordinate agrees with probability 1 - 2k/steps at least for windows k edits apart whose walks stay
-        # together; equal windows agree in all of them and need one round
-        self.rounds = []
-        for steps, members in sorted(classes.items()):
-            samples = min(SAMPLES, steps)
-            if max_edits:
-                samples = max(4, min(samples, steps // (2 * max_edits)))
-            agree = max(0.05, 1 - 2 * max_edits / steps) ** samples
-            times = 1 if not max_edits else math.ceil(math.log(1 - recall) / math.log(1 - agree))
-            for _ in range(times):
-                at = np.sort(rng.choice(steps, samples, replace=False)) if samples < steps else np.arange(steps)
-                self.rounds.append(_Round(steps, at, rng.integers(0, 2, (steps, 1 << 16), dtype=np.uint8), [self.texts[w] for w in members], np.array(members)))
-
-    def find(self, stream: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
-        """(start, window) of each candidate that verifies. ``ends``: True behind the last character of a word."""
+        if not max_edits:
+            tables = 1
+        missing = None if tables else self._planted(rng)
+        while len(self.tables) < (tables or MOST_TABLES):
+            self.tables.append(_Table(self.byte[self.codes], self.lengths, SAMPLES_OF_EDITED if max_edits else SAMPLES, not max_edits, rng))
+            if missing is not None:
+                missing = [(stream, w) for stream, w in missing if w not in self.tables[-1].candidates(self.byte[stream], np.zeros(1, np.int64))[1]]
+                if len(missing) <= (1 - recall) * PLANTED:
+                    break
+
+    def _planted(self, rng: np.random.Generator) -> list[tuple[np.ndarray, int]]:
+        """Windows with random edits, as streams of text that goes on behind them."""
         out = []
-        for r in self.rounds:
-            positions, windows = r.candidates(stream, starts)
-            for p, w in zip(positions.tolist(), windows.tolist(), strict=True):
-                if self._same(stream, p, w, ends):
-                    out.append((p, w))
+        for w in rng.choice(len(self.texts), PLANTED):
+            code = self.codes[w, : self.lengths[w]].tolist()
+            for _ in range(int(self.limits[w])):
+                at, kind = int(rng.integers(len(code))), int(rng.integers(3))
+                code[at : at + (kind != 0)] = [int(rng.choice(code))] if kind < 2 else []
+            tail = self.codes[rng.choice(len(self.texts))]
+            out.append((np.concatenate([np.array(code, np.uint16), tail]), int(w)))
         return out
 
-    def _same(self, stream: np.ndarray, at: int, window: int, ends: np.ndarray) -> bool:
-        code = _codes(self.texts[window])
-        n = len(code)
-        if not self.max_edits:
-            return at + n <= len(stream) and bool(ends[at + n]) and np.array_equal(stream[at : at + n], code)
-        return _prefix_distance(code, stream[at : at + n + self.max_edits], self.max_edits) <= self.max_edits
-
-
-class _Round:
-    """One table of the locality-sensitive hashing: the walk's bits, the sampled steps, the windows' keys."""
-
-    def __init__(self, steps: int, at: np.ndarray, bits: np.ndarray, texts: list[str], ids: np.ndarray):
-        self.steps, self.sampled, self.bits = steps, np.isin(np.arange(steps), at), bits
-        # after some of the samples most windows can be told apart from all items; those walk no further
-        self.early = int(at[min(len(at) - 1, max(4, len(at) // 3))])
-        joined = np.concatenate([*(np.concatenate([_codes(t), np.zeros(steps, np.uint16)]) for t in texts), np.zeros(steps, np.uint16)])
-        lengths = np.array([len(_codes(t)) + steps for t in texts], dtype=np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        key, at_early, _ = self._walk(joined, starts, np.zeros(len(starts), np.uint64), 0, self.steps)
+    def find(self, stream: np.ndarray, starts: np.ndarray, ends: np.ndarray, border: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, window, edits) of each candidate that verifies, each pair once.
+
+        ``ends``: True behind the last letter of a word; ``border``: of each start the end of its text.
+        """
+        stream = np.concatenate([stream, np.zeros(self.codes.shape[1] + self.max_edits + 1, np.uint16)])
+        ends = np.concatenate([ends, np.zeros(len(stream) + 1 - len(ends), bool)])
+        letters = self.byte[stream]
+        met = [np.zeros(0, np.int64)]
+        for t in self.tables:
+            at, w = t.candidates(letters, starts)
+            met.append(at * len(self.texts) + w)
+        pairs = np.unique(np.concatenate(met))
+        at, w = pairs // max(1, len(self.texts)), pairs % max(1, len(self.texts))
+        stop = border[np.searchsorted(starts, at)] if len(at) else at
+        edits = np.concatenate([np.zeros(0, np.int64), *(self._edits(stream, at[i : i + 20_000], w[i : i + 20_000], ends, stop[i : i + 20_000]) for i in range(0, len(at), 20_000))])
+        right = edits <= self.limits[w] if len(w) else np.zeros(0, bool)
+        return at[right], w[right], edits[right]
+
+    def _edits(self, stream: np.ndarray, at: np.ndarray, w: np.ndarray, ends: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The least edit distance between each window and a text that starts at its place and ends with a word there.
+
+        All candidates go through the band of ``max_edits`` around the diagonal at the same time; a greater distance
+        comes out as any greater number.
+        """
+        k, order = self.max_edits, np.argsort(-self.lengths[w], kind="stable")
+        at, w, stop = at[order], w[order], stop[order]
+        n = self.lengths[w]
+        row = np.full((2 * k + 3, len(at)), 99, dtype=np.int16)  # one more on each side of the band
+        for d in range(k + 1):
+            row[k + 1 + d] = d
+        for i in range(1, int(n.max(initial=0)) + 1):
+            active = int(np.searchsorted(-n, -i, "right"))
+            c, here = self.codes[w[:active], i - 1], at[:active] + i - 1
+            for d in range(-k, k + 1):
+                if i + d < 0:
+                    continue
+                b = k + 1 + d
+                same = row[b, :active] + (stream[here + d] != c) if i + d > 0 else np.full(active, 99, np.int16)
+                row[b, :active] = np.minimum(np.minimum(same, row[b + 1, :active] + 1), row[b - 1, :active] + 1)
+        best = np.full(len(at), 99, dtype=np.int64)
+        for d in range(-k, k + 1):
+            end = at + n + d
+            best = np.where((n + d > 0) & (end <= stop) & ends[np.maximum(end, 0)], np.minimum(best, row[k + 1 + d]), best)
+        out = np.empty_like(best)
+        out[order] = best
+        return out
+
+
+class _Table:
+    """One table of the locality-sensitive hashing: the bits of the walk, the sampled steps, the windows' keys.
+
+    The walk of a window goes on until the window is read to its end, about two steps a letter. Windows whose walks
+    are about as long are a class, and a class samples steps of the whole of its shortest walk. A text does not know
+    how long a window is: it walks once and has a key for each class.
+    """
+
+    def __init__(self, letters: np.ndarray, lengths: np.ndarray, samples: int, exact: bool, rng: np.random.Generator):
+        most = 8 * letters.shape[1] + 64
+        self.bits = rng.integers(0, 2, (most, 256), dtype=np.uint8)
+        seen = np.zeros((len(lengths), most), dtype=np.uint8)
+        at, walked = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        row = np.arange(len(lengths))
+        padded = np.concatenate([letters, np.zeros((len(lengths), 1), np.uint8)], axis=1)
+        for j in range(most):
+            inside = at < lengths
+            if not inside.any():
+                break
+            seen[:, j] = padded[row, np.minimum(at, letters.shape[1])]
+            walked += inside
+            at += np.where(inside, self.bits[j][seen[:, j]], 0)
+        steps = np.array(sorted({int(round(1.2**i)) for i in range(80)}))
+        of = steps[np.searchsorted(steps, walked, "right") - 1]
+        # equal windows agree in every step: the first steps, in which most texts leave all windows, may be dense
+        first = np.sort(rng.choice(16, 8, replace=False)) if exact else np.zeros(0, int)
+        self.classes = []
+        for s in np.unique(of).tolist():
+            if s <= samples:
+                at = np.arange(s)
+            elif exact and s > 16:
+                at = np.concatenate([first, 16 + np.sort(rng.choice(s - 16, min(s - 16, samples - 8), replace=False))])
+            else:
+                at = np.sort(rng.choice(s, samples, replace=False))
+            members = np.flatnonzero(of == s)
+            self.classes.append(_Class(s, at, seen[members], members))
+        wanted = {c.at[i] + 1 for c in self.classes for i in range(2, len(c.at)) if len(c.at) > 3}
+        self.checks = {j: [(c, c.hint(j)) for c in self.classes if c.steps >= j] for j in sorted(wanted)[:: max(1, len(wanted) // 16)]}
+        self.last = max(c.steps for c in self.classes)
+
+    def candidates(self, letters: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, window) wherever the keys of a text and of a window are the same."""
+        letters = np.concatenate([letters, np.zeros(self.last + 1, np.uint8)])
+        found_at, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(starts), 1 << 16):
+            begin = starts[a : a + (1 << 16)]
+            at = begin.copy()
+            keys = {c: np.zeros(len(begin), np.uint64) for c in self.classes}
+            for j in range(self.last):
+                seen = letters[at]
+                for c, key in keys.items():
+                    if j in c.sampled:
+                        keys[c] = _mixed(key, seen)
+                at += self.bits[j][seen]
+                for c in [c for c in keys if c.steps == j + 1]:
+                    hit, w = c.windows(keys.pop(c))
+                    found_at.append(begin[hit])
+                    found.append(w)
+                if not keys:
+                    break
+                if j + 1 in self.checks:
+                    alive = np.zeros(len(begin), bool)
+                    for c, hint in self.checks[j + 1]:
+                        if c in keys:
+                            alive |= hint[_place(keys[c])] if hint is not None else True
+                    if alive.sum() < 0.75 * len(begin):
+                        begin, at = begin[alive], at[alive]
+                        keys = {c: key[alive] for c, key in keys.items()}
+                        if not len(begin):
+                            break
+        return np.concatenate(found_at), np.concatenate(found)
+
+
+class _Class:
+    """The windows of one table whose walks are about as long, by their keys."""
+
+    def __init__(self, steps: int, at: np.ndarray, seen: np.ndarray, members: np.ndarray):
+        self.steps, self.at, self.sampled, self._seen = steps, at, set(at.tolist()), seen
+        key = self._key(steps)
         order = np.argsort(key, kind="stable")
-        self.keys, self.ids = key[order], ids[order]
-        self.hint = np.zeros(1 << 20, dtype=bool)
-        self.hint[(at_early >> np.uint64(44)).astype(np.int64)] = True
-
-    def _walk(self, stream: np.ndarray, at: np.ndarray, key: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Steps ``first`` to ``last`` of the walk from the positions ``at``: keys, keys at the early step, positions."""
-        early = key
-        for j in range(first, last):
-            c = stream[at]
-            if self.sampled[j]:
-                key = (key ^ c) * np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(29)
-            at = at + self.bits[j][c]
-            if j == self.early:
-                early = key * np.uint64(0xBF58476D1CE4E5B9)
-        return key, early, at
-
-    def candidates(self, stream: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        padded = np.concatenate([stream, np.zeros(self.steps + 1, np.uint16)])
-        found_at, found = [], []
-        for a in range(0, len(starts), 1 << 18):
-            begin = starts[a : a + (1 << 18)]
-            key, early, at = self._walk(padded, begin, np.zeros(len(begin), np.uint64), 0, self.early + 1)
-            alive = np.flatnonzero(self.hint[(early >> np.uint64(44)).astype(np.int64)])
-            key, _, _ = self._walk(padded, at[alive], key[alive], self.early + 1, self.steps)
-            low, high = np.searchsorted(self.keys, key, "left"), np.searchsorted(self.keys, key, "right")
-            hit = np.flatnonzero(high > low)
-            counts = (high - low)[hit]
-            found_at.append(np.repeat(begin[alive[hit]], counts))
-            found.extend(self.ids[low[h] : high[h]] for h in hit)
-        return np.concatenate(found_at) if found_at else np.zeros(0, int), np.concatenate(found) if found else np.zeros(0, int)
-
-
-def _prefix_distance(code: np.ndarray, text: np.ndarray, limit: int) -> int:
-    """The least edit distance between ``code`` and a prefix of ``text``, exact up to ``limit``."""
-    row = np.arange(len(text) + 1)
-    steps = np.arange(len(text) + 1)
-    for i, c in enumerate(code, 1):
-        best = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (text != c))])
-        row = np.minimum.accumulate(best - steps) + steps  # insertions carry over from the left
-        if row.min() > limit:
-            return limit + 1
-    return int(row.min())
-
-
-def _find_in_batch(windows: Windows, ids: list, texts: list[str | None]) -> tuple[list, list[int], list[int]]:
-    """(document, item, number of windows found) of a batch; the texts are laid end to end, apart by a pad."""
+        self.keys, self.ids = key[order], members[order]
+        self.whole = self.hint(steps)
+
+    def _key(self, steps: int) -> np.ndarray:
+        key = np.zeros(len(self._seen), np.uint64)
+        for j in self.at:
+            if j < steps:
+                key = _mixed(key, self._seen[:, j])
+        return key
+
+    def hint(self, steps: int) -> np.ndarray | None:
+        """Which places the keys of the first ``steps`` steps have; None where nothing is sampled so far."""
+        if not (self.at < steps).any():
+            return None
+        out = np.zeros(1 << 18, dtype=bool)
+        out[_place(self._key(steps))] = True
+        return out
+
+    def windows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(position, window) of equal keys."""
+        maybe = np.flatnonzero(self.whole[_place(keys)])
+        low, high = np.searchsorted(self.keys, keys[maybe], "left"), np.searchsorted(self.keys, keys[maybe], "right")
+        n = high - low
+        total = int(n.sum())
+        if not total:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        within = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(maybe, n), self.ids[np.repeat(low, n) + within]
+
+
+def _mixed(key: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    key = (key ^ letter) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(29))
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return ((key * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(46)).astype(np.int64)
+
+
+def _padded(codes: list[np.ndarray], width: int) -> np.ndarray:
+    out = np.zeros((len(codes), width), dtype=np.uint16)
+    for row, code in zip(out, codes, strict=True):
+        row[: len(code)] = code
+    return out
+
+
+def _find_in_batch(windows: Windows, ids: list, texts: list[str | None]) -> tuple[list, list[int], list[int], list[int]]:
+    """(document, item, number of windows found, least edits) of a batch; the texts are laid end to end."""
     read_texts = [read(t) if t else "" for t in texts]
     flat = _codes(" ".join([" ", *read_texts, " "]))
     letter = flat != 32
@@ -203,25 +326,27 @@ def _find_in_batch(windows: Windows, ids: list, texts: list[str | None]) -> tupl
     bounds = np.concatenate([[2], 2 + np.cumsum(lengths)])  # of the flat text
     letters_before = np.concatenate([[0], np.cumsum(letter)])
     borders = letters_before[np.minimum(bounds, len(flat))]
-    found: dict[tuple[int, int], set[int]] = {}
-    for p, w in windows.find(stream, starts, ends):
-        k = int(np.searchsorted(borders, p, "right")) - 1
-        slack = windows.max_edits
-        if p + len(_codes(windows.texts[w])) - slack > borders[k + 1]:
-            continue  # it runs into the next text
+    owner = np.searchsorted(borders, starts, "right") - 1
+    at, found, edits = windows.find(stream, starts, ends, borders[owner + 1])
+    text_of = owner[np.searchsorted(starts, at)] if len(at) else at
+    best: dict[tuple[int, int], tuple[set[int], int]] = {}
+    for k, w, e in zip(text_of.tolist(), found.tolist(), edits.tolist(), strict=True):
         for item in windows.items[w]:
-            found.setdefault((k, item), set()).add(w)
-    return [ids[k] for k, _ in found], [i for _, i in found], [len(x) for x in found.values()]
+            seen, least = best.get((k, item), (set(), e))
+            seen.add(w)
+            best[k, item] = seen, min(least, e)
+    return [ids[k] for k, _ in best], [i for _, i in best], [len(s) for s, _ in best.values()], [e for _, e in best.values()]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, max_edits: int = 0, recall: float = RECALL) -> DataFrame:
-    """(doc_id, item_id, n_windows): documents that hold at least ``run`` consecutive words of an item, or a shorter one whole.
+    """(doc_id, item_id, n_windows, edits): documents that hold at least ``run`` consecutive words of an item, or a shorter one whole.
 
-    ``n_windows`` is the number of different windows of the item found. With ``max_edits`` the windows may differ
-    by so many characters inserted, deleted or replaced; each is then found with the probability ``recall``, and
-    with 0 every one is found. Case, punctuation, markup, spacing, line ends and the coding of characters do not
-    count. Null, empty and wordless texts and items match nothing. Repeated rows of one id count as one. Empty
-    tables give no rows; further columns are ignored.
+    ``n_windows`` is the number of different windows of the item found, ``edits`` the least number of letters by
+    which one of them differs. With ``max_edits`` a window may differ by so many letters inserted, deleted or
+    replaced, but not by more than one in ``LETTERS_AN_EDIT``; each is then found with about the probability
+    ``recall``, and with 0 every one is found. Case, punctuation, markup, spacing, line ends and the coding of
+    characters do not count. Null, empty and wordless texts and items match nothing. Repeated rows of one id count
+    as one. Empty tables give no rows; further columns are ignored.
 
     The items are the stated query set: they go to the executors in blocks of at most ``BLOCK_CHARS`` characters,
     and each block is one pass over the documents, which are read where they lie, whole and without a shuffle.
@@ -230,29 +355,33 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = RUN, max_edi
     wanted = items.select("item_id", F.col("item_text").alias("text")).where("text is not null")
     chars = wanted.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    schema = "doc_id bigint, item_id bigint, n_windows int"
+    schema = "doc_id bigint, item_id bigint, n_windows int, edits int"
     parts = []
     for b in range(blocks):
         block = wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).toPandas()
-        sent = spark.sparkContext.broadcast(list(zip(block.item_id.tolist(), block.text.tolist(), strict=True)))
+        rows = sorted(zip(block.item_id.tolist(), block.text.tolist(), strict=True))
+        tables = len(Windows(rows, run, max_edits, recall).tables) if max_edits else 1
+        sent = spark.sparkContext.broadcast(rows)
 
-        def search(batch: pa.RecordBatch, sent=sent, b=b, token=uuid4().hex) -> pa.RecordBatch:
-            windows = _windows((token, b, run, max_edits, recall), sent.value, run, max_edits, recall)
-            ids, found, n = _find_in_batch(windows, batch["doc_id"].to_pylist(), batch["text"].to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.int64()), pa.array(n, pa.int32())], ["doc_id", "item_id", "n_windows"])
+        def search(batch: pa.RecordBatch, sent=sent, b=b, tables=tables, token=uuid4().hex) -> pa.RecordBatch:
+            windows = _windows((token, b, run, max_edits, tables), sent.value)
+            columns = _find_in_batch(windows, batch["doc_id"].to_pylist(), batch["text"].to_pylist())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "n_windows", "edits"])
 
         parts.append(spread(documents.select("doc_id", "text").where("text is not null")).mapInArrow(per_batch(search), schema))
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min("edits").alias("edits"))
 
 
 _BUILT: dict[tuple, Windows] = {}
 
 
-def _windows(key: tuple, items: list[tuple[int, str]], run: int, max_edits: int, recall: float) -> Windows:
+def _windows(key: tuple, items: list[tuple[int, str]]) -> Windows:
     """The windows of a block, built once in each worker process."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Windows(items, run, max_edits, recall)
+        _, _, run, max_edits, tables = key
+        _BUILT[key] = Windows(items, run, max_edits, tables=tables)
     return _BUILT[key]
 
 

@@ -57,6 +57,12 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id")
 
 
+def p7_edits(spark: SparkSession, d: str) -> DataFrame:
+    """The same with up to two letters inserted, deleted or replaced in a run of words, and how many they were."""
+    leaks = leaked_items(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items"), max_edits=2)
+    return leaks.select("doc_id", "item_id", "edits")
+
+
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return item_report(_leaks(spark, d), table(spark, d, "eval_items"))
 
@@ -78,6 +84,7 @@ QUERIES = {
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
     "p7_found": p7_found,
+    "p7_edits": p7_edits,
     "p7_items": p7_items,
     "p8_found": p8_found,
     "p8_segments": p8_segments,
