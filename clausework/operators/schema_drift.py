@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -73,11 +73,11 @@ def _opened(text: Column) -> Column:
     return F.when(text.startswith("{") & text.endswith("}"), carried).when(text.startswith("["), element).otherwise(text)
 
 
-def _bare(opened: Column) -> Column:
-    """The opened value in lower case, a number without the letters that lead it and without a zero fraction, truth as 1 or 0."""
+def _bare(opened: Column, is_number: Column) -> Column:
+    """The opened value in lower case, a number without the letters that lead it, truth as 1 or 0."""
     text = F.lower(F.trim(opened))
-    text = F.regexp_replace(text, r"^[a-z]{1,5}[-_#:]0*(\d+)$", "$1")
-    return F.when(text.isin("true", "yes"), "1").when(text.isin("false", "no"), "0").otherwise(text)
+    code = F.regexp_replace(text, r"^[a-z]{1,5}[-_#:]0*(\d+)$", "$1")
+    return F.when(is_number, opened).when(text.isin("true", "yes"), "1").when(text.isin("false", "no"), "0").when(F.length(text) <= 32, code).otherwise(text)
 
 
 def _kind(json_type: Column, opened: Column) -> Column:
@@ -92,8 +92,8 @@ def _kind(json_type: Column, opened: Column) -> Column:
         .when(text.startswith("{") & (json_type == "object"), "object")
         .otherwise("string")
     )
-    plain = F.when(text.rlike(r"^-?\d+(\.0+)?$"), "whole").otherwise("decimal")
-    return F.when(json_type.isin("whole", "decimal"), plain).when(json_type == "boolean", "boolean").otherwise(held)
+    # a number without a fraction is whole, however it was written
+    return F.when(json_type == "whole", "whole").when(json_type == "decimal", F.when(opened.rlike(r"[.eE]"), "decimal").otherwise("whole")).when(json_type == "boolean", "boolean").otherwise(held)
 
 
 def _token(content: Column, number: Column) -> Column:
@@ -102,7 +102,7 @@ def _token(content: Column, number: Column) -> Column:
     fraction = F.floor(F.log2(F.abs(number) + F.lit(1e-9)) * 2).cast("string")
     masked = F.regexp_replace(content, r"\b(?=[a-z]*\d)(?=\d*[a-z])[a-z0-9]{5,}\b", "<code>")
     return (
-        F.when(number.isNull(), F.regexp_replace(masked, r"\d+", "#"))
+        F.when(number.isNull(), F.when(content.rlike("[0-9]"), F.regexp_replace(masked, r"\d+", "#")).otherwise(content))
         .when(number != F.floor(number), F.concat(F.lit("f"), fraction))
         .when(F.abs(number) < 32, number.cast("long").cast("string"))
         .otherwise(F.concat(F.lit("n"), size))
@@ -114,8 +114,8 @@ def count_values(lines: DataFrame) -> DataFrame:
 
     ``lines``: ``file_name``, ``site``, ``table_name``, ``exported_at``, ``line_no``, ``record``. The rows move once,
     as they are, to the task of their file and block of ``FILE_BLOCK`` lines; parsing and counting follow there
-    without a further shuffle, and a file with a third of all lines is as many tasks as it has blocks. Four masks
-    hold which remainders by 256 the whole numbers of a group have: they tell values that never come again.
+    without a further shuffle, and a file with a third of all lines is as many tasks as it has blocks. Numbers that
+    count upwards within a block are one token: their size says nothing.
     """
     block = F.coalesce(F.floor(F.col("line_no") / FILE_BLOCK), F.lit(0)).alias("block")
     moved = lines.where("site is not null and table_name is not null and file_name is not null").select(*KEY, "exported_at", block, "record").repartition(*KEY, "block")
@@ -126,34 +126,33 @@ def count_values(lines: DataFrame) -> DataFrame:
     # wrappings are opened twice, step by step: one expression would repeat itself within itself
     wrapped = F.col("json_type").isin("array", "object")
     opened = typed.withColumn("once", F.when(wrapped, _opened(F.col("text"))).otherwise(F.col("text"))).withColumn("opened", F.when(wrapped, _opened(F.col("once"))).otherwise(F.col("once")))
-    kinds = opened.withColumn("kind", F.when(F.col("json_type").isNotNull(), _kind(F.col("json_type"), F.col("opened")))).withColumn("content", _bare(F.col("opened")))
+    plain = F.col("json_type").isin("whole", "decimal")
+    kinds = opened.withColumn("kind", F.when(F.col("json_type").isNotNull(), _kind(F.col("json_type"), F.col("opened")))).withColumn("content", _bare(F.col("opened"), plain))
     # text such as 12e345 is no number but a code
-    is_number = F.col("json_type").isin("whole", "decimal") | F.col("content").rlike(r"^-?\d+(\.\d+)?$")
-    numbers = kinds.withColumn("number", F.when(is_number, F.expr("try_cast(content as double)"))).withColumn("number", F.when(F.abs("number") < 1e300, F.col("number")))
+    numbers = kinds.withColumn("number", F.when(plain | F.col("content").rlike(r"^-?\d+(\.\d+)?$"), F.expr("try_cast(content as double)"))).withColumn("number", F.when(F.abs("number") < 1e300, F.col("number")))
     tokens = numbers.select(*KEY, "block", "exported_at", "field", "json_type", "kind", "number", F.when(F.col("json_type").isNotNull(), _token(F.col("content"), F.col("number"))).alias("token"))
     rest = F.expr("cast(pmod(number, 256) as int)")
     masks = [F.bit_or(F.when(F.floor(rest / 64) == i, F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(rest, F.lit(64)))).otherwise(F.lit(0).cast("bigint"))).alias(f"mask_{i}") for i in range(4)]
     counted = tokens.groupBy(*KEY, "block", "field", "json_type", "kind", F.col("number").isNotNull().alias("is_number"), "token").agg(
         F.count("*").alias("n"), F.min("number").alias("low"), F.max("number").alias("high"), *masks, F.min("exported_at").alias("exported_at")
     )
-    return cut(counted)
-
-
-def read_headers(counts: DataFrame) -> DataFrame:
-    """One row for each (file, field): the sorted set of JSON types and whether its numbers count upwards."""
-    h = counts.groupBy(*KEY, "field").agg(
-        F.sort_array(F.collect_set("json_type")).alias("types"),
-        F.sum(F.when(F.col("json_type").isNotNull(), F.col("n")).otherwise(0)).alias("n_values"),
-        F.sum(F.when(F.col("is_number"), F.col("n")).otherwise(0)).alias("n_numbers"),
-        (F.max("high") - F.min("low")).alias("spread"),
-        sum((F.bit_count(F.bit_or(f"mask_{i}")) for i in range(4)), F.lit(0)).alias("n_rests"),
-        F.min("exported_at").alias("exported_at"),
-    )
-    n = F.col("n_values")
-    # different whole numbers span at least n - 1; of n of them so many remainders by 256 are to be expected
+    token = F.when(F.col("is_number") & _counts_upwards(), "<sequence>").otherwise(F.col("token"))
+    return cut(counted.select(*KEY, "block", "field", "json_type", "kind", "is_number", token.alias("token"), "n", "exported_at"))
+
+
+def _counts_upwards() -> Column:
+    """True for the rows of a field whose values, within a file's block, are numbers that hardly come again and lie close.
+
+    Different whole numbers span at least n - 1. Four masks hold which remainders by 256 the numbers have: of n
+    different numbers so many remainders are to be expected.
+    """
+    of_field = Window.partitionBy(*KEY, "block", "field")
+    n = F.sum(F.when(F.col("json_type").isNotNull(), F.col("n")).otherwise(0)).over(of_field)
+    n_numbers = F.sum(F.when(F.col("is_number"), F.col("n")).otherwise(0)).over(of_field)
+    spread = F.max("high").over(of_field) - F.min("low").over(of_field)
+    n_rests = sum((F.bit_count(F.bit_or(f"mask_{i}").over(of_field)) for i in range(4)), F.lit(0))
     distinct = F.least(n, 256 * (1 - F.exp(-n / 256.0)))
-    sequence = (n > 1) & (F.col("n_numbers") == n) & F.col("spread").between(0.8 * (n - 1), 3 * n) & (F.col("n_rests") >= 0.8 * distinct)
-    return h.select(*KEY, "exported_at", "field", "types", F.coalesce(sequence, F.lit(False)).alias("is_sequence"))
+    return F.coalesce((n > 1) & (n_numbers == n) & spread.between(0.8 * (n - 1), 3 * n) & (n_rests >= 0.8 * distinct), F.lit(False))
 
 
 def _words(name: Column) -> Column:
@@ -176,9 +175,9 @@ def _in_order(files: DataFrame) -> DataFrame:
     return cut(files.repartitionByRange(*(F.col(c) for c in ORDER)).sortWithinPartitions(*ORDER).withColumn("block", F.spark_partition_id()))
 
 
-def file_headers(headers: DataFrame) -> DataFrame:
-    """One row for each file, in order: ``fields``, the structs (field, types) of its header, and ``block``."""
-    files = headers.groupBy(*KEY).agg(F.min("exported_at").alias("exported_at"), F.array_sort(F.collect_list(F.struct("field", "types"))).alias("fields"))
+def file_headers(counts: DataFrame) -> DataFrame:
+    """One row for each file, in order: ``fields``, the pairs (field, JSON type or null) of its header, and ``block``."""
+    files = counts.groupBy(*KEY).agg(F.min("exported_at").alias("exported_at"), F.array_sort(F.collect_set(F.struct("field", "json_type"))).alias("fields"))
     return _in_order(files)
 
 
@@ -231,9 +230,17 @@ def _ends(ordered: DataFrame, step) -> dict[int, dict]:
     return {r["block"]: {"site": r["site"], "table_name": r["table_name"], "fields": [tuple(f) for f in r["fields"]]} for r in found}
 
 
+def _header(r: dict) -> dict[str, tuple[str, ...]]:
+    """The fields of a file with their JSON types, sorted."""
+    out: dict[str, tuple[str, ...]] = {}
+    for f in r["fields"]:
+        out[f["field"]] = (*out.get(f["field"], ()), *((f["json_type"],) if f["json_type"] else ()))
+    return out
+
+
 def _name_ends(rows: Iterator[dict]) -> Iterator[tuple]:
     for r in rows:
-        yield r["block"], r["site"], r["table_name"], [{"name": f["field"], "types": None, "origin": None} for f in r["fields"]]
+        yield r["block"], r["site"], r["table_name"], [{"name": n, "types": None, "origin": None} for n in _header(r)]
 
 
 def step_pairs(ordered: DataFrame) -> DataFrame:
@@ -247,7 +254,7 @@ def step_pairs(ordered: DataFrame) -> DataFrame:
             for i, r in enumerate(_rows(batches)):
                 if i == 0 and (before := sent.value.get(r["block"])):
                     key, names = (before["site"], before["table_name"]), set(before["fields"])
-                here = {f["field"] for f in r["fields"]}
+                here = set(_header(r))
                 if key == (r["site"], r["table_name"]):
                     for gone in sorted(names - here):
                         for new in sorted(here - names):
@@ -259,51 +266,33 @@ def step_pairs(ordered: DataFrame) -> DataFrame:
     return ordered.mapInArrow(pairs, ", ".join(f"{f.name} string" for f in schema))
 
 
-def rename_pairs(counts: DataFrame, headers: DataFrame, pairs: DataFrame, score: float = RENAME_SCORE) -> DataFrame:
+def rename_pairs(counts: DataFrame, pairs: DataFrame, score: float = RENAME_SCORE) -> DataFrame:
     """(site, table_name, file_name, field, new_field): a field that is gone and the new field that carries its content.
 
     Candidates are only the gone and the new fields of one file. A pair scores the likeness of contents – the overlap
     of both names' token shares over the whole journal, of the kind of value (number or text) in which they agree
     best – raised by the likeness of the names. Few values say little: the content's weight is m / (m +
-    ``PRIOR_VALUES``), m being the smaller number of values, and the names have the rest. Numbers that count upwards
-    within a file are one token: their size says nothing. Pairs are taken from the best score down, ties by name,
-    until no gone and new field of the file are left that match.
+    ``PRIOR_VALUES``), m being the smaller number of values, and the names have the rest. Pairs are taken from the
+    best score down, ties by name, until no gone and new field of the file are left that match.
     """
-    names = pairs.groupBy("table_name", "field", "new_field").agg(F.lit(1).alias("one")).drop("one")
-    sides = cut(names).withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("name", F.when(F.col("side") == "a", F.col("field")).otherwise(F.col("new_field")))
-    flags = headers.where("is_sequence").select(*KEY, "field", F.lit(True).alias("flag"))
-    profile = (
-        counts.where("json_type is not null")
-        .join(flags, [*KEY, "field"], "left")
-        .groupBy("table_name", F.col("field").alias("name"), "is_number", F.when(F.col("flag"), "<sequence>").otherwise(F.col("token")).alias("token"))
-        .agg(F.sum("n").alias("n"))
-    )
+    key = ["table_name", "field", "new_field"]
+    sides = pairs.select(*key).distinct().withColumn("side", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("name", F.when(F.col("side") == "a", F.col("field")).otherwise(F.col("new_field")))
+    profile = counts.where("json_type is not null").groupBy("table_name", F.col("field").alias("name"), "is_number", "token").agg(F.sum("n").alias("n"))
     met = (
         profile.join(sides, ["table_name", "name"])
-        .groupBy("table_name", "field", "new_field", "is_number", "token")
+        .groupBy(*key, "is_number", "token")
         .agg(*(F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(s) for s in "ab"))
     )
-    total = met.groupBy("table_name", "field", "new_field", "is_number").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"))
-    overlap = (
-        met.where("a > 0 and b > 0")
-        .join(total, ["table_name", "field", "new_field", "is_number"])
-        .groupBy("table_name", "field", "new_field", "is_number")
-        .agg(F.sum(F.least(F.col("a") / F.col("n_a"), F.col("b") / F.col("n_b"))).alias("overlap"))
-    )
-    scored = _scores(total, overlap).where(F.col("score") >= score)
-    rows = pairs.join(scored, ["table_name", "field", "new_field"]).select(*KEY, "field", "new_field", "score")
-    return rows.groupBy(*KEY).applyInArrow(_assign, rows.schema)
-
-
-def _scores(total: DataFrame, overlap: DataFrame) -> DataFrame:
-    key = ["table_name", "field", "new_field"]
+    of_kind = Window.partitionBy(*key, "is_number")
+    shares = met.withColumns({f"n_{s}": F.sum(s).over(of_kind) for s in "ab"})
     m = F.least("n_a", "n_b")
-    sure = m / (m + PRIOR_VALUES)
-    kinds = total.join(overlap, [*key, "is_number"], "left").withColumn("sure", sure).withColumn("likeness", F.coalesce("overlap", F.lit(0.0)))
+    kinds = shares.groupBy(*key, "is_number").agg(F.sum(F.coalesce(F.least(F.try_divide("a", "n_a"), F.try_divide("b", "n_b")), F.lit(0.0))).alias("likeness"), F.max(m / (m + PRIOR_VALUES)).alias("sure"))
     content = kinds.groupBy(*key).agg(F.max_by(F.struct("likeness", "sure"), F.struct(F.col("likeness") * F.col("sure"), "sure")).alias("best"))
     names = _name_likeness(F.col("field"), F.col("new_field"))
     by_content = F.when(F.col("best.likeness") < 0.25, 0.0).otherwise(F.col("best.likeness") + NAME_WEIGHT * names)
-    return content.select(*key, (F.col("best.sure") * by_content + (1 - F.col("best.sure")) * names).alias("score"))
+    scored = content.select(*key, (F.col("best.sure") * by_content + (1 - F.col("best.sure")) * names).alias("score")).where(F.col("score") >= score)
+    rows = pairs.join(scored, key).select(*KEY, "field", "new_field", "score")
+    return rows.groupBy(*KEY).applyInArrow(_assign, rows.schema)
 
 
 def _assign(pairs: pa.Table) -> pa.Table:
@@ -322,8 +311,7 @@ def _step(r: dict, state: dict[str, tuple] | None) -> tuple[list[tuple[str, str,
     """(changes, state) of a file after the one that left ``state``: field -> (types, field of the unknown state before)."""
     old_name = {x["new_field"]: x["field"] for x in r["renames"] or ()}
     changes, now = [], {}
-    for f in r["fields"]:
-        field, types = f["field"], tuple(f["types"])
+    for field, types in _header(r).items():
         old = old_name.get(field, field)
         if state is not None and old in state:
             before, origin = state[old]
@@ -386,14 +374,13 @@ def schema_changes(ordered: DataFrame, renames: DataFrame) -> DataFrame:
 
 
 class Drift:
-    """The counts, headers, ordered files and renames of exported records."""
+    """The counts, ordered files and renames of exported records."""
 
     def __init__(self, lines: DataFrame):
         self.lines = lines
         self.counts = count_values(lines)
-        self.headers = read_headers(self.counts)
-        self.files = file_headers(self.headers)
-        self.renames = cut(rename_pairs(self.counts, self.headers, step_pairs(self.files)).drop("score"))
+        self.files = file_headers(self.counts)
+        self.renames = rename_pairs(self.counts, cut(step_pairs(self.files))).drop("score")
 
     def changes(self) -> DataFrame:
         return schema_changes(self.files, self.renames)
@@ -420,7 +407,7 @@ def canonical_names(drift: Drift) -> DataFrame:
     counts = drift.counts.groupBy("table_name", "field").agg(F.sum("n").alias("n"))
     links = drift.renames.groupBy("table_name", F.col("field").alias("a"), F.col("new_field").alias("b")).agg(F.count("*").alias("n"))
     header = F.col("header")
-    headers = drift.files.select("table_name", F.transform("fields", lambda f: f["field"]).alias("header")).distinct()
+    headers = drift.files.select("table_name", F.array_distinct(F.transform("fields", lambda f: f["field"])).alias("header")).distinct()
     pairs = headers.select("table_name", F.explode(F.transform(header, lambda x: F.struct(x.alias("a"), header.alias("others")))).alias("p")).select("table_name", F.col("p.a").alias("a"), F.explode("p.others").alias("b"))
     apart = pairs.where("a < b").distinct()
     part = lambda df, what, a, b, n: df.select("table_name", F.lit(what).alias("what"), a.alias("a"), b.alias("b"), n.alias("n"))
@@ -483,7 +470,8 @@ def _cast(opened: Column, union_type: str) -> Column:
     """An opened value in its column's type; null where it cannot be cast, which the union type rules out."""
     if union_type == "string":
         return opened
-    bare = F.regexp_replace(_bare(opened), r"\.0+$", "") if union_type == "whole" else _bare(opened)
+    bare = _bare(opened, F.lit(False))
+    bare = F.regexp_replace(bare, r"\.0+$", "") if union_type == "whole" else bare
     return bare.try_cast(TYPES[union_type])
 
 
