@@ -60,8 +60,22 @@ _UNSTABLE_CLASS = _class(INVISIBLE | BLANKS | WIDE | _not_quick())
 _SEGMENT = re.compile(f"[^{_UNSTABLE_CLASS}]?[{_UNSTABLE_CLASS}]+", re.DOTALL)
 _DROP_AND_BLANK = {ord(c): None for c in INVISIBLE} | {ord(c): " " for c in BLANKS}
 _WIDE = re.compile(f"[{_class(WIDE)}]+")
-_TO_LATIN = str.maketrans(LOOK_ALIKES)
-_LATIN_TO_CYRILLIC = str.maketrans({latin: other for other, latin in LOOK_ALIKES.items() if "Ѐ" <= other <= "ӿ"})
+
+
+def _with_marks() -> dict[str, str]:
+    """Letters with marks whose bare letter has a look-alike, as the look-alike with the same marks: ё as ë, ї as ï."""
+    out = {}
+    for c in map(chr, range(0x370, 0x530)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and base in LOOK_ALIKES:
+            out[c] = unicodedata.normalize("NFC", LOOK_ALIKES[base] + "".join(marks))
+    return out
+
+
+#: Every letter that is drawn like a Latin one, with marks too.
+TO_LATIN = LOOK_ALIKES | _with_marks()
+_TO_LATIN = str.maketrans(TO_LATIN)
+_LATIN_TO_CYRILLIC = str.maketrans({latin: other for other, latin in TO_LATIN.items() if "Ѐ" <= other <= "ӿ" and len(latin) == 1})
 _GREEK = re.compile("[Ͱ-Ͽ]")
 _WORD = re.compile(r"[^\W\d_]+")
 _LATIN_ONLY = re.compile(f"[A-Za-zÀ-ɏ]")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import spread
 from .arrow import per_batch
-from .chars import BLANKS, INVISIBLE, LOOK_ALIKES, WIDE, stable
+from .chars import BLANKS, INVISIBLE, TO_LATIN, WIDE, stable
 
 RUN = 12
 RECALL = 0.95
@@ -60,8 +60,8 @@ class _Reading(dict):
 
 def _look(c: str) -> str:
     for x in (c, c.upper()):
-        if x in LOOK_ALIKES:
-            return LOOK_ALIKES[x].lower()
+        if x in TO_LATIN:
+            return TO_LATIN[x].lower()
     return c
 
 

@@ -30,28 +30,53 @@ def canonical_texts(rows: DataFrame, key: str = "region_key", text: str = "text"
     return wanted.mapInArrow(per_batch(settle), schema + "".join(f", {f} string" for f in forms))
 
 
+def _rows_by_look(rows: DataFrame, key: str, within: str) -> DataFrame:
+    """``row_key`` and two hashes, ``look`` (of ``within`` and the skeleton) and ``form`` (of the stored text), each row once.
+
+    Written once: small rows that all joins read, so that each text is settled once.
+    """
+    hashed = lambda *parts: F.substring(F.unhex(F.sha2(F.concat_ws("\x00", *parts), 256)), 1, 16)
+    wanted = rows.where(f"`{within}` is not null and text is not null and text <> ''")
+    settled = canonical_texts(wanted, key, keep=(within,), forms=("skeleton",))
+    return cut(settled.select(F.col(key).alias("row_key"), hashed(F.col(within).cast("string"), F.col("skeleton")).alias("look"), hashed(F.col("text")).alias("form")).distinct())
+
+
+def _forms(by_look: DataFrame) -> DataFrame:
+    """(look, form, n, first): the different texts of each look that has several, with their copies counted."""
+    several = by_look.groupBy("look").agg(F.min("form").alias("a"), F.max("form").alias("b")).where("a <> b").select("look")
+    return by_look.join(several, "look", "left_semi").groupBy("look", "form").agg(F.count("*").alias("n"), F.min("row_key").alias("first"))
+
+
+def look_alike_classes(rows: DataFrame, key: str = "region_key", within: str = "source_sha256") -> DataFrame:
+    """(row_key, class_id, first_of_form, n_rows, n_forms, n_links): the rows that look like a row of another stored text.
+
+    ``class_id`` is the smallest key of the look within its ``within``, ``first_of_form`` that of the copies with the
+    same stored text; two rows are linked if their class is the same and their form is not. ``n_links`` is the number
+    of such rows. One row for each row, whatever the number of copies. Nulls and empty texts as in
+    :func:`look_alike_pairs`.
+    """
+    by_look = _rows_by_look(rows, key, within)
+    forms = _forms(by_look)
+    classes = forms.groupBy("look").agg(F.min("first").alias("class_id"), F.sum("n").alias("n_rows"), F.count("*").alias("n_forms"))
+    return (
+        by_look.join(forms, ["look", "form"])
+        .join(classes, "look")
+        .select("row_key", "class_id", F.col("first").alias("first_of_form"), "n_rows", "n_forms", (F.col("n_rows") - F.col("n")).alias("n_links"))
+    )
+
+
 def look_alike_pairs(rows: DataFrame, key: str = "region_key", within: str = "source_sha256") -> DataFrame:
     """(key_1, key_2): rows of one ``within`` that look the same and are not equal as stored, the smaller key first.
 
     Null and empty texts and rows with a null ``within`` pair with nothing. A text of blanks only looks like any
     other with as many blanks. Repeated rows of one key come out once.
 
-    Rows are grouped to classes of equal stored text first; the distinct forms of one look are paired, and only
-    pairs of different forms are expanded to their members: exact copies are never compared with each other, and
-    the forms are paired by a join on the hash of (within, skeleton), a hot source being as many groups as it has
-    looks.
+    The distinct texts of one look are paired, one row for each text, and each pair is expanded to the copies of both
+    sides: copies of one text never meet, and N copies beside one variant are N rows and N comparisons.
     """
-    # small rows (two keys, two hashes) that both sides of the join read: written once, so each text is settled once
-    settled = cut(
-        canonical_texts(rows.where(f"`{within}` is not null and text is not null and text <> ''"), key, keep=(within,), forms=("skeleton",))
-        .select(F.col(key).alias("row_key"), F.col(within).alias("within"), "text", F.sha2("skeleton", 256).alias("look"), F.sha2("text", 256).alias("form"))
-        .drop("text")
-        .distinct()
-    )
-    forms = settled.select("within", "look", "form").distinct()
-    several = forms.groupBy("within", "look").agg(F.count("*").alias("n_forms")).where("n_forms > 1").drop("n_forms")
-    members = settled.join(several, ["within", "look"], "left_semi")
-    left = members.select("within", "look", F.col("form").alias("form_1"), F.col("row_key").alias("key_1"))
-    right = members.select("within", "look", F.col("form").alias("form_2"), F.col("row_key").alias("key_2"))
-    pairs = left.join(right, ["within", "look"]).where("key_1 < key_2 and form_1 <> form_2")
-    return pairs.select("key_1", "key_2").distinct()
+    by_look = _rows_by_look(rows, key, within)
+    forms = _forms(by_look).select("look", "form")
+    pairs = forms.withColumnRenamed("form", "form_1").join(forms.withColumnRenamed("form", "form_2"), "look").where("form_1 < form_2")
+    side = lambda n: by_look.select("look", F.col("form").alias(f"form_{n}"), F.col("row_key").alias(f"row_{n}"))
+    both = pairs.join(side(1), ["look", "form_1"]).join(side(2), ["look", "form_2"]).where("row_1 <> row_2")
+    return both.select(F.least("row_1", "row_2").alias("key_1"), F.greatest("row_1", "row_2").alias("key_2")).distinct()

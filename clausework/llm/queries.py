@@ -9,7 +9,7 @@ from ..sources.tables import table
 from .bpe import encode_texts
 from .language import foreign_languages, language_segments
 from .leaks import item_report, leaked_items
-from .lookalike import canonical_texts, look_alike_pairs
+from .lookalike import canonical_texts, look_alike_classes, look_alike_pairs
 from .scans import repair_scans
 from .split import split_oversized
 
@@ -41,6 +41,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("key_1").alias("region_key_1"), F.col("key_2").alias("region_key_2"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Membership: each region that looks like another text, with its class and the number of its links."""
+    return look_alike_classes(table(spark, d, "regions", ["region_key", "source_sha256", "text"])).withColumnRenamed("row_key", "region_key")
+
+
 def p5_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical_texts(table(spark, d, "regions", ["region_key", "text"])).drop("text")
 
@@ -81,6 +86,7 @@ QUERIES = {
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,
+    "p5_classes": p5_classes,
     "p5_canonical": p5_canonical,
     "p6_ids": p6_ids,
     "p7_found": p7_found,

@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from clausework.llm.chars import canonical, skeleton, stable
-from clausework.llm.lookalike import canonical_texts, look_alike_pairs
+from clausework.llm.lookalike import canonical_texts, look_alike_classes, look_alike_pairs
 
 
 @settings(max_examples=300, deadline=None)
@@ -38,6 +38,26 @@ def test_pairs_against_brute_force(spark):
     want = {(a[0], b[0]) for a in ok for b in ok if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and skeleton(a[2]) == skeleton(b[2])}
     assert got == want and want
     assert look_alike_pairs(df.limit(0)).count() == 0
+    classes = {r.row_key: r for r in look_alike_classes(df).collect()}
+    links = {k: sum(k in p for p in want) for p in want for k in p}
+    assert {k: r.n_links for k, r in classes.items()} == links
+    one = lambda k: min([k, *(x for p in want if k in p for x in p), *(o[0] for o in ok if any(o[1:] == m[1:] for m in ok if m[0] == k))])
+    assert {k: r.class_id for k, r in classes.items()} == {k: one(k) for k in classes}
+
+
+def test_many_copies_and_one_variant(spark):
+    copies = spark.range(20000).selectExpr("id as region_key", "'s' as source_sha256", "'Состав' as text")
+    df = copies.unionByName(spark.createDataFrame([(-5, "s", "Cостав"), (-6, "t", "Cостав")], "region_key bigint, source_sha256 string, text string"))
+    pairs = look_alike_pairs(df)
+    assert pairs.count() == 20000 and pairs.where("key_1 = -5").count() == 20000
+    classes = look_alike_classes(df)
+    assert classes.count() == 20001 and classes.where("class_id <> -5").count() == 0
+
+
+def test_marks_on_letters_of_either_script():
+    assert skeleton("ещё её") == skeleton("eщe\u0308 eё") and skeleton("їжа") == skeleton("ïжа")
+    assert canonical("eщe\u0308") == "ещё"
+    assert skeleton("ё") != skeleton("е")
 
 
 def test_forms_of_nulls(spark, rows):
