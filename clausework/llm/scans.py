@@ -1,7 +1,8 @@
 """Repair of text from scanned pages: running headers, page numbers, divided words, misread letters.
 
-Headers are lines that stand alone at page edges and come again (nearly the same) in other chunks of the same
-document; what a divided or misread word should be is decided by the vocabulary of the whole corpus.
+Headers are lines that stand alone, as at the edge of a page, and come again in other chunks of the same document,
+each letter counted as any other that a scanner takes for it; page numbers rise along the document; what a divided or
+misread word should be is decided by the vocabulary of the whole corpus.
 """
 
 from __future__ import annotations
@@ -9,8 +10,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 from statistics import median
 
 import pyarrow as pa
@@ -27,7 +29,10 @@ HEADER_PART, HEADER_LIKE = 0.45, 0.88
 #: How many times more frequent the right word must be: for look-alike letters, and for any one letter.
 LIKELY, SURE = 20, 200
 LEAST_COUNT = 15
-SALTS = 16
+#: Chunks of one document that are repaired in one task.
+DOCUMENT_BLOCK = 5000
+#: Right forms of misread and divided words that are sent to all tasks; with more of them each chunk gets its own by a join.
+MOST_SENT = 500_000
 #: What a scanner writes for one letter. First groups of signs, then single signs, then letters of
 #: the same alphabet that resemble each other.
 GROUPS = [(")(", "ж"), ("l-l", "н"), ("rn", "м"), ("ii", "й"), ("io", "ю"), ("ьi", "ы"), ("/i", "л"), ("|1", "и"), ("|", "л")]
@@ -56,6 +61,19 @@ for _a, _b in ALIKE:
     _WITHIN.setdefault(_b, []).append(_a)
 
 
+def _classes_of_letters() -> dict[int, str]:
+    """Each letter as one letter for all that a scanner may take it for."""
+    of: dict[str, str] = {}
+    for a, b in ALIKE:
+        for c in [c for c, x in of.items() if x == of.get(b, b)] + [b]:
+            of[c] = of.get(a, a)
+    return {ord(c): x for c, x in of.items()}
+
+
+_OF_CLASS = _classes_of_letters()
+_INSIDE = re.compile(r"(?<=[^\W\d_])[0-9|]+|[0-9|]+(?=[^\W\d_])")
+
+
 def is_page_line(line: str) -> bool:
     """A line that holds a page number only, with or without words for page, bars or brackets."""
     m = _PAGE.match(line) if len(line) <= 60 else None
@@ -68,12 +86,22 @@ def header_key(line: str) -> str:
     return re.sub(r"\d+", "#", line).lower()
 
 
+def header_look(line: str) -> str:
+    """The key of a line in which letters that a scanner mixes up are one letter."""
+    line = _NUMBER_RIGHT.sub("", _NUMBER_LEFT.sub("", line.strip())).lower()
+    for group, letter in GROUPS:
+        line = line.replace(group, letter)
+    line = _INSIDE.sub(lambda m: "".join(SINGLES.get(c, c) for c in m[0]), line)
+    line = "".join(SINGLES.get(c, c) if "a" <= c <= "z" else c for c in line)
+    return re.sub(r"\d+", "#", line).translate(_OF_CLASS)
+
+
 def _letters(text: str) -> str:
     return re.sub(r"[\W\d_]+", "", text.lower())
 
 
-def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int]]:
-    """For each key that could be a header: (occurrences, those that stand alone).
+def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int, str]]:
+    """For each key that could be a header: (occurrences, those that stand alone, the key's look).
 
     A line stands alone if the text does not flow through it. It does flow where a stop ends the line or there was
     no room for the next word, and where the line starts a sentence that the next line goes on with. The first
@@ -82,7 +110,7 @@ def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int]]:
     lines = text.split("\n")
     content = [i for i, line in enumerate(lines) if line.strip() and not is_page_line(line)]
     width = median(len(lines[i]) for i in content) if content else 0
-    out: dict[str, tuple[int, int]] = {}
+    out: dict[str, tuple[int, int, str]] = {}
     for n, i in enumerate(content):
         line = lines[i].strip()
         bare = _NUMBER_RIGHT.sub("", _NUMBER_LEFT.sub("", line))
@@ -96,66 +124,92 @@ def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int]]:
             sentence = (not n or _STOP.search(before)) and following[:1].islower() and not _ENTRY.match(following)
             alone = "|" in following or (not sentence and len(line) + 1 + len(following.split()[0]) <= width)
         key = header_key(line)
-        a, b = out.get(key, (0, 0))
-        out[key] = a + 1, b + alone
+        a, b, look = out.get(key) or (0, 0, header_look(line))
+        out[key] = a + 1, b + alone, look
     return out
 
 
-def document_headers(chunks: DataFrame) -> DataFrame:
-    """(document, headers): the keys of the running headers of each document that has any.
+_LINES = pa.schema(
+    [("document", pa.string()), ("chunk_id", pa.string()), ("text_hash", pa.int64()), ("position", pa.string()), ("key", pa.string()), ("look", pa.string())]
+    + [("n", pa.int32()), ("alone", pa.int32()), ("line", pa.int32()), ("number", pa.int32()), ("bare", pa.bool_())]
+)
 
-    ``chunks``: ``chunk_id``, ``document``, ``text``, ``is_table``. Keys are counted by (document, key) before
-    anything is gathered; what is gathered is a few keys a document.
+
+def special_lines(chunks: DataFrame) -> DataFrame:
+    """The lines of each chunk that may be headers (with a ``key``) or page numbers (with a ``number``), written once.
+
+    ``chunks``: ``chunk_id``, ``document``, ``text``, ``text_hash``, ``is_table``. One pass over the texts.
     """
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for document, text, is_table in zip(*(batch[c].to_pylist() for c in ("document", "text", "is_table")), strict=True):
-            rows.extend((document, key, n, alone) for key, (n, alone) in standing_lines(text, bool(is_table)).items())
-        columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()), strict=True)], ["document", "key", "n", "alone"])
-
-    counted = (
-        chunks.where("text is not null and text <> ''")
-        .select("document", "text", "is_table")
-        .mapInArrow(per_batch(count), "document string, key string, n int, alone int")
-        .groupBy("document", "key")
-        .agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
-    )
-    headers = counted.where((F.col("n_chunks") >= HEADER_CHUNKS) & (F.col("alone") >= HEADER_CHUNKS) & (2 * F.col("alone") >= F.col("n")))
-    return headers.groupBy("document").agg(F.sort_array(F.collect_set("key")).alias("headers"))
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for *key, text, is_table in zip(*(batch[c].to_pylist() for c in ("document", "chunk_id", "text_hash", "position", "text", "is_table")), strict=True):
+            out.extend((*key, k, look, n, alone, None, None, None) for k, (n, alone, look) in standing_lines(text, bool(is_table)).items())
+            out.extend((*key, None, None, None, None, i, int(re.search(r"\d+", x)[0]), x.strip().isdigit()) for i, x in enumerate(text.split("\n")) if is_page_line(x))
+        columns = list(zip(*out, strict=True)) or [[]] * len(_LINES)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _LINES.types, strict=True)], _LINES.names)
 
+    rows = spread(chunks.where("text is not null and text <> ''").select("document", "chunk_id", "text_hash", F.regexp_extract("chunk_id", r":([^:]*)$", 1).alias("position"), "text", "is_table"))
+    schema = "document string, chunk_id string, text_hash bigint, position string, key string, look string, n int, alone int, line int, number int, bare boolean"
+    return cut(rows.mapInArrow(per_batch(find), schema).distinct())
 
-def is_header_line(line: str, headers: list[str], title: str, reverse_title: str) -> bool:
+
+def document_headers(lines: DataFrame) -> DataFrame:
+    """(document, headers): the keys of the running headers of each document that has any. ``lines``: :func:`special_lines`.
+
+    Lines of one look are counted together, so that a header that is misread here and there is repeated all the same.
+    Looks are counted by (document, look) before anything is gathered; what is gathered is a few keys a document.
+    """
+    keys = lines.where("key is not null").groupBy("document", "look", "key").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
+    looks = keys.groupBy("document", "look").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.collect_set("key").alias("keys"))
+    headers = looks.where((F.col("n_chunks") >= HEADER_CHUNKS) & (F.col("alone") >= HEADER_CHUNKS) & (2 * F.col("alone") >= F.col("n")))
+    return headers.groupBy("document").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("headers"))
+
+
+class Headers:
+    """The headers of a document, made ready for comparison."""
+
+    def __init__(self, keys: list[str]):
+        self.keys = set(keys)
+        self.known = [(x, Counter(x)) for x in sorted({_letters(k) for k in keys})]
+
+    def like(self, letters: str) -> bool:
+        """True if the letters are a header cut off, or one with a few letters misread."""
+        counts = None
+        for known, of_known in self.known:
+            if len(letters) >= max(8, HEADER_PART * len(known)) and known.startswith(letters):
+                return True
+            if abs(len(known) - len(letters)) > 0.15 * len(known):
+                continue
+            counts = counts or Counter(letters)
+            if _alike(known, letters, HEADER_LIKE, of_known, counts):
+                return True
+        return False
+
+
+def is_header_line(line: str, headers: Headers, title: str, reverse_title: str) -> bool:
     """One of the document's headers, whole, cut off or garbled; or a line of its number and name only."""
     first = line.lstrip(" \t0123456789«\"„(")[:1]
     if not first.isupper() or "|" in line:
         return False
+    if not headers.keys and not title:
+        return False
     key = header_key(line)
     if len(key) < 8:
         return False
-    if key in headers:
+    if key in headers.keys:
         return True
     letters = _letters(key)
     for known in (title, reverse_title):
-        if len(known) >= 12 and len(letters) >= HEADER_PART * len(known) and (known.startswith(letters) or _alike(known, letters, HEADER_LIKE + 0.05)):
-            return True
-    if not _TITLE_START.match(line.strip().lstrip("0123456789 ")):
-        return False
-    for header in headers:
-        known = _letters(header)
-        if len(letters) >= max(8, HEADER_PART * len(known)) and known.startswith(letters):
+        if len(known) >= 12 and len(letters) >= HEADER_PART * len(known) and (known.startswith(letters) or (abs(len(known) - len(letters)) <= 0.15 * len(known) and _alike(known, letters, HEADER_LIKE + 0.05, Counter(known), Counter(letters)))):
             return True
-        if _alike(known, letters, HEADER_LIKE):
-            return True
-    return False
+    return bool(headers.known) and _TITLE_START.match(line.strip().lstrip("0123456789 ")) is not None and headers.like(letters)
 
 
-def _alike(known: str, letters: str, least: float) -> bool:
-    """Likeness of at least ``least``; a garbled header still has one of its ends, which spares most lines the comparison."""
-    if abs(len(known) - len(letters)) > 0.15 * len(known) or (known[:5] != letters[:5] and known[-5:] != letters[-5:]):
-        return False
-    return SequenceMatcher(None, known, letters).ratio() >= least
+def _alike(known: str, letters: str, least: float, of_known: Counter[str], of_letters: Counter[str]) -> bool:
+    """Likeness of at least ``least``; letters that both have in any order bound it from above and spare most lines the comparison."""
+    both = sum(min(n, of_letters[c]) for c, n in of_known.items())
+    return 2 * both >= least * (len(known) + len(letters)) and SequenceMatcher(None, known, letters).ratio() >= least
 
 
 def _divided(line: str) -> bool:
@@ -203,21 +257,13 @@ def join_divided(lines: list[str], noise: list[str | None], choose: Callable[[st
     return kept, divided
 
 
-def page_numbers(rows: DataFrame) -> DataFrame:
-    """(chunk_id, text_hash, pages): the bare numbers of a chunk that are page numbers, by line.
+def page_numbers(lines: DataFrame) -> DataFrame:
+    """(document, chunk_id, text_hash, line): the bare numbers that are page numbers. ``lines``: :func:`special_lines`.
 
     They must belong to the longest sequence of numbers of page lines that does not fall over the chunks of the
     document, in the order of position and line; a number alone in its document is none. What is gathered for a
     document is a few numbers.
     """
-    position = F.regexp_extract("chunk_id", r":([^:]*)$", 1)
-
-    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for *key, text in zip(*(batch[c].to_pylist() for c in ("document", "chunk_id", "text_hash", "position", "text")), strict=True):
-            out.extend((*key, i, int(re.search(r"\d+", x)[0]), x.strip().isdigit()) for i, x in enumerate(text.split("\n")) if is_page_line(x))
-        columns = list(zip(*out, strict=True)) or [[]] * len(found.names)
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, found.types, strict=True)], found.names)
 
     def rising(group: pa.Table) -> pa.Table:
         group = group.sort_by([(x, "ascending") for x in ("number_at", "position", "chunk_id", "text_hash", "line")])
@@ -230,14 +276,11 @@ def page_numbers(rows: DataFrame) -> DataFrame:
         while i >= 0:
             kept.append(i)
             i = before[i]
-        return group.take(pa.array(kept if len(kept) > 1 else [], pa.int64())).select(["chunk_id", "text_hash", "line", "bare"])
+        return group.take(pa.array(kept if len(kept) > 1 else [], pa.int64())).select(["document", "chunk_id", "text_hash", "line", "bare"])
 
-    found = pa.schema([("document", pa.string()), ("chunk_id", pa.string()), ("text_hash", pa.int64()), ("position", pa.string()), ("line", pa.int32()), ("number", pa.int32()), ("bare", pa.bool_())])
-    lines = rows.where("text is not null and text <> ''").select("document", "chunk_id", "text_hash", position.alias("position"), "text")
-    lines = lines.mapInArrow(per_batch(find), "document string, chunk_id string, text_hash bigint, position string, line int, number int, bare boolean")
-    lines = lines.withColumn("number_at", F.expr("try_cast(position as bigint)"))
-    pages = lines.groupBy("document").applyInArrow(rising, "chunk_id string, text_hash bigint, line int, bare boolean")
-    return pages.where("bare").groupBy("chunk_id", "text_hash").agg(F.collect_set("line").alias("pages"))
+    numbers = lines.where("number is not null").select("document", "chunk_id", "text_hash", "position", "line", "number", "bare", F.expr("try_cast(position as bigint)").alias("number_at"))
+    pages = numbers.groupBy("document").applyInArrow(rising, "document string, chunk_id string, text_hash bigint, line int, bare boolean")
+    return pages.where("bare").drop("bare")
 
 
 def words_in(text: str) -> list[str]:
@@ -251,6 +294,18 @@ def _core(raw: str) -> str:
     return w if len(w) > 1 and any(map(str.isalpha, w)) else ""
 
 
+def _tokens(text: str) -> tuple[list[str], list[str], list[str]]:
+    """(words, divided words, pairs of words with a hyphen and a blank) of a text, as they are counted.
+
+    A divided word is its two parts with a line end between them and no word.
+    """
+    parts: list[str] = []
+    lines = text.split("\n")
+    kept, _ = join_divided(lines, ["page" if is_page_line(x) else None for x in lines], lambda a, b: parts.append(f"{a}\n{b}"))
+    whole = "\n".join(kept).lower()
+    return _WORD.findall(whole), parts, [f"{a}- {b}" for a, b in _SUSPENDED.findall(whole)]
+
+
 def word_counts(chunks: DataFrame) -> DataFrame:
     """(word, n): every word of the corpus with its exact count, summed before the shuffle and written once.
 
@@ -261,17 +316,14 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw: Counter[str] = Counter()
         out: Counter[str] = Counter()
-        parts: Counter[tuple[str, str]] = Counter()
         for text in batch["text"].to_pylist():
-            lines = text.split("\n")
-            kept, _ = join_divided(lines, ["page" if is_page_line(x) else None for x in lines], lambda a, b: parts.update([(a, b)]))
-            whole = "\n".join(kept).lower()
-            raw.update(_WORD.findall(whole))
-            out.update(f"{a}- {b}" for a, b in _SUSPENDED.findall(whole))
-        for (a, b), n in parts.items():
-            out[f"{a}\n{b}"] += n
-            if word := _core(a + b):
-                out[word] += 0
+            words, parts, pairs = _tokens(text)
+            raw.update(words)
+            out.update(pairs)
+            for both in parts:
+                out[both] += 1
+                if word := _core(both.replace("\n", "")):
+                    out[word] += 0
         for token, n in raw.items():
             if word := _core(token):
                 out[word] += n
@@ -281,6 +333,29 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     return cut(words.groupBy("word").agg(F.sum("n").alias("n")))  # read several times
 
 
+def chunk_corrections(rows: DataFrame, right: DataFrame) -> DataFrame:
+    """(document, block, chunk_id, text_hash, word, right): the corrections of the words that each chunk has, by a join."""
+
+    def find(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for *key, text in zip(*(batch[c].to_pylist() for c in ("document", "block", "chunk_id", "text_hash", "text")), strict=True):
+            words, parts, _ = _tokens(text)
+            lines = text.split("\n")
+            for k, line in enumerate(lines):
+                if _divided(line) and (last := _last_word(line.rstrip()[:-1])):
+                    # headers between the two parts are not known here: any of the next lines may go on
+                    begins = (_WORD.search(x.lstrip().partition(" ")[0]) for x in lines[k + 1 : k + 6])
+                    parts += [f"{last[0].lower().strip(_SIGNS)}\n{m[0].lower().strip(_SIGNS)}" for m in begins if m]
+            joined = (part.replace("\n", between) for part in parts for between in ("", "-"))
+            out.extend((*key, w) for w in {*map(_core, words), *parts, *map(_core, joined)} if w)
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string())
+        columns = list(zip(*out, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["document", "block", "chunk_id", "text_hash", "word"])
+
+    words = rows.where("text is not null and text <> ''").select("document", "block", "chunk_id", "text_hash", "text").mapInArrow(per_batch(find), "document string, block bigint, chunk_id string, text_hash bigint, word string")
+    return words.join(right, "word").select("document", "block", "chunk_id", "text_hash", "word", "right").distinct()
+
+
 def divided_words(counted: DataFrame) -> DataFrame:
     """(parts, between): the divided words that are not simply joined, by the counts of the joined, the hyphenated and the separate form."""
     parts = counted.where(F.col("word").contains("\n")).select(F.col("word").alias("parts"))
@@ -335,14 +410,24 @@ def misread_words(counted: DataFrame) -> DataFrame:
 
 
 class Settled:
-    """Gives the right form of the misread words that are already decided."""
+    """Gives the right form of the misread words that are already decided, and what stands in a divided word."""
 
-    def __init__(self, pairs: dict[str, str], between: dict[str, str]):
-        self.right = pairs.get
-        self.between = lambda a, b: between.get(f"{a}\n{b}", "")
-        #: words as written that stay as they are
+    def __init__(self, right: dict[str, str]):
+        self.right = right.get
+        self.between = lambda a, b: right.get(f"{a}\n{b}", "")
+        #: tokens as written that stay as they are
         self.settled: set[str] = set()
 
+    def stays(self, line: str) -> bool:
+        """True if no word of the line is misread."""
+        new = set(line.split()) - self.settled
+        for token in new:
+            if any(self.right(core) for w in _WORD.findall(token.lower()) if len(core := w.strip(_SIGNS)) > 1):
+                return False
+            if len(self.settled) < 300_000:
+                self.settled.add(token)
+        return True
+
 
 class Reader:
     """Decides what each word of a scan should be, by a dictionary of all words; :func:`misread_words` does so for a corpus."""
@@ -413,7 +498,7 @@ class Reader:
         return forms
 
 
-def examine(text: str, headers: list[str], title: str, reverse_title: str, reader: Settled, pages: list[int]) -> tuple[list[str], str]:
+def examine(text: str, headers: Headers, title: str, reverse_title: str, reader: Settled, pages: set[int]) -> tuple[list[str], str]:
     """(kinds of noise, repaired text) of a chunk."""
     lines = text.split("\n")
     noise = ["page" if is_page_line(x) and (i in pages or not x.strip().isdigit()) else "header" if is_header_line(x, headers, title, reverse_title) else None for i, x in enumerate(lines)]
@@ -424,11 +509,9 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
 
     def mend(m: re.Match) -> str:
         raw = m[0]
-        core = raw.strip(".-—–'")
+        core = raw.strip(_SIGNS)
         right = reader.right(core.lower()) if len(core) > 1 else None
         if right is None:
-            if len(settled) < 300_000:
-                settled.add(raw)
             return raw
         if m.start() and m.string[m.start() - 1] in "«\"“„" and not _STRANGE.search(core.lower()):
             return raw  # a name may be like a word
@@ -437,8 +520,7 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
             right = right[0].upper() + right[1:]
         return raw.replace(core, right, 1)
 
-    settled = reader.settled
-    mended = [line if settled.issuperset(_WORD.findall(line)) else _WORD.sub(mend, line) for line in kept]
+    mended = [line if reader.stays(line) else _WORD.sub(mend, line) for line in kept]
     paragraphs: list[list[str]] = []
     for line in mended:
         stripped = line.strip()
@@ -452,9 +534,16 @@ def examine(text: str, headers: list[str], title: str, reverse_title: str, reade
 
 
 _READERS: dict[int, Settled] = {}
+_PARTS = ["document", "block", "chunk_id", "text_hash", "text", "regulation_id", "regulation_name", "headers", "line", "word", "right"]
+
+
+def _tagged(rows: DataFrame) -> DataFrame:
+    """Rows of any of the kinds that meet at a chunk, in the columns of all of them."""
+    kinds = {"block": "bigint", "text_hash": "bigint", "headers": "array<string>", "line": "int"}
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in _PARTS), F.lit("text" in rows.columns).alias("is_text"))
 
 
-def repair_scans(chunks: DataFrame) -> DataFrame:
+def repair_scans(chunks: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """(chunk_id, noise, text): the kinds of noise found in each chunk, sorted, and the repaired text.
 
     ``chunks``: ``chunk_id`` (document stem, a colon, a position), ``text``; with ``is_table``, ``regulation_id``
@@ -464,35 +553,68 @@ def repair_scans(chunks: DataFrame) -> DataFrame:
     blank lines stay. Words that the corpus does not know are never changed.
 
     A null text has no noise and stays null, an empty one stays empty. Repeated rows of one id and text come out
-    once. Further columns are dropped, an empty table gives no rows. Chunks are joined with their document's
-    headers on (document, salt), so that a document with a third of all chunks is spread over ``SALTS`` tasks.
+    once. Further columns are dropped, an empty table gives no rows.
+
+    The texts move once, to the task of their document and block of ``DOCUMENT_BLOCK`` positions, together with the
+    document's headers and the chunk's page numbers as rows of their own; sorted, all that a chunk needs stands
+    before it. The right forms of words go to all tasks up to ``most_sent``; beyond that they come as such rows too.
     """
     have = set(chunks.columns)
     column = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+    position = F.expr("try_cast(regexp_extract(chunk_id, ':([^:]*)$', 1) as bigint)")
+    block = F.coalesce(F.floor(position / DOCUMENT_BLOCK), F.pmod(F.xxhash64("chunk_id"), F.lit(16))).cast("bigint").alias("block")
     rows = chunks.select(
-        "chunk_id", "text", F.regexp_extract("chunk_id", r"^(.*?)(?::[^:]*)?$", 1).alias("document"), column("is_table", "boolean"), column("regulation_id", "string"), column("regulation_name", "string")
-    ).dropDuplicates(["chunk_id", "text"]).withColumn("text_hash", F.xxhash64("text"))
+        "chunk_id", "text", F.regexp_extract("chunk_id", r"^(.*?)(?::[^:]*)?$", 1).alias("document"), block, F.xxhash64("text").alias("text_hash"), column("is_table", "boolean"), column("regulation_id", "string"), column("regulation_name", "string")
+    )
     counted = word_counts(chunks)
-    known = rows.sparkSession.sparkContext.broadcast([dict(zip(*(c.to_pylist() for c in x.toArrow().columns), strict=True)) for x in (misread_words(counted), divided_words(counted))])
-    salted = document_headers(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = rows.withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")).join(salted, ["document", "salt"], "left").join(page_numbers(rows), ["chunk_id", "text_hash"], "left")
-
-    def repair(batch: pa.RecordBatch) -> pa.RecordBatch:
-        reader = _READERS.get(known_id := id(known.value))
-        if reader is None:
-            _READERS.clear()
-            reader = _READERS[known_id] = Settled(*known.value)
-        ids, kinds, texts = [], [], []
-        for chunk_id, text, number, name, headers, pages in zip(*(batch[c].to_pylist() for c in ("chunk_id", "text", "regulation_id", "regulation_name", "headers", "pages")), strict=True):
-            ids.append(chunk_id)
-            if not text:
-                kinds.append([])
-                texts.append(text)
-                continue
-            a, b = _letters(number or ""), _letters(name or "")
-            found, mended = examine(text, headers or [], a + b if a and b else "", b + a if a and b else "", reader, pages or [])
-            kinds.append(found)
-            texts.append(mended)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], ["chunk_id", "noise", "text"])
+    right = cut(misread_words(counted).unionByName(divided_words(counted).withColumnsRenamed({"parts": "word", "between": "right"})))
+    sent = None
+    parts = [_tagged(rows)]
+    if right.count() <= most_sent:
+        sent = rows.sparkSession.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in right.toArrow().columns), strict=True)))
+    else:
+        parts.append(_tagged(chunk_corrections(rows, right)))
+    lines = special_lines(rows)
+    blocks = rows.select("document", "block").distinct()
+    parts.append(_tagged(document_headers(lines).join(blocks, "document")))
+    parts.append(_tagged(page_numbers(lines).withColumn("block", block)))
+    together = reduce(DataFrame.unionByName, parts).repartition("document", "block").sortWithinPartitions("document", "block", F.col("chunk_id").asc_nulls_first(), "text_hash", "is_text")
+
+    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = None
+        if sent is not None:
+            common = _READERS.get(sent_id := id(sent.value))
+            if common is None:
+                _READERS.clear()
+                common = _READERS[sent_id] = Settled(sent.value)
+        of_block, headers, of_chunk, pages, words, done = None, Headers([]), None, set(), {}, False
+        for batch in batches:
+            ids, kinds, texts = [], [], []
+            for r in zip(*(batch[c].to_pylist() for c in (*_PARTS, "is_text")), strict=True):
+                document, at_block, chunk_id, text_hash, text, number, name, found_headers, line, word, right_form, is_text = r
+                if of_block != (document, at_block):
+                    of_block, headers, of_chunk = (document, at_block), Headers([]), None
+                if found_headers is not None:
+                    headers = Headers(found_headers)
+                    continue
+                if of_chunk != (chunk_id, text_hash):
+                    of_chunk, pages, words, done = (chunk_id, text_hash), set(), {}, False
+                if line is not None:
+                    pages.add(line)
+                if word is not None:
+                    words[word] = right_form
+                if not is_text or done:
+                    continue
+                done = True
+                ids.append(chunk_id)
+                if not text:
+                    kinds.append([])
+                    texts.append(text)
+                    continue
+                a, b = _letters(number or ""), _letters(name or "")
+                found, mended = examine(text, headers, a + b if a and b else "", b + a if a and b else "", common or Settled(words), pages)
+                kinds.append(found)
+                texts.append(mended)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(kinds, pa.list_(pa.string())), pa.array(texts, pa.string())], ["chunk_id", "noise", "text"])
 
-    return joined.select("chunk_id", "text", "regulation_id", "regulation_name", "headers", "pages").mapInArrow(per_batch(repair), "chunk_id string, noise array<string>, text string")
+    return together.mapInArrow(repair, "chunk_id string, noise array<string>, text string")
