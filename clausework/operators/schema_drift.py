@@ -113,15 +113,42 @@ def _of_text(text: str) -> tuple[str, float | None, str]:
 
 
 class _Values:
-    """Describes parsed values; texts that come again are described once."""
+    """Describes parsed values; those that come again are described once."""
 
     def __init__(self):
-        self.texts: dict[str, tuple[str, float | None, str]] = {}
+        self.known: dict[tuple, tuple] = {}
+        self.texts: dict[str, tuple] = {}
+        self.numbers: dict[int, tuple] = {}
+
+    def describe(self, value: object) -> tuple[tuple, float | None]:
+        """((JSON type, kind, is a number, token), number); a null has none of them."""
+        kind = type(value)
+        if kind is str:
+            found = self.texts.get(value)
+            if found is None:
+                found = self._kept(self.texts, value, self._described(value))
+            return found
+        if kind is int:
+            found = self.numbers.get(value)
+            if found is None:
+                found = self._kept(self.numbers, value, self._described(value))
+            return found
+        return self._described(value)
+
+    def _kept(self, memory: dict, value: object, found: tuple) -> tuple:
+        if len(memory) >= 50_000:
+            memory.clear()
+        memory[value] = found
+        return found
+
+    def _described(self, value: object) -> tuple[tuple, float | None]:
+        json_type, kind, number, token = self._parts(value)
+        key = (json_type, kind, number is not None, token)
+        return self.known.setdefault(key, key) if len(self.known) < 50_000 else key, number
 
-    def describe(self, value: object) -> tuple[str | None, str | None, float | None, str | None]:
-        """(JSON type, kind, number, token); a null has none of them."""
+    def _parts(self, value: object) -> tuple[str | None, str | None, float | None, str | None]:
         if isinstance(value, str):
-            return "string", *self._text(value)
+            return "string", *_of_text(value)
         if value is None:
             return None, None, None, None
         if isinstance(value, bool):
@@ -135,43 +162,27 @@ class _Values:
         json_type = "array" if isinstance(value, list) else "object"
         inner = _open(_open(value))
         if isinstance(inner, str):
-            return json_type, *self._text(inner)
+            return json_type, *_of_text(inner)
         if isinstance(inner, list | dict):
             return json_type, ("array" if isinstance(inner, list) else "object"), None, _of_text(json.dumps(inner, ensure_ascii=False, sort_keys=True))[2]
         if inner is None:
             return json_type, "string", None, ""
-        return json_type, _OPENED_KINDS[type(inner)], *self.describe(inner)[2:]
-
-    def _text(self, text: str) -> tuple[str, float | None, str]:
-        found = self.texts.get(text)
-        if found is None:
-            if len(self.texts) >= 50_000:
-                self.texts.clear()
-            found = self.texts[text] = _of_text(text)
-        return found
+        return json_type, _OPENED_KINDS[type(inner)], *self._parts(inner)[2:]
 
 
 class _Field:
-    """What a file's block says of one field."""
+    """What a file's block says of one field: counts of the descriptions, and the numbers."""
+
+    __slots__ = ("counts", "numbers")
 
     def __init__(self):
-        self.counts: Counter[tuple] = Counter()
-        self.n = self.n_numbers = 0
-        self.low, self.high, self.seen = math.inf, -math.inf, set()
-
-    def put(self, described: tuple) -> None:
-        json_type, kind, number, token = described
-        self.counts[json_type, kind, number is not None, token] += 1
-        self.n += json_type is not None
-        if number is not None:
-            self.n_numbers += 1
-            self.low, self.high = min(self.low, number), max(self.high, number)
-            if self.high - self.low <= 3 * FILE_BLOCK:
-                self.seen.add(number)
+        self.counts: dict[tuple, int] = {}
+        self.numbers: list[float] = []
 
     def counts_upwards(self) -> bool:
         """True for numbers that hardly come again and lie close."""
-        return self.n > 1 and self.n_numbers == self.n and self.high - self.low <= 3 * self.n and len(self.seen) >= 0.8 * self.n
+        n = sum(k for described, k in self.counts.items() if described[0] is not None)
+        return n > 1 and len(self.numbers) == n and max(self.numbers) - min(self.numbers) <= 3 * n and len(set(self.numbers)) >= 0.8 * n
 
 
 _COUNTS = pa.schema(
@@ -199,10 +210,10 @@ def count_values(lines: DataFrame) -> DataFrame:
     moved = rows.select(*KEY, block, at, "record").repartition(*KEY, "block").sortWithinPartitions(*KEY, "block")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = _Values()
+        describe = _Values().describe
 
         def made() -> Iterator[tuple]:
-            key, first, fields = None, None, {}
+            key, first, fields, n_records = None, None, {}, 0
 
             def flush() -> Iterator[tuple]:
                 for name, field in fields.items():
@@ -210,14 +221,16 @@ def count_values(lines: DataFrame) -> DataFrame:
                     upwards = field.counts_upwards()
                     for (json_type, kind, is_number, token), n in field.counts.items():
                         counts[json_type, kind, is_number, "<sequence>" if upwards and is_number else token] += n
+                    written = name.encode("utf-8", "replace").decode()
                     for described, n in counts.items():
-                        yield *key, first, name, *described, n
+                        yield *key, first, written, *described, n
 
             for batch in batches:
                 for *here, at, record in zip(*(batch[c].to_pylist() for c in (*KEY, "block", "at", "record")), strict=True):
-                    if key != here:
+                    if key != here or n_records == 4 * FILE_BLOCK:  # lines without a number may be more than a block
                         yield from flush()
-                        key, first, fields = here, None, {}
+                        key, first, fields, n_records = here, None, {}, 0
+                    n_records += 1
                     try:
                         parsed = json.loads(record, parse_constant=_no_constant)
                     except (ValueError, RecursionError):
@@ -227,10 +240,13 @@ def count_values(lines: DataFrame) -> DataFrame:
                     if at is not None and (first is None or at < first):
                         first = at
                     for name, value in parsed.items():
-                        name = name.encode("utf-8", "replace").decode()
-                        if name not in fields:
-                            fields[name] = _Field()
-                        fields[name].put(values.describe(value))
+                        field = fields.get(name)
+                        if field is None:
+                            field = fields[name] = _Field()
+                        described, number = describe(value)
+                        field.counts[described] = field.counts.get(described, 0) + 1
+                        if number is not None:
+                            field.numbers.append(number)
             yield from flush()
 
         yield from _batches(made(), _COUNTS)
