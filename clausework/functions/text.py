@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Latin letters that are drawn like Cyrillic ones, in pairs of equal place.
-LATIN_LIKE, CYRILLIC_LIKE = "aceopxyABCEHKMOPTX", "асеорхуАВСЕНКМОРТХ"
+LATIN_LIKE, CYRILLIC_LIKE = "abcehkmoptxyABCEHKMOPTXY", "авсенкмортхуАВСЕНКМОРТХУ"
 
 
 def squeeze(text: Column) -> Column:

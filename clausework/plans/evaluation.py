@@ -232,7 +232,7 @@ select source, have, (low + whole + case when place <= rest and whole < room the
     "c12_sample": "select doc_type, lang, doc_id, place::int as place, place > 5 as reserve from (select *, row_number() over (partition by doc_type, lang order by md5('20260830:' || doc_id), doc_id) as place from documents) where place <= 10",
     "a27_histogram": "with b as (select kind, round((x1 - x0) * 100)::int as w from regions where x0 is not null and x1 is not null), n as (select kind, w, count(*) as n from b group by 1, 2), m as (select kind, w as mode from n qualify row_number() over (partition by kind order by n desc, w) = 1) select n.kind, mode, round(sum(case when abs(w - mode) > 5 then n else 0 end) / sum(n), 4) as far from n join m on n.kind is not distinct from m.kind group by 1, 2",
     "a28_basis_share": f"select strftime({_TS}, '%Y-%m') as month, count(*) as n, round(avg(case when source_sha256 in (select source_sha256 from regions where kind = 'composition') then 1 else 0 end), 4) as share from (select distinct id, source_sha256, ts from checks) group by 1",
-    "a29_findings": r"with w as (select source_sha256, region_key, unnest(list_distinct(list_filter(regexp_extract_all(translate(lower(regexp_replace(text, '[^а-яёa-zА-ЯЁA-Z0-9]', ' ', 'g')), 'ё', 'е'), '[\p{L}\p{N}]+'), lambda x: length(x) >= 5))) as word from regions), r as (select source_sha256, word from w group by 1, 2 having count(distinct region_key) = 1) select source_sha256, array_to_string(list_sort(list(word))[1:8], '|') as examples, count(*) as n from r group by 1",
+    "a29_findings": r"with w as (select source_sha256, region_key, unnest(list_distinct(list_filter(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[\p{L}\p{N}]+'), lambda x: length(x) >= 5))) as word from regions), r as (select source_sha256, word from w group by 1, 2 having count(distinct region_key) = 1) select source_sha256, array_to_string(list_sort(list(word))[1:8], '|') as examples, count(*) as n from r group by 1",
     "j03_semi": "select distinct chunk_id, regulation_id from chunks where regulation_id in (select regulation_id from documents where regulation_id is not null)",
     "j04_first_match": f"with c as (select distinct {_CODES} as code from regions), f as (select distinct regulation_id, chunk_id, {_CODES} as code from (select distinct regulation_id, chunk_id, text from chunks where is_table)) select code, regulation_id, min(chunk_id) as chunk_id, count(*) as n_chunks from f join c using (code) group by 1, 2",
     "j07_zip_assert": "with k as (select regexp_extract(chunk_id, '^(.*):', 1) as document, regexp_extract(chunk_id, '(\\d+)$', 1)::int as place, length(text) as n from (select distinct chunk_id, text from chunks)) select a.document, a.place, a.n, b.n as n_next from k a left join k b on a.document = b.document and b.place = a.place + 1",

@@ -260,7 +260,7 @@ with v as (select id, unnest(votes) as vote, generate_subscripts(votes, 1) as vo
 n as (select id, vote, count(*) as n, min(vote_no) as first from v group by 1, 2), b as (select *, sum(n) over (partition by id) as n_votes, row_number() over (partition by id order by n desc, first) as place from n)
 select id, case when n > 1 then vote end as winner, n_votes::bigint as n_votes, n as n_winner from b where place = 1""",
     "a20_consensus": r"""
-with w as (select source_sha256, read_no, unnest(list_distinct(list_filter(regexp_extract_all(translate(lower(regexp_replace(text, '[^а-яёa-zА-ЯЁA-Z0-9]', ' ', 'g')), 'ё', 'е'), '[\p{L}\p{N}]+'), lambda x: length(x) >= 5))) as word from regions),
+with w as (select source_sha256, read_no, unnest(list_distinct(list_filter(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[\p{L}\p{N}]+'), lambda x: length(x) >= 5))) as word from regions),
 s as (select source_sha256, word, count(distinct read_no) as n_seen from w group by 1, 2), r as (select source_sha256, count(distinct read_no) as n_runs from regions group by 1)
 select source_sha256, count(*) as n_words, sum(n_seen)::bigint as n_seen from s join r using (source_sha256) where n_seen >= (n_runs + 1) // 2 group by 1""",
     "j19_longest_prefix": f"""

@@ -69,10 +69,12 @@ def t07_tail_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t08_islands(spark: SparkSession, d: str) -> DataFrame:
-    """Runs of chunks whose part numbers go on."""
-    chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "part"]).distinct()
+    """Runs of chunks of one clause whose part numbers go on."""
+    address = ["section", "subsection", "clause", "appendix"]
+    chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "part", *address]).distinct()
     w = Window.partitionBy("regulation_id").orderBy("chunk_id")
-    runs = S.islands(chunks, ["regulation_id"], ["chunk_id"], F.col("part") == F.lag("part").over(w) + 1)
+    same = F.struct(*address)
+    runs = S.islands(chunks, ["regulation_id"], ["chunk_id"], (F.col("part") == F.lag("part").over(w) + 1) & same.eqNullSafe(F.lag(same).over(w)))
     return runs.groupBy("regulation_id", "island").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("island")
 
 
@@ -233,7 +235,7 @@ QUERIES = {
 _CH = "(select distinct chunk_id, text from chunks)"
 _SPACE = r"\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}\x{1680}\x{85}\x{2028}\x{2029}\x0b"
 _CLEAN = rf"(select chunk_id, x as line, case when contains(x, 'Архивная копия') then 'text Архивная копия' when regexp_matches(x, '^(?:Приложение [0-9]+)') then 'pattern Приложение [0-9]+' when regexp_matches(x, '^(?:[0-9]+$)') then 'pattern [0-9]+$' end as rule, n from (select chunk_id, n, regexp_replace(l, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') as x from (select chunk_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from {_CH})) where x <> '')"
-_REGIONS = "(select source_sha256, region_id, read_no, regexp_replace(lower(arg_min(text, region_key)), '[^а-яёa-z0-9]', ' ', 'g') as t from regions where text is not null and text <> '' group by 1, 2, 3)"
+_REGIONS = r"(select source_sha256, region_id, read_no, regexp_replace(lower(arg_min(text, region_key)), '[^\p{L}\p{N}]', ' ', 'g') as t from regions where text is not null and text <> '' group by 1, 2, 3)"
 _WL = "list_filter(regexp_extract_all(translate({}, 'ё', 'е'), '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) >= {})"
 
 
@@ -241,16 +243,16 @@ def _w(x: str, n: int = 3, distinct: bool = True) -> str:
     return f"list_distinct({_WL.format(x, n)})" if distinct else _WL.format(x, n)
 
 
-_PAIRS = f"p as (select a.source_sha256, a.region_id, a.t as a, b.t as b, {_w('a.t')} as wa, {_w('b.t')} as wb, {_w('b.t', 3, False)} as lb, replace(translate(a.t, 'ё', 'е'), ' ', '') as sa, replace(translate(b.t, 'ё', 'е'), ' ', '') as sb from {_REGIONS} a join {_REGIONS} b on a.source_sha256 = b.source_sha256 and a.region_id = b.region_id and a.read_no = 1 and b.read_no = 2)"
+_PAIRS = f"""r as (select * from {_REGIONS}), later as (select distinct source_sha256, read_no from regions where read_no > 1),
+x as (select r.source_sha256, later.read_no, r.region_id, r.t from r join later using (source_sha256) where r.read_no = 1), y as (select * from r where read_no > 1),
+z as (select source_sha256, read_no, region_id, coalesce(x.t, '') as a, coalesce(y.t, '') as b from x full join y using (source_sha256, read_no, region_id)),
+p as (select source_sha256, read_no, region_id, a, b, {_w('a')} as wa, {_w('b')} as wb, {_w('b', 3, False)} as lb, replace(translate(a, 'ё', 'е'), ' ', '') as sa, replace(translate(b, 'ё', 'е'), ' ', '') as sb from z)"""
 _MISSING = "list_sort(list_filter(wa, lambda w: not list_contains(wb, w) and not contains(sb, w)))"
-_DIFF = f"""{_PAIRS}, q as (select source_sha256, {_w("regexp_replace(a, '[^a-z ]', ' ', 'g')", 5)} as xa, {_w("regexp_replace(b, '[^a-z ]', ' ', 'g')", 5)} as xb from p),
-l as (select distinct source_sha256, unnest(list_filter(xa, lambda w: not list_contains(xb, w))) as word_1 from q), r as (select distinct source_sha256, unnest(list_filter(xb, lambda w: not list_contains(xa, w))) as word_2 from q),
-near as (select source_sha256, word_1, word_2, levenshtein(word_1, word_2)::int as distance from l join r using (source_sha256) where word_1 <> word_2 and levenshtein(word_1, word_2) <= 2)"""
 _BOX = "(select * from regions where x0 is not null and y0 is not null and x1 is not null and y1 is not null)"
 _IN = "(b.x0 + b.x1) / 2 between a.x0 and a.x1 and (b.y0 + b.y1) / 2 between a.y0 and a.y1"
 _INTER = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0.0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0.0)"
 _RUNS = "list_filter(list_transform(regexp_extract_all({}, '[0-9][0-9 ]*[0-9]|[0-9]'), lambda r: replace(r, ' ', '')), lambda r: length(r) >= 4)"
-_ASSESS = f"select source_sha256, region_id, concat_ws('; ', case when len({_MISSING}) > 3 then 'words missing' end, case when len(list_filter(wb, lambda w: not list_contains(wa, w) and not contains(sa, w))) > 3 then 'words invented' end, case when len(wb) < 2 then 'hardly read' end) as reason from p"
+_ASSESS = f"select source_sha256, read_no, region_id, concat_ws('; ', case when len({_MISSING}) > 3 then 'words missing' end, case when len(list_filter(wb, lambda w: not list_contains(wa, w) and not contains(sa, w))) > 3 then 'words invented' end, case when len(wb) < 2 then 'hardly read' end) as reason from p"
 SQL = {
     "t01_clean_lines": f"select chunk_id, count(line) filter (where rule is null) as kept, count(line) filter (where rule is not null) as dropped, coalesce(length(string_agg(line, chr(10) order by n) filter (where rule is null)), 0)::bigint as n_chars from {_CH} left join {_CLEAN} using (chunk_id) group by 1",
     "s08_audit_split": f"select rule, count(*) as n, count(distinct chunk_id) as n_chunks from {_CLEAN} where rule is not null group by 1",
@@ -258,22 +260,21 @@ SQL = {
     "t03_carry_forward": f"select chunk_id, last_value(nullif(regexp_extract(text, '^(\\d+)\\. ', 1), '') ignore nulls) over w as clause, lead(substr(text, 1, 20)) over (partition by regexp_extract(chunk_id, '^(.*):', 1) order by chunk_id) as next_head from {_CH} window w as (partition by regexp_extract(chunk_id, '^(.*):', 1) order by chunk_id rows between unbounded preceding and current row)",
     "t05_windows": "with k as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), w as (select doc_id, l, unnest(range(0, len(l), 27)) as i from k) select doc_id, (i // 27)::bigint as window_no, len(case when i = 0 then l[1:30] else l[1:6] || l[i + 1:i + 30] end)::bigint as n_lines, length(array_to_string(case when i = 0 then l[1:30] else l[1:6] || l[i + 1:i + 30] end, chr(10)))::bigint as n_chars from w where i = 0 or i + 3 < len(l)",
     "t06_positional_id": "select region_key, format('{}:{:04d}', substr(source_sha256, 1, 8), row_number() over (partition by substr(source_sha256, 1, 8) order by source_sha256, region_key) - 1) as chunk_id from (select distinct region_key, source_sha256 from regions)",
-    "t08_islands": "with k as (select distinct chunk_id, regulation_id, part from chunks), f as (select *, case when part = lag(part) over (partition by regulation_id order by chunk_id) + 1 then 0 else 1 end as fresh from k), i as (select *, sum(fresh) over (partition by regulation_id order by chunk_id) as island from f) select regulation_id, min(chunk_id) as first, max(chunk_id) as last, count(*) as n from i group by regulation_id, island having count(*) > 1",
+    "t08_islands": "with k as (select distinct chunk_id, regulation_id, part, section, subsection, clause, appendix from chunks), f as (select *, case when part = lag(part) over w + 1 and section is not distinct from lag(section) over w and subsection is not distinct from lag(subsection) over w and clause is not distinct from lag(clause) over w and appendix is not distinct from lag(appendix) over w then 0 else 1 end as fresh from k window w as (partition by regulation_id order by chunk_id)), i as (select *, sum(fresh) over (partition by regulation_id order by chunk_id) as island from f) select regulation_id, min(chunk_id) as first, max(chunk_id) as last, count(*) as n from i group by regulation_id, island having count(*) > 1",
+    "t07_tail_sentence": rf"with k as (select chunk_id, string_split(regexp_replace(trim(regexp_replace(text, '[{_SPACE}]+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) as s from {_CH}), l as (select chunk_id, list_filter(s, lambda x: length(x) > 0) as s from k) select chunk_id, substr(case when length(s[-1]) < 40 and len(s) > 1 then s[-2] || ' ' || s[-1] else s[-1] end, 1, 220) as tail from l",
     "t08_event_runs": "with f as (select *, case when event_type = lag(event_type) over (partition by user_id order by ts, event_id) then 0 else 1 end as fresh from events), i as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as island from f) select user_id, min(event_id) as first, count(*) as n from i group by user_id, island",
-    "j15_word_anti": f"with {_PAIRS} select source_sha256, region_id, array_to_string({_MISSING}, '|') as missing, round(1 - len({_MISSING}) / nullif(len(wa), 0), 4) as coverage from p",
-    "j16_invented": f"with {_PAIRS} select source_sha256, region_id, array_to_string(list_filter(lb, lambda w: not list_contains(wa, w) and not contains(sa, w)), '|') as invented, round(len(list_filter(lb, lambda w: not list_contains(wa, w) and not contains(sa, w))) / nullif(len(lb), 0), 4) as mismatch from p",
-    "j30_diff": f"with {_PAIRS} select source_sha256, region_id, len(list_filter(wa, lambda w: not list_contains(wb, w)))::bigint as only_first, len(list_filter(wb, lambda w: not list_contains(wa, w)))::bigint as only_second, len(list_filter(wa, lambda w: list_contains(wb, w)))::bigint as common from p",
-    "j17_near_words": f"with {_DIFF} select * from near",
-    "j17_nearest": f"with {_DIFF}, k as (select *, row_number() over (partition by source_sha256, word_1 order by distance, word_2) as i, row_number() over (partition by source_sha256, word_2 order by distance, word_1) as j from near) select source_sha256, word_1, word_2, distance, 'substitution' as kind from k where i = 1 and j = 1",
-    "j18_digit_runs": f"with {_PAIRS} select source_sha256, region_id, array_to_string(list_filter({_RUNS.format('b')}, lambda r: not list_bool_or(list_transform({_RUNS.format('a')}, lambda x: contains(x, r)) || [false])), '|') as unconfirmed from p",
-    "j23_markers": f"""with n as (select aspect_id, unnest({_w("lower(aspect_name)", 5)}) as word from aspects), w as (select distinct chunk_id, unnest({_w("lower(regexp_replace(text, '[^а-яёa-zА-ЯЁA-Z0-9]', ' ', 'g'))", 5)}) as word from {_CH}) select aspect_id, word, count(distinct chunk_id) as n_chunks from w join n using (word) group by 1, 2""",
+    "j15_word_anti": f"with {_PAIRS} select source_sha256, read_no, region_id, array_to_string({_MISSING}, '|') as missing, round(1 - len({_MISSING}) / nullif(len(wa), 0), 4) as coverage from p",
+    "j16_invented": f"with {_PAIRS} select source_sha256, read_no, region_id, array_to_string(list_filter(lb, lambda w: not list_contains(wa, w) and not contains(sa, w)), '|') as invented, round(len(list_filter(lb, lambda w: not list_contains(wa, w) and not contains(sa, w))) / nullif(len(lb), 0), 4) as mismatch from p",
+    "j30_diff": f"with {_PAIRS} select source_sha256, read_no, region_id, len(list_filter(wa, lambda w: not list_contains(wb, w)))::bigint as only_first, len(list_filter(wb, lambda w: not list_contains(wa, w)))::bigint as only_second, len(list_filter(wa, lambda w: list_contains(wb, w)))::bigint as common from p",
+    "j18_digit_runs": f"with {_PAIRS} select source_sha256, read_no, region_id, array_to_string(list_filter({_RUNS.format('b')}, lambda r: not list_bool_or(list_transform({_RUNS.format('a')}, lambda x: contains(x, r)) || [false])), '|') as unconfirmed from p",
+    "j23_markers": f"""with n as (select aspect_id, unnest({_w("lower(aspect_name)", 5)}) as word from aspects), w as (select distinct chunk_id, unnest({_w("lower(text)", 5)}) as word from {_CH}) select aspect_id, word, count(distinct chunk_id) as n_chunks from w join n using (word) group by 1, 2""",
     "j09_token_except": f"with k as (select chunk_id, list_transform(regexp_extract_all(text, '([0-9]+(?:,[0-9]+)?) (?:мг|мм|%|°C)', 1), lambda n: replace(n, ',', '.')) as a, list_transform(regexp_extract_all(string_split(text, chr(10))[1], '([0-9]+(?:,[0-9]+)?) (?:мг|мм|%|°C)', 1), lambda n: replace(n, ',', '.')) as b from {_CH}) select chunk_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda n: not list_contains(b, n)))), '|'), '') as numbers from k",
     "j08_verbatim": rf"with n as (select distinct id, check_id, trim(regexp_replace(translate(lower(note), 'ё', 'е'), '[{_SPACE}]+', ' ', 'g')) as t from feedback where check_id is not null and trim(note) <> ''), w as (select check_id, t, min(id) as id_2 from n group by 1, 2) select n.id as id_1, w.id_2 from n join w on n.check_id = w.check_id and n.id <> w.id_2 and contains(w.t, n.t)",
     "f23_bbox": f"select region_key, round(least(greatest(least(x0, x1) * 100 / 100.0, 0.0), 1.0), 6) as x0, round(least(greatest(least(y0, y1) * 100 / 100.0, 0.0), 1.0), 6) as y0, round(least(greatest(greatest(x0, x1) * 100 / 100.0, 0.0), 1.0), 6) as x1, round(least(greatest(greatest(y0, y1) * 100 / 100.0, 0.0), 1.0), 6) as y1 from {_BOX}",
     "j11_box_join": f"select a.source_sha256, a.region_key as outer_id, count(*) as n_inside from {_BOX} a join {_BOX} b on a.source_sha256 = b.source_sha256 and a.region_key <> b.region_key and {_IN} group by 1, 2",
     "j27_smallest_box": f"select b.region_key as inner_id, arg_min(a.region_key, (round((a.x1 - a.x0) * (a.y1 - a.y0), 6), a.region_key)) as outer_id from {_BOX} a join {_BOX} b on a.source_sha256 = b.source_sha256 and a.read_no = b.read_no and {_IN} group by 1",
     "j12_iou_dedup": f"select a.source_sha256, a.kind, a.region_key as id_1, b.region_key as id_2, round({_INTER} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_INTER}), 4) as iou from {_BOX} a join {_BOX} b on a.source_sha256 = b.source_sha256 and a.kind = b.kind and a.region_key < b.region_key where {_INTER} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_INTER}) >= 0.5",
-    "c05_assess": f"with {_PAIRS}, s as ({_ASSESS}) select source_sha256, region_id, case when reason <> '' then 'manual' else 'read' end as status, reason from s",
-    "c06_guards": f"with {_PAIRS}, s as ({_ASSESS}) select source_sha256, count(*) as n, count(*) filter (where reason <> '') as manual, round(count(*) filter (where reason <> '') / count(*), 4) > 0.1 as partial from s group by 1",
+    "c05_assess": f"with {_PAIRS}, s as ({_ASSESS}) select source_sha256, read_no, region_id, case when reason <> '' then 'manual' else 'read' end as status, reason from s",
+    "c06_guards": f"with {_PAIRS}, s as ({_ASSESS}) select source_sha256, read_no, count(*) as n, count(*) filter (where reason <> '') as manual, round(count(*) filter (where reason <> '') / count(*), 4) > 0.1 as partial from s group by 1, 2",
     "a24_barcodes": f"with r as (select region_key, unnest(list_distinct({_RUNS.format('text')})) as digits from regions) select digits, case when length(digits) = 13 then 'ean13' when length(digits) in (12, 14) then 'upc or case' when length(digits) = 8 then 'ean8' else 'other' end as kind, count(*) as n, min(region_key) as first from r group by 1, 2",
 }

@@ -252,11 +252,12 @@ select source_sha256, 'composition' as kind from s where not composition union a
     "p25_conditional_update": f"""
 with k as (select region_key, text, human_edited, {_squeeze('text')} as t from regions)
 select region_key, coalesce(text <> t, false) as changed, coalesce(human_edited,false) or coalesce(text <> t, false) as human_edited, case when coalesce(text <> t, false) then length(t) - length(text) else 0 end::bigint as growth from k""",
-    "f01_norm": "select doc_id, md5(trim(regexp_replace(translate(lower(regexp_replace(text, '[^а-яёa-zА-ЯЁA-Z0-9 \n]', '', 'g')), 'ё', 'е'), '\\s+', ' ', 'g'))) as norm_md5 from documents",
+    "f01_norm": f"select doc_id, md5({_norm('text')}) as norm_md5 from documents",
     "f02_question_key": f"select item_id, trim(regexp_replace(regexp_replace({_norm('item_text')}, '[^\\p{{L}}\\p{{N}} ]+', '', 'g'), ' +', ' ', 'g')) as key from eval_items",
-    "f05_words": "select region_key, len(list_distinct(list_filter(regexp_extract_all(translate(lower(regexp_replace(text, '[^а-яёa-zА-ЯЁA-Z0-9 \n]', ' ', 'g')), 'ё', 'е'), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)))::bigint as n_words from regions where text is not null",
+    "f03_codes": r"with k as (select region_key, regexp_extract_all(lower(text), '(?:^|[^\p{L}\p{N}])[eе] ?[0-9]+[a-dа-г]?[0-9]?') as m from regions), d as (select region_key, list_transform(m, lambda x: [regexp_extract(x, '[eе] ?([0-9]+)', 1), regexp_extract(x, '[eе] ?[0-9]+([a-dа-г]?)$', 1)]) as d from k), o as (select region_key, list_transform(list_filter(d, lambda x: length(x[1]) between 3 and 4), lambda x: 'е' || x[1] || translate(x[2], 'abcd', 'абвг')) as c from d) select region_key, array_to_string(list_filter(c, lambda x, i: list_position(c, x) = i), '|') as codes from o where len(c) > 0",
+    "f05_words": "select region_key, len(list_distinct(list_filter(regexp_extract_all(translate(lower(text), 'ё', 'е'), '[\\p{L}\\p{N}]+'), lambda w: length(w) >= 3)))::bigint as n_words from regions where text is not null",
     "f07_digit_runs": r"select * from (select doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[0-9][0-9 ]*[0-9]|[0-9]'), lambda r: replace(r, ' ', '')), lambda r: length(r) >= 4), '|') as runs from documents) where runs <> ''",
-    "f09_fold": "select doc_id, md5(translate(text, 'aceopxyABCEHKMOPTX', 'асеорхуАВСЕНКМОРТХ')) as folded_md5, regexp_matches(text, '[а-яё]') and regexp_matches(text, '[a-z]') as both_scripts from documents",
+    "f09_fold": "select doc_id, md5(translate(text, 'abcehkmoptxyABCEHKMOPTXY', 'авсенкмортхуАВСЕНКМОРТХУ')) as folded_md5, regexp_matches(text, '[а-яё]') and regexp_matches(text, '[a-z]') as both_scripts from documents",
     "f18_times": "select id, loaded_at, coalesce(try_strptime(substr(ts,1,19), '%Y-%m-%d %H:%M:%S'), try_strptime(substr(ts,1,19), '%Y-%m-%dT%H:%M:%S')) as at, round(seconds / 60, 1) as minutes from checks",
     "f21_hash": "select doc_id, substr(sha256(coalesce(source,'') || chr(31) || text), 1, 16) as key from documents where text is not null",
     "f22_ean13": """
