@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Latin letters that are drawn like Cyrillic ones, in pairs of equal place.
@@ -24,10 +28,80 @@ def question_key(text: Column) -> Column:
     return squeeze(F.regexp_replace(norm_text(text), r"[^\p{L}\p{N} ]+", ""))
 
 
+def raw_tokens(text: Column) -> Column:
+    """Runs of Russian and plain Latin letters and digits in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[а-яёa-z0-9]+"), F.lit(0))
+
+
+def one_alphabet(token: Column) -> Column:
+    """A Latin e before digits is the Cyrillic one, as in codes of additives; ё is е."""
+    return F.translate(F.regexp_replace(token, "^e([0-9]+)$", "е$1"), "ё", "е")
+
+
+#: The vowels and endings of the Snowball stemmer of Russian. Of two groups the first follows а or я,
+#: which stays.
+VOWELS = "аеиоуыэюя"
+GERUND = ("в|вши|вшись", "ив|ивши|ившись|ыв|ывши|ывшись")
+REFLEXIVE = "ся|сь"
+ADJECTIVE = "ее|ие|ые|ое|ими|ыми|ей|ий|ый|ой|ем|им|ым|ом|его|ого|ему|ому|их|ых|ую|юю|ая|яя|ою|ею"
+PARTICIPLE = ("ем|нн|вш|ющ|щ", "ивш|ывш|ующ")
+VERB = (
+    "ла|на|ете|йте|ли|й|л|ем|н|ло|но|ет|ют|ны|ть|ешь|нно",
+    "ила|ыла|ена|ейте|уйте|ите|или|ыли|ей|уй|ил|ыл|им|ым|ен|ило|ыло|ено|ят|ует|уют|ит|ыт|ены|ить|ыть|ишь|ую|ю",
+)
+NOUN = "а|ев|ов|ие|ье|е|иями|ями|ами|еи|ии|и|ией|ей|ой|ий|й|иям|ям|ием|ем|ам|ом|о|у|ах|иях|ях|ы|ь|ию|ью|ю|ия|ья|я"
+
+
+def _ending(*groups: str) -> str:
+    """A pattern of endings: one group, or two of which the first needs an а or я before it."""
+    return f"(?:{groups[0]})$" if len(groups) == 1 else f"(?:([ая])(?:{groups[0]})|(?:{groups[1]}))$"
+
+
+_HEAD = re.compile(f"[^{VOWELS}]*[{VOWELS}]")
+_FAR = re.compile(f".*?[{VOWELS}][^{VOWELS}].*?[{VOWELS}][^{VOWELS}]")
+_GERUND, _REFLEXIVE, _ADJECTIVE, _PARTICIPLE, _VERB, _NOUN = (re.compile(_ending(*([g] if isinstance(g, str) else g))) for g in (GERUND, REFLEXIVE, ADJECTIVE, PARTICIPLE, VERB, NOUN))
+
+
+def stem(word: str) -> str:
+    """The word without its Russian ending, by the rules of Snowball; words with digits or Latin letters stay."""
+    head = _HEAD.match(word)
+    if head is None or not word.isalpha() or re.search("[a-z]", word):
+        return word
+    start, rest = head[0], word[head.end() :]
+    keep = lambda m: (m[1] or "") if m.re.groups else ""
+    first = _GERUND.sub(keep, rest)
+    if first == rest:
+        plain = _REFLEXIVE.sub("", rest)
+        first = _ADJECTIVE.sub("", plain)
+        if first != plain:
+            first = _PARTICIPLE.sub(keep, first)
+        else:
+            first = _VERB.sub(keep, plain)
+            if first == plain:
+                first = _NOUN.sub("", plain)
+    first = first.removesuffix("и")
+    far = _FAR.match(word)
+    if far and (ost := re.search("ость?$", first)) and len(start) + ost.start() >= far.end():
+        first = first[: ost.start()]
+    best = re.sub("ейше?$", "", first)
+    if best != first or first.endswith("нн"):
+        return start + re.sub("нн$", "н", best)
+    return start + first.removesuffix("ь")
+
+
+def stemmed(tokens: DataFrame, raw: str, name: str) -> DataFrame:
+    """(raw, name): each token in one alphabet and without its Russian ending. Meant for the distinct tokens of a corpus."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch[raw], pa.array([stem(t) for t in batch["_token"].to_pylist()], pa.string())], [raw, name])
+
+    return tokens.where(F.col(raw).isNotNull()).select(raw, one_alphabet(F.col(raw)).alias("_token")).mapInArrow(run, f"`{raw}` string, `{name}` string")
+
+
 def tokens(text: Column) -> Column:
-    """Search tokens; a Latin e before digits is the Cyrillic one, as in codes of additives."""
-    one_alphabet = F.regexp_replace(F.lower(text), "(?<![а-яёa-z0-9])e(?=[0-9]+(?![а-яёa-z0-9]))", "е")
-    return F.regexp_extract_all(one_alphabet, F.lit("[а-яёa-z0-9]+"), F.lit(0))
+    """Tokens of a text in one alphabet, as written; :func:`stemmed` gives their search form."""
+    return F.transform(raw_tokens(text), one_alphabet)
 
 
 def words(text: Column, least: int = 3) -> Column:

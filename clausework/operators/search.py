@@ -3,123 +3,175 @@
 from __future__ import annotations
 
 from functools import reduce
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import raw_tokens, stemmed
 from ..session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, TOP_K, RRF_K = 20, 10, 60
-#: Query vectors that are sent to the executors at a time.
-QUERY_BLOCK = 4096
+#: Queries and vectors of one matrix product.
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 65536
+
+
+def vocabulary(terms: DataFrame) -> DataFrame:
+    """(raw, term): each distinct raw token in its form for search (codes in one alphabet, Russian words by their stem)."""
+    return stemmed(terms.select("raw").distinct(), "raw", "term")
 
 
 class Bm25:
-    """Postings and statistics of a corpus. Statistics always cover the whole corpus, whatever a search filters."""
+    """Postings and statistics of a corpus. Statistics always cover the whole corpus, whatever a search filters.
+
+    Repeated rows of one key and text count once. A document is one row without a term beside its postings, so that
+    one aggregate by term gives the documents of each term and, at no term, their number and length. Tokens are
+    counted as written first; only the distinct ones are brought to their search form.
+    """
 
     def __init__(self, corpus: DataFrame, key: str, text: str):
-        words = corpus.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("words")).where(F.col("doc").isNotNull())
-        # an empty text is one row without a term, so that it counts in the number and the mean length of documents
-        rows = words.select("doc", F.greatest(F.size("words"), F.lit(0)).alias("length"), F.explode_outer("words").alias("term"))
+        texts = corpus.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull()).distinct()
+        words = texts.select("doc", F.coalesce(raw_tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+        rows = words.select("doc", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("raw"))
+        counted = cut(rows.groupBy("doc", "length", "raw").agg(F.count("*").alias("tf")))
+        forms = vocabulary(counted.where("raw is not null"))
         # the index is written once: every statistic and every search reads it and none tokenizes the corpus again
-        self.index = cut(rows.groupBy("doc", "length", "term").agg(F.count("*").alias("tf")))
+        self.index = cut(counted.join(forms, "raw", "left").groupBy("doc", "length", "term").agg(F.sum("tf").alias("tf")))
         self.postings = self.index.where("term is not null")
-
-    def statistics(self) -> tuple[DataFrame, float, float]:
-        """(term, idf), mean document length and number of documents.
-
-        A negative idf is replaced by ``EPSILON`` times the mean idf over all terms.
-        """
-        n, total = self.index.select("doc", "length").distinct().agg(F.count("*"), F.sum("length")).first()
-        mean_length = total / n if n else 0.0
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.select("term", (F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        mean_idf = raw.agg(F.avg("raw")).first()[0] or 0.0
-        return raw.select("term", F.when(F.col("raw") < 0, EPSILON * mean_idf).otherwise(F.col("raw")).alias("idf")), float(mean_length or 0.0), float(n)
+        self.terms = cut(self.index.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")))
+        self._numbers: tuple[float, float, float] | None = None
+
+    def numbers(self) -> tuple[float, float, float]:
+        """Number of documents, their mean length, and the mean idf over all terms."""
+        if self._numbers is None:
+            none = self.terms.where("term is null").select("df", "lengths")
+            n, total = none.first() or (0, 0)
+            mean_idf = self.terms.where("term is not null").agg(F.avg(_raw_idf(n))).first()[0]
+            self._numbers = float(n), float(total / n) if n else 0.0, float(mean_idf or 0.0)
+        return self._numbers
+
+    def idf(self) -> DataFrame:
+        """(term, idf); a negative idf is replaced by ``EPSILON`` times the mean over all terms."""
+        n, _, mean_idf = self.numbers()
+        raw = _raw_idf(n)
+        return self.terms.where("term is not null").select("term", F.when(raw < 0, EPSILON * mean_idf).otherwise(raw).alias("idf"))
 
     def search(self, queries: DataFrame, k: int | None = TOP_K, allowed: DataFrame | None = None) -> DataFrame:
         """(query, doc, score, rank) of the best ``k`` documents of each query (``None`` or 0: ``CANDIDATES``).
 
-        ``queries``: ``query``, ``text``; repeated tokens of a query count each time. ``allowed``: ``query``,
-        ``doc`` pairs or only ``doc``; None allows all, an empty frame none. Scores that are not above 0 do not
-        come out; ties go to the smaller document key. The postings are cut to the queries' terms before they are
-        joined, and the scores are summed map-side.
+        ``queries``: ``query``, ``text``, and ``variant`` where a query has several texts, each with a list of its own
+        out of the same pass; repeated tokens of a query count each time. ``allowed``: ``query``, ``doc`` pairs or
+        only ``doc``; None allows all, an empty frame none. Scores that are not above 0 do not come out; ties go to
+        the smaller document key. The postings are cut to the queries' terms before they are joined, and the scores
+        are summed map-side.
         """
-        idf, mean_length, _ = self.statistics()
-        asked = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-        weighted = asked.join(idf, "term")
-        hits = self.postings.join(weighted, "term")
+        _, mean_length, _ = self.numbers()
+        keys = [c for c in ("query", "variant") if c in queries.columns]
+        raw = queries.select(*keys, F.explode(raw_tokens(F.col("text"))).alias("raw"))
+        asked = raw.join(vocabulary(raw), "raw").groupBy(*keys, "term").agg(F.count("*").alias("times"))
+        hits = self.postings.join(asked.join(self.idf(), "term"), "term")
         if allowed is not None:
             hits = hits.join(allowed, [c for c in ("query", "doc") if c in allowed.columns], "left_semi")
         tf, length = F.col("tf"), F.col("length")
         part = F.col("times") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / F.lit(mean_length)))
-        scores = hits.groupBy("query", "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-        return top_k(scores, k or CANDIDATES)
+        scores = hits.groupBy(*keys, "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+        return top_k(scores, k or CANDIDATES, keys)
+
+    def vectors(self, dims: int = 64) -> DataFrame:
+        """(doc, embedding): the tf-idf weights of each document's terms hashed into ``dims`` signed buckets.
+
+        A vector for documents where no model is at hand; any frame of ``doc`` and ``embedding`` can stand for it.
+        """
+        return hashed_vectors(self.postings.join(self.idf(), "term"), "doc", dims)
+
+    def query_vectors(self, queries: DataFrame, dims: int = 64) -> DataFrame:
+        """(query, embedding), with ``variant`` where there is one, by the same weights."""
+        keys = [c for c in ("query", "variant") if c in queries.columns]
+        raw = queries.select(*keys, F.explode(raw_tokens(F.col("text"))).alias("raw"))
+        asked = raw.join(vocabulary(raw), "raw").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+        named = asked.select(F.struct(*keys).alias("query") if len(keys) > 1 else F.col("query"), "term", "tf")
+        return hashed_vectors(named.join(self.idf(), "term"), "query", dims)
 
 
-def top_k(scores: DataFrame, k: int) -> DataFrame:
+def _raw_idf(n: float) -> Column:
+    return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+
+
+def hashed_vectors(weights: DataFrame, key: str, dims: int) -> DataFrame:
+    """(key, embedding) of rows (key, term, tf, idf): bucket and sign of a term by its MD5; summed map-side."""
+    digest = F.md5(F.col("term").cast("binary"))
+    byte = lambda at: F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
+    parts = weights.select(key, (byte(1) % dims).alias("bucket"), (F.when(byte(3) % 2 == 0, 1.0).otherwise(-1.0) * F.col("tf") * F.col("idf")).alias("part"))
+    buckets = parts.groupBy(key, "bucket").agg(F.sum("part").alias("value"))
+    found = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("values"))  # dims entries at most
+    return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("values", i), F.lit(0.0))).alias("embedding"))
+
+
+def top_k(scores: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """The best ``k`` of each query with their rank from 1; Spark cuts each partition to k before the shuffle."""
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    order = Window.partitionBy(*(keys or ["query"])).orderBy(F.desc("score"), "doc")
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, skip_self: bool = False) -> DataFrame:
+def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, skip_self: bool = False, allowed: DataFrame | None = None) -> DataFrame:
     """(query, doc, score, rank) by cosine. ``queries``: ``query``, ``embedding``; ``vectors``: ``doc``, ``embedding``.
 
-    The queries are a stated set: they go to the executors in blocks of ``QUERY_BLOCK`` and each block is one pass
-    over the vectors, as matrix products of a batch; a batch keeps its own best ``k`` for each query, so what is
-    shuffled is a few rows a batch. Null vectors and vectors of length 0 match nothing.
+    The stated set of queries against all rows, in blocks: blocks of about ``QUERY_BLOCK`` queries meet blocks of
+    about ``VECTOR_BLOCK`` vectors, each pair in a task of its own as matrix products; a task keeps its own best ``k``
+    of each query. Nothing passes through the driver but the numbers of rows. ``allowed``: ``doc``. Null vectors and
+    vectors of length 0 match nothing.
     """
-    blocks = queries.where("embedding is not null").select("query", "embedding").orderBy("query").toArrow().to_batches(QUERY_BLOCK)
-    spark = queries.sparkSession
-    kind = dict(queries.dtypes)["query"]
-    doc_kind = dict(vectors.dtypes)["doc"]
-    empty = spark.createDataFrame([], f"query {kind}, doc {doc_kind}, score double")
-    parts = [empty]
-    for block in blocks:
-        matrix = np.array(block["embedding"].to_pylist(), dtype=np.float64)
-        norm = np.linalg.norm(matrix, axis=1)
-        keep = norm > 0
-        sent = spark.sparkContext.broadcast((block["query"].to_pylist(), matrix, norm, keep))
-
-        def score(batches, sent=sent, token=uuid4().hex):
-            names, matrix, norm, keep = sent.value
-            for batch in batches:
-                batch = batch.filter(batch["embedding"].is_valid())
-                if not batch.num_rows:
-                    continue
-                docs = np.array(batch["embedding"].to_pylist(), dtype=np.float64)
-                length = np.linalg.norm(docs, axis=1)
-                keys = batch["doc"].to_pylist()
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    value = np.round(docs @ matrix.T / length[:, None] / norm[None, :], 6)
-                out_q, out_d, out_s = [], [], []
-                for q in np.flatnonzero(keep):
-                    column = value[:, q]
-                    top = len(keys)
-                    if top > k:
-                        bar = np.partition(column[~np.isnan(column)], -min(k, (~np.isnan(column)).sum()))[-k] if (~np.isnan(column)).sum() > k else -2.0
-                    else:
-                        bar = -2.0
-                    for i in np.flatnonzero(column >= bar):
-                        out_q.append(names[q])
-                        out_d.append(keys[i])
-                        out_s.append(float(column[i]))
-                yield pa.RecordBatch.from_pydict({"query": out_q, "doc": out_d, "score": out_s}, schema=pa.schema([("query", block_types[0]), ("doc", batch.schema.field("doc").type), ("score", pa.float64())]))
-
-        block_types = [block.schema.field("query").type]
-        parts.append(vectors.select("doc", "embedding").mapInArrow(score, f"query {kind}, doc {doc_kind}, score double"))
-    scores = reduce(DataFrame.unionByName, parts)
+    asked = queries.where("embedding is not null").select("query", "embedding")
+    found = vectors.where("embedding is not null").select("doc", "embedding")
+    if allowed is not None:
+        found = found.join(allowed, "doc", "left_semi")
+    n_asked, n_found = asked.count(), found.count()
+    across, down = max(1, -(-n_asked // QUERY_BLOCK)), max(1, -(-n_found // VECTOR_BLOCK), min(n_found, vectors.sparkSession.sparkContext.defaultParallelism))
+    left = found.withColumn("down", F.pmod(F.xxhash64("doc", "embedding"), F.lit(down))).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+    right = asked.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))))
+
+    def best(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        matrix = _rows_of(asked["embedding"])
+        norm = np.linalg.norm(matrix, axis=1) if len(matrix) else np.zeros(0)
+        seen = np.flatnonzero(norm > 0)
+        at_query, at_doc, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+        for a in range(0, docs.num_rows, 2048) if len(seen) else ():
+            part = _rows_of(docs["embedding"].slice(a, 2048))
+            length = np.linalg.norm(part, axis=1)
+            full = np.flatnonzero(length > 0)
+            value = np.round(matrix[seen] @ part[full].T / norm[seen, None] / length[None, full], 6)
+            if not value.size:
+                continue
+            # all that reach the k-th best, so that ties are decided by the keys
+            most = min(k + skip_self, value.shape[1])
+            bar = np.partition(value, value.shape[1] - most, axis=1)[:, value.shape[1] - most]
+            q, d = np.nonzero(value >= bar[:, None])
+            at_query.append(seen[q])
+            at_doc.append(a + full[d])
+            scores.append(value[q, d])
+        names = asked["query"]
+        if pa.types.is_struct(names.type):
+            names = names.cast(pa.struct([f.with_nullable(True) for f in names.type]))
+        taken = names.take(pa.array(np.concatenate(at_query))), docs["doc"].take(pa.array(np.concatenate(at_doc)))
+        return pa.table([*taken, pa.array(np.concatenate(scores), pa.float64())], names=["query", "doc", "score"])
+
+    kinds = dict(asked.dtypes)["query"], dict(found.dtypes)["doc"]
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # sides of one table are told apart
+    scores = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInArrow(best, f"query {kinds[0]}, doc {kinds[1]}, score double")
     if skip_self:
         scores = scores.where(~F.col("query").eqNullSafe(F.col("doc")))
     return top_k(scores, k)
 
 
+def _rows_of(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The vectors as the rows of a matrix."""
+    flat = vectors.combine_chunks() if vectors.num_chunks != 1 else vectors.chunk(0)
+    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return values.reshape(len(flat), -1) if len(flat) else np.zeros((0, 0))
+
+
 def rrf(rankings: list[DataFrame], rrf_k: int = RRF_K, k: int = TOP_K) -> DataFrame:
     """Reciprocal-rank fusion of rankings (``query``, ``doc``, ``rank``): score = sum of 1 / (rrf_k + rank); ties to the smaller key."""
     every = reduce(DataFrame.unionByName, [r.select("query", "doc", "rank") for r in rankings])
@@ -127,6 +179,51 @@ def rrf(rankings: list[DataFrame], rrf_k: int = RRF_K, k: int = TOP_K) -> DataFr
     return top_k(fused, k)
 
 
+def run_search(method: str, index: Bm25, queries: DataFrame, vectors: DataFrame | None = None, k: int = TOP_K, rrf_k: int = RRF_K) -> DataFrame:
+    """(query, doc, score, rank) by ``method``: ``bm25``, ``vector`` or ``hybrid``.
+
+    ``queries`` with one text each give the method's own list; with ``variant`` (a query and its rewrites) the lists
+    of all variants are fused, for ``hybrid`` those of both methods. ``vectors``: ``doc``, ``embedding``; by default
+    the hashed ones of the index.
+    """
+    several = "variant" in queries.columns
+    fused = several or method == "hybrid"
+    depth = CANDIDATES if fused else k
+    lists = []
+    if method in ("bm25", "hybrid"):
+        lists.append(index.search(queries, depth).withColumn("list", F.concat(F.lit("bm25-"), F.col("variant").cast("string") if several else F.lit(""))))
+    if method in ("vector", "hybrid"):
+        found = cosine_top_k(index.query_vectors(queries), index.vectors() if vectors is None else vectors, depth)
+        if several:
+            found = found.select(F.col("query.variant").alias("variant"), F.col("query.query").alias("query"), "doc", "score", "rank")
+        lists.append(found.withColumn("list", F.concat(F.lit("vector-"), F.col("variant").cast("string") if several else F.lit(""))))
+    if not lists:
+        raise ValueError(f"unknown method {method}")
+    return rrf(lists, rrf_k, k) if fused else lists[0].select("query", "doc", "score", "rank")
+
+
+def known_only(rows: DataFrame, id_column: str, corpus: DataFrame, key: str, keep: list[str]) -> DataFrame:
+    """``rows`` with the columns ``keep`` of their corpus row; an id that the corpus does not have is an error when it is met."""
+    right = corpus.select(F.col(key).alias("_known"), *(F.col(c).alias(f"_{c}") for c in keep)).dropDuplicates(["_known"])
+    joined = rows.join(right, rows[id_column] == right["_known"], "left")
+    there = F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown id: "), F.coalesce(F.col(id_column).cast("string"), F.lit("null"))))).otherwise(F.col("_known"))
+    return joined.withColumn(id_column, there.cast(dict(rows.dtypes)[id_column])).select(*rows.columns, *(F.col(f"_{c}").alias(c) for c in keep))
+
+
+def hits(ranking: DataFrame, gold: DataFrame, addresses: DataFrame) -> DataFrame:
+    """``ranking`` (``query``, ``doc``, ``rank``) with ``is_hit``: the address of the document is that of a gold one, or it is one.
+
+    ``gold``: ``query``, ``doc``, each accepted document a row; ``addresses``: ``doc``, ``address``. Unknown documents on
+    either side are an error. Documents without an address are hit by their id only.
+    """
+    accepted = known_only(gold, "doc", addresses, "doc", ["address"]).select("query", F.col("doc").alias("gold_doc"), F.col("address").alias("gold_address"))
+    ranked = known_only(ranking, "doc", addresses, "doc", ["address"])
+    by_id = accepted.select("query", F.col("gold_doc").alias("doc"), F.lit(True).alias("by_id")).distinct()
+    by_address = accepted.where("gold_address is not null").select("query", F.col("gold_address").alias("address"), F.lit(True).alias("by_address")).distinct()
+    # two joins by equality in place of one by either
+    return ranked.join(by_id, ["query", "doc"], "left").join(by_address, ["query", "address"], "left").select(*ranking.columns, F.coalesce("by_id", "by_address", F.lit(False)).alias("is_hit"))
+
+
 def first_hit(ranking: DataFrame, is_hit: Column, queries: DataFrame) -> DataFrame:
     """(query, rank): the rank of the first hit of each query, null where there is none."""
     best = ranking.groupBy("query").agg(F.min(F.when(is_hit, F.col("rank"))).alias("rank"))

@@ -62,3 +62,58 @@ def test_metrics(spark):
     ranking = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "query int, doc string, rank int")
     got = S.first_hit(ranking, F.col("doc") == "b", spark.createDataFrame([(1,), (2,)], "query int"))
     assert {(r.query, r.rank) for r in got.collect()} == {(1, 2), (2, None)}
+
+
+def test_three_forms_of_a_noun_share_a_token(spark):
+    from clausework.functions import text as T
+
+    # pairs of the published Snowball vocabulary
+    pairs = "вавиловка вавиловк;вагонов вагон;вагоном вагон;важнейшие важн;важнейшими важн;важничал важнича;важность важност;валандался валанда;валериановых валерианов;падающая пада;падение паден;пакостей пакост;палачество палачеств;павильонам павильон;п п;па па"
+    assert all(T.stem(word) == want for word, want in (p.split() for p in pairs.split(";")))
+    rows = spark.createDataFrame([("наклейку",), ("наклейке",), ("наклейками",), ("e322",), ("label",), (None,)], "raw string")
+    got = {r.raw: r.term for r in T.stemmed(rows, "raw", "term").collect()}
+    assert got["наклейку"] == got["наклейке"] == got["наклейками"] == "наклейк"
+    assert got["e322"] == "е322" and got["label"] == "label" and None not in got
+
+
+def test_a_query_and_its_rewrites(spark):
+    corpus = spark.createDataFrame([("a", "сахар и соль"), ("b", "соли много"), ("c", "масло"), ("a", "сахар и соль")], "id string, text string")
+    index = S.Bm25(corpus, "id", "text")
+    assert index.numbers()[:2] == (3.0, 2.0)
+    texts = spark.createDataFrame([(1, 0, "соль"), (1, 1, "масло"), (2, 0, "нет такого")], "query int, variant int, text string")
+    lists = index.search(texts, 5)
+    assert {(r.query, r.variant, r.doc) for r in lists.collect()} == {(1, 0, "a"), (1, 0, "b"), (1, 1, "c")}
+    fused = S.run_search("hybrid", index, texts)
+    assert {r.doc for r in fused.where("query = 1").collect()} == {"a", "b", "c"}
+    one = texts.where("variant = 0").drop("variant")
+    assert S.run_search("bm25", index, one).count() == 2 and S.run_search("vector", index, one).where("rank = 1 and query = 1").count() == 1
+
+
+def test_hits_by_address_or_id_and_unknown_ids(spark):
+    import pytest
+
+    addresses = spark.createDataFrame([("a", "s1"), ("b", "s1"), ("c", None), ("d", None)], "doc string, address string")
+    ranking = spark.createDataFrame([(1, "d", 1), (1, "b", 2), (2, "d", 1), (2, "c", 2)], "query int, doc string, rank int")
+    gold = spark.createDataFrame([(1, "a"), (2, "c")], "query int, doc string")
+    got = {(r.query, r.doc): r.is_hit for r in S.hits(ranking, gold, addresses).collect()}
+    assert got == {(1, "d"): False, (1, "b"): True, (2, "d"): False, (2, "c"): True}
+    for bad_ranking, bad_gold in ((ranking.withColumn("doc", F.lit("zz")), gold), (ranking, gold.withColumn("doc", F.lit("zz")))):
+        with pytest.raises(Exception, match="unknown id: zz"):
+            S.hits(bad_ranking, bad_gold, addresses).collect()
+
+
+def test_cosine_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    data = [(i, [float(x) for x in rng.normal(size=5)]) for i in range(90)]
+    v = spark.createDataFrame(data, "doc int, embedding array<double>")
+    q = v.where("doc % 3 = 0").withColumnRenamed("doc", "query")
+    monkeypatch.setattr(S, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(S, "VECTOR_BLOCK", 11)
+    got = {(r.query, r.rank): r.doc for r in S.cosine_top_k(q, v, 4).collect()}
+    m = np.array([x for _, x in data])
+    cos = np.round(m @ m.T / np.linalg.norm(m, axis=1)[:, None] / np.linalg.norm(m, axis=1), 6)
+    for i in range(0, 90, 3):
+        want = sorted(range(90), key=lambda d: (-cos[i, d], d))[:4]
+        assert [got[i, r] for r in range(1, 5)] == want
