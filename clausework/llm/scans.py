@@ -100,8 +100,8 @@ def _letters(text: str) -> str:
     return re.sub(r"[\W\d_]+", "", text.lower())
 
 
-def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int, str]]:
-    """For each key that could be a header: (occurrences, those that stand alone, the key's look).
+def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int, str | None]]:
+    """For each key that could be a header: (occurrences, those that stand alone, the key's look if any does).
 
     A line stands alone if the text does not flow through it. It does flow where a stop ends the line or there was
     no room for the next word, and where the line starts a sentence that the next line goes on with. The first
@@ -110,7 +110,7 @@ def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int, str]]
     lines = text.split("\n")
     content = [i for i, line in enumerate(lines) if line.strip() and not is_page_line(line)]
     width = median(len(lines[i]) for i in content) if content else 0
-    out: dict[str, tuple[int, int, str]] = {}
+    out: dict[str, tuple[int, int, str | None]] = {}
     for n, i in enumerate(content):
         line = lines[i].strip()
         bare = _NUMBER_RIGHT.sub("", _NUMBER_LEFT.sub("", line))
@@ -124,8 +124,8 @@ def standing_lines(text: str, is_table: bool) -> dict[str, tuple[int, int, str]]
             sentence = (not n or _STOP.search(before)) and following[:1].islower() and not _ENTRY.match(following)
             alone = "|" in following or (not sentence and len(line) + 1 + len(following.split()[0]) <= width)
         key = header_key(line)
-        a, b, look = out.get(key) or (0, 0, header_look(line))
-        out[key] = a + 1, b + alone, look
+        a, b, look = out.get(key) or (0, 0, None)
+        out[key] = a + 1, b + alone, look or (header_look(line) if alone else None)
     return out
 
 
@@ -160,8 +160,8 @@ def document_headers(lines: DataFrame) -> DataFrame:
     Lines of one look are counted together, so that a header that is misread here and there is repeated all the same.
     Looks are counted by (document, look) before anything is gathered; what is gathered is a few keys a document.
     """
-    keys = lines.where("key is not null").groupBy("document", "look", "key").agg(F.count("*").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
-    looks = keys.groupBy("document", "look").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.collect_set("key").alias("keys"))
+    keys = lines.where("key is not null").groupBy("document", "key").agg(F.max("look").alias("look"), F.count("*").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"))
+    looks = keys.where("look is not null").groupBy("document", "look").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.collect_set("key").alias("keys"))
     headers = looks.where((F.col("n_chunks") >= HEADER_CHUNKS) & (F.col("alone") >= HEADER_CHUNKS) & (2 * F.col("alone") >= F.col("n")))
     return headers.groupBy("document").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("headers"))
 
