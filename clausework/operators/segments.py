@@ -1,15 +1,19 @@
 """Ordered segmentation of texts into lines, clauses, parts and windows.
 
 The order is inside one text, so most of this is done with array functions on the row that holds the text: no
-shuffle, and no window whose partition would be one long document. Windows are used only over rows that are
-already one line or one part each.
+shuffle, and no window whose partition would be one long document. What runs over the rows of a document, such as
+carried headings and runs of parts, is done in range partitions (:class:`Ordered`).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
@@ -45,10 +49,64 @@ def segment_ids(rows: DataFrame, key: str, order: str, is_head: Column, name: st
     return rows.withColumn(name, F.sum(F.when(is_head, 1).otherwise(0)).over(w))
 
 
-def carry_forward(rows: DataFrame, key: str, order: str, value: Column, name: str) -> DataFrame:
-    """Rows with the last non-null ``value`` up to them."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+class Ordered:
+    """Rows in the order of ``keys`` and ``order``, in range partitions: a long document is as many tasks as it needs.
+
+    What a row needs of the rows before it (the last value, the previous row, a running sum) is found inside its
+    partition; what comes from the partitions before is one row for each key and partition. The rows are written
+    once, so that both parts see the same partitions. Ties in the order are broken by all other columns.
+    """
+
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[str]):
+        self.keys, self.rest = keys, [*order, *(c for c in rows.columns if c not in (*keys, *order))]
+        by = [*keys, *order]
+        ranged = rows.repartitionByRange(*(F.col(c) for c in by)).sortWithinPartitions(*keys, *self.rest)
+        self.rows = cut(ranged.withColumn("_part", F.spark_partition_id()))
+
+    def _inside(self) -> Window:
+        return Window.partitionBy("_part", *self.keys).orderBy(*self.rest)
+
+    def _before(self, ends: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        """``ends`` (a row for each part and key) with what the parts before give."""
+        earlier = Window.partitionBy(*self.keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        return ends.select("_part", *self.keys, *(value.over(earlier).alias(name) for name, value in columns.items()))
+
+    def _with(self, rows: DataFrame, ends: DataFrame) -> DataFrame:
+        same = [rows[k].eqNullSafe(ends[k]) for k in ("_part", *self.keys)]
+        condition = same[0]
+        for x in same[1:]:
+            condition = condition & x
+        return rows.join(ends, condition, "left").drop(*(ends[k] for k in ("_part", *self.keys)))
+
+    def carry(self, value: Column, name: str) -> Ordered:
+        """The last non-null ``value`` up to each row."""
+        inside = self.rows.withColumn(name, F.last(value, ignorenulls=True).over(self._inside().rowsBetween(Window.unboundedPreceding, 0)))
+        ends = inside.groupBy("_part", *self.keys).agg(F.max_by(name, F.struct(F.col(name).isNotNull(), F.struct(*self.rest))).alias("_last"))
+        before = self._before(ends, {"_carried": F.last("_last", ignorenulls=True)})
+        return self._next(self._with(inside, before.toDF(*before.columns)).withColumn(name, F.coalesce(name, "_carried")).drop("_carried"), name)
+
+    def previous(self, column: str, name: str) -> Ordered:
+        """``column`` of the row before, of the same key."""
+        inside = self.rows.withColumn(name, F.lag(column).over(self._inside())).withColumn("_first", F.row_number().over(self._inside()) == 1)
+        ends = self.rows.groupBy("_part", *self.keys).agg(F.max_by(F.struct(F.col(column).alias("v")), F.struct(*self.rest)).alias("_last"))
+        before = self._before(ends, {"_carried": F.last("_last")})
+        found = F.when(F.col("_first"), F.col("_carried.v")).otherwise(F.col(name))
+        return self._next(self._with(inside, before.toDF(*before.columns)).withColumn(name, found).drop("_carried", "_first"), name)
+
+    def running(self, number: Column, name: str) -> Ordered:
+        """The sum of ``number`` up to each row."""
+        inside = self.rows.withColumn(name, F.sum(number).over(self._inside().rowsBetween(Window.unboundedPreceding, 0)))
+        ends = self.rows.groupBy("_part", *self.keys).agg(F.sum(number).alias("_sum"))
+        before = self._before(ends, {"_carried": F.sum("_sum")})
+        return self._next(self._with(inside, before.toDF(*before.columns)).withColumn(name, F.col(name) + F.coalesce("_carried", F.lit(0))).drop("_carried"), name)
+
+    def _next(self, rows: DataFrame, name: str) -> Ordered:
+        out = object.__new__(Ordered)
+        out.keys, out.rest, out.rows = self.keys, [*self.rest, name], rows
+        return out
+
+    def done(self) -> DataFrame:
+        return self.rows.drop("_part")
 
 
 def pack(array: Column, limit: int) -> Column:
@@ -75,11 +133,16 @@ def windows(array: Column, size: int = 30, step: int = 27, head: int = 6) -> Col
 
 def positional_ids(rows: DataFrame, stem: str, order: list[str], name: str = "chunk_id") -> DataFrame:
     """``stem:0000`` onwards within each stem, in order."""
-    w = Window.partitionBy(stem).orderBy(*order)
-    return rows.withColumn(name, F.format_string("%s:%04d", F.col(stem), F.row_number().over(w) - 1))
+    numbered = Ordered(rows, [stem], order).running(F.lit(1), "_n").done()
+    return numbered.withColumn(name, F.format_string("%s:%04d", F.col(stem), F.col("_n") - 1)).drop("_n")
+
+
+def islands(rows: Ordered, follows: Column, name: str = "island") -> DataFrame:
+    """Numbers of runs: a row starts a new run where ``follows`` (of its own columns and those of the row before) is not true."""
+    return rows.running(F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1), name).done()
 
 
-def islands(rows: DataFrame, keys: list[str], order: list[str], follows: Column, name: str = "island") -> DataFrame:
-    """Numbers of runs: a row starts a new run where ``follows`` (which may use lag over the same order) is not true."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_new", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def prefixes(address: Column, separator: str = ".") -> Column:
+    """The address and its beginnings, each up to a separator: 1.2.3 as 1.2.3, 1.2 and 1."""
+    parts = F.split(address, re.escape(separator))
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), separator))

@@ -176,7 +176,7 @@ def x01_sets(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-def x02_orders(spark: SparkSession, d: str) -> DataFrame:
+def star_revenue(spark: SparkSession, d: str) -> DataFrame:
     """Revenue by region and year over the star schema: filters and columns reach the scans."""
     lines = table(spark, d, "lineitem", ["l_orderkey", "l_extendedprice", "l_discount", "l_returnflag"]).where("l_returnflag <> 'R'")
     orders = table(spark, d, "orders", ["o_orderkey", "o_custkey", "o_orderdate"])
@@ -187,7 +187,7 @@ def x02_orders(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("r_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum(c("l_extendedprice") * (1 - c("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-def x03_suppliers(spark: SparkSession, d: str) -> DataFrame:
+def star_quantity(spark: SparkSession, d: str) -> DataFrame:
     """Quantity of each brand and supplier nation."""
     lines = table(spark, d, "lineitem", ["l_partkey", "l_suppkey", "l_quantity"])
     parts = table(spark, d, "part", ["p_partkey", "p_brand"])
@@ -195,7 +195,7 @@ def x03_suppliers(spark: SparkSession, d: str) -> DataFrame:
     return lines.join(parts, c("l_partkey") == c("p_partkey")).join(suppliers, c("l_suppkey") == c("s_suppkey")).groupBy("p_brand", "s_nationkey").agg(F.sum("l_quantity").alias("quantity"), F.count("*").alias("n"))
 
 
-def w12_latest_event(spark: SparkSession, d: str) -> DataFrame:
+def latest_event(spark: SparkSession, d: str) -> DataFrame:
     """The last event of each user and type."""
     events = table(spark, d, "events", ["event_id", "ts", "user_id", "event_type", "value"])
     return J.latest_rows(events, ["user_id", "event_type"], ["ts", "event_id"])
@@ -204,7 +204,7 @@ def w12_latest_event(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (s06_scan_pruned, s21_snapshot, s23_drift, s27_integrity, r05_cached_queries, s11_answers, a06_field_score, a21_lang_summary, a22_passport, a25_invariants, a26_quota, c12_sample, a27_histogram, a28_basis_share, a29_findings)
-    + (j03_semi, j04_first_match, j06_budget, j07_zip_assert, x01_sets, x02_orders, x03_suppliers, w12_latest_event)
+    + (j03_semi, j04_first_match, j06_budget, j07_zip_assert, x01_sets, star_revenue, star_quantity, latest_event)
 }
 _TS = "coalesce(try_strptime(substr(ts,1,19), '%Y-%m-%d %H:%M:%S'), try_strptime(substr(ts,1,19), '%Y-%m-%dT%H:%M:%S'))"
 _CODES = "unnest(list_distinct(regexp_extract_all(upper(text), '[EЕ]([0-9]{3})', 1)))"
@@ -237,7 +237,7 @@ select source, have, (low + whole + case when place <= rest and whole < room the
     "j04_first_match": f"with c as (select distinct {_CODES} as code from regions), f as (select distinct regulation_id, chunk_id, {_CODES} as code from (select distinct regulation_id, chunk_id, text from chunks where is_table)) select code, regulation_id, min(chunk_id) as chunk_id, count(*) as n_chunks from f join c using (code) group by 1, 2",
     "j07_zip_assert": "with k as (select regexp_extract(chunk_id, '^(.*):', 1) as document, regexp_extract(chunk_id, '(\\d+)$', 1)::int as place, length(text) as n from (select distinct chunk_id, text from chunks)) select a.document, a.place, a.n, b.n as n_next from k a left join k b on a.document = b.document and b.place = a.place + 1",
     "x01_sets": "with a as (select distinct source_sha256 from checks where source_sha256 is not null), b as (select distinct source_sha256 from regions where source_sha256 is not null) select 'both' as part, source_sha256 from (from a intersect from b) union all select 'checks only', source_sha256 from (from a except from b) union all select 'regions only', source_sha256 from (from b except from a) union all select 'either', source_sha256 from (from a union from b)",
-    "x02_orders": "select r_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where l_returnflag <> 'R' group by 1, 2",
-    "x03_suppliers": "select p_brand, s_nationkey, sum(l_quantity) as quantity, count(*) as n from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by 1, 2",
-    "w12_latest_event": "select event_id, ts, user_id, event_type, value from events qualify row_number() over (partition by user_id, event_type order by ts desc nulls last, event_id desc) = 1",
+    "star_revenue": "select r_name, year(o_orderdate)::int as year, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where l_returnflag <> 'R' group by 1, 2",
+    "star_quantity": "select p_brand, s_nationkey, sum(l_quantity) as quantity, count(*) as n from lineitem join part on l_partkey = p_partkey join supplier on l_suppkey = s_suppkey group by 1, 2",
+    "latest_event": "select event_id, ts, user_id, event_type, value from events qualify row_number() over (partition by user_id, event_type order by ts desc nulls last, event_id desc) = 1",
 }

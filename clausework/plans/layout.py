@@ -39,11 +39,38 @@ def t02_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t03_carry_forward(spark: SparkSession, d: str) -> DataFrame:
-    """The numbered clause that each chunk of a document stands under, and the head of the next chunk."""
-    chunks = table(spark, d, "chunks", ["chunk_id", "text"]).distinct().withColumn("document", F.regexp_extract("chunk_id", "^(.*):", 1))
+    """The numbered clause that each chunk of a document stands under, and the length of the chunk before."""
+    chunks = table(spark, d, "chunks", ["chunk_id", "text"]).distinct().withColumn("document", F.regexp_extract("chunk_id", "^(.*):", 1)).withColumn("n_chars", F.length("text").cast("bigint"))
     number = F.nullif(F.regexp_extract("text", r"^(\d+)\. ", 1), F.lit(""))
-    carried = S.carry_forward(chunks, "document", "chunk_id", number, "clause")
-    return carried.withColumn("next_head", F.lead(F.substring("text", 1, 20)).over(Window.partitionBy("document").orderBy("chunk_id"))).select("chunk_id", "clause", "next_head")
+    rows = chunks.select("document", "chunk_id", number.alias("number"), "n_chars")
+    return S.Ordered(rows, ["document"], ["chunk_id"]).carry(c("number"), "clause").previous("n_chars", "n_before").done().select("chunk_id", "clause", "n_before")
+
+
+def t09_structure(spark: SparkSession, d: str) -> DataFrame:
+    """Every line of the documents with the clause, the list entry and the unit it belongs to.
+
+    A numbered line opens a clause and ends the entry before it; a lettered line opens an entry of its clause.
+    """
+    chunks = table(spark, d, "chunks", ["chunk_id", "is_table", "text"]).where("not is_table").select("chunk_id", "text").distinct()
+    lines = S.lines(chunks, "chunk_id", "text").withColumn("document", F.regexp_extract("chunk_id", "^(.*):", 1))
+    clause = F.nullif(F.regexp_extract("line", r"^(\d+)\. ", 1), F.lit(""))
+    entry = F.nullif(F.regexp_extract("line", r"^([а-яё])\) ", 1), F.lit(""))
+    rows = lines.select("document", "chunk_id", "line_no", clause.alias("opens"), entry.alias("opens_entry"), F.length("line").alias("n_chars"))
+    # an entry is carried as a place in its clause: what a clause opens starts with none
+    marked = rows.withColumn("mark", F.when(c("opens").isNotNull(), F.lit("")).otherwise(c("opens_entry")))
+    ordered = S.Ordered(marked, ["document"], ["chunk_id", "line_no"]).carry(c("opens"), "clause").carry(c("mark"), "entry")
+    ordered = ordered.running(F.when(c("opens").isNotNull() | c("opens_entry").isNotNull(), 1).otherwise(0), "unit")
+    return ordered.done().groupBy("document", "unit").agg(F.max("clause").alias("clause"), F.nullif(F.max("entry"), F.lit("")).alias("entry"), F.count("*").alias("n_lines"), F.sum("n_chars").alias("n_chars"))
+
+
+def a23_parse_counters(spark: SparkSession, d: str) -> DataFrame:
+    """Per document: chunks, tables, lines, lines dropped by a rule, longest chunk, small chunks."""
+    chunks = table(spark, d, "chunks", ["chunk_id", "is_table", "text"]).distinct()
+    kept, dropped = S.clean_lines(S.lines_of(c("text")), **RULES)
+    per = chunks.select(F.regexp_extract("chunk_id", "^(.*):", 1).alias("document"), "is_table", F.size(kept).alias("kept"), F.size(dropped).alias("dropped"), F.length("text").alias("n"))
+    return per.groupBy("document").agg(
+        F.count("*").alias("n_chunks"), F.count_if("is_table").alias("n_tables"), F.sum("kept").alias("n_lines"), F.sum("dropped").alias("n_dropped"), F.max("n").cast("bigint").alias("longest"), F.count_if(c("n") < 120).alias("small")
+    )
 
 
 def t04_pack_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -72,17 +99,16 @@ def t08_islands(spark: SparkSession, d: str) -> DataFrame:
     """Runs of chunks of one clause whose part numbers go on."""
     address = ["section", "subsection", "clause", "appendix"]
     chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "part", *address]).distinct()
-    w = Window.partitionBy("regulation_id").orderBy("chunk_id")
-    same = F.struct(*address)
-    runs = S.islands(chunks, ["regulation_id"], ["chunk_id"], (F.col("part") == F.lag("part").over(w) + 1) & same.eqNullSafe(F.lag(same).over(w)))
+    rows = chunks.select("regulation_id", "chunk_id", F.struct("part", F.to_json(F.struct(*address)).alias("address")).alias("here"))
+    ordered = S.Ordered(rows, ["regulation_id"], ["chunk_id"]).previous("here", "before")
+    runs = S.islands(ordered, (c("here.part") == c("before.part") + 1) & (c("here.address") == c("before.address")))
     return runs.groupBy("regulation_id", "island").agg(F.min("chunk_id").alias("first"), F.max("chunk_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("island")
 
 
 def t08_event_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of equal event types of a user."""
     events = table(spark, d, "events", ["user_id", "ts", "event_id", "event_type"])
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    runs = S.islands(events, ["user_id"], ["ts", "event_id"], c("event_type") == F.lag("event_type").over(w))
+    runs = S.islands(S.Ordered(events, ["user_id"], ["ts", "event_id"]).previous("event_type", "before"), c("event_type") == c("before"))
     return runs.groupBy("user_id", "island").agg(F.min("event_id").alias("first"), F.count("*").alias("n")).drop("island")
 
 
@@ -160,11 +186,13 @@ def j09_token_except(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j08_verbatim(spark: SparkSession, d: str) -> DataFrame:
-    """Notes of feedback found word for word in another note of the same check."""
-    notes = table(spark, d, "feedback", ["id", "check_id", "note"]).distinct().where("check_id is not null and trim(note) <> ''")
-    a = notes.select("check_id", c("id").alias("id_1"), T.norm_text(c("note")).alias("quote"))
-    b = notes.groupBy("check_id", T.norm_text(c("note")).alias("whole")).agg(F.min("id").alias("id_2"))
-    return a.join(b, "check_id").where("id_1 <> id_2 and contains(whole, quote)").select("id_1", "id_2")
+    """Last sentences of chunks as citations of the chunk after theirs or, every third, of their own: absent, not word for word, or right."""
+    place = F.regexp_extract("chunk_id", r"(\d+)$", 1).cast("bigint")
+    chunks = _chunks(spark, d).withColumn("document", F.regexp_extract("chunk_id", "^(.*):", 1)).withColumn("place", place)
+    cited = chunks.select("document", c("chunk_id").alias("from_id"), (c("place") + F.when(c("place") % 3 == 0, 0).otherwise(1)).alias("place"), T.norm_text(T.tail_sentence(c("text"))).alias("quote"))
+    whole = chunks.select("document", "place", c("chunk_id").alias("cited_id"), T.norm_text(c("text")).alias("whole"))
+    problem = F.when(c("cited_id").isNull(), "absent").when(~F.coalesce(c("whole").contains(c("quote")), F.lit(False)), "not word for word")
+    return cited.join(whole, ["document", "place"], "left").select("from_id", "cited_id", problem.alias("problem"))
 
 
 def _boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -229,7 +257,7 @@ def a24_barcodes(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (t01_clean_lines, s08_audit_split, t02_segments, t03_carry_forward, t04_pack_lines, t05_windows, t06_positional_id, t07_tail_sentence, t08_islands, t08_event_runs, j15_word_anti, j16_invented, j30_diff, j17_near_words, j17_nearest, j18_digit_runs)
+    for f in (t01_clean_lines, s08_audit_split, t02_segments, t03_carry_forward, t09_structure, a23_parse_counters, t04_pack_lines, t05_windows, t06_positional_id, t07_tail_sentence, t08_islands, t08_event_runs, j15_word_anti, j16_invented, j30_diff, j17_near_words, j17_nearest, j18_digit_runs)
     + (j23_markers, j09_token_except, j08_verbatim, f23_bbox, j11_box_join, j27_smallest_box, j12_iou_dedup, j13_merge_boxes, c05_assess, c06_guards, a24_barcodes)
 }
 _CH = "(select distinct chunk_id, text from chunks)"
@@ -257,7 +285,9 @@ SQL = {
     "t01_clean_lines": f"select chunk_id, count(line) filter (where rule is null) as kept, count(line) filter (where rule is not null) as dropped, coalesce(length(string_agg(line, chr(10) order by n) filter (where rule is null)), 0)::bigint as n_chars from {_CH} left join {_CLEAN} using (chunk_id) group by 1",
     "s08_audit_split": f"select rule, count(*) as n, count(distinct chunk_id) as n_chunks from {_CLEAN} where rule is not null group by 1",
     "t02_segments": f"with l as (select chunk_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from {_CH}), s as (select *, sum(case when regexp_matches(line, '^[а-яё]\\) ') then 1 else 0 end) over (partition by chunk_id order by n) as segment from l) select chunk_id, segment::bigint as segment, count(*) as n_lines, sum(length(line))::bigint as n_chars from s group by 1, 2",
-    "t03_carry_forward": f"select chunk_id, last_value(nullif(regexp_extract(text, '^(\\d+)\\. ', 1), '') ignore nulls) over w as clause, lead(substr(text, 1, 20)) over (partition by regexp_extract(chunk_id, '^(.*):', 1) order by chunk_id) as next_head from {_CH} window w as (partition by regexp_extract(chunk_id, '^(.*):', 1) order by chunk_id rows between unbounded preceding and current row)",
+    "t03_carry_forward": f"select chunk_id, last_value(nullif(regexp_extract(text, '^(\\d+)\\. ', 1), '') ignore nulls) over (w rows between unbounded preceding and current row) as clause, lag(length(text)) over w as n_before from {_CH} window w as (partition by regexp_extract(chunk_id, '^(.*):', 1) order by chunk_id)",
+    "t09_structure": "with l as (select chunk_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from (select distinct chunk_id, text from chunks where not is_table)), o as (select regexp_extract(chunk_id, '^(.*):', 1) as document, chunk_id, n, length(line) as n_chars, nullif(regexp_extract(line, '^(\\d+)\\. ', 1), '') as opens, nullif(regexp_extract(line, '^([а-яё])\\) ', 1), '') as opens_entry from l), s as (select *, last_value(opens ignore nulls) over w as clause, nullif(last_value(case when opens is not null then '' else opens_entry end ignore nulls) over w, '') as entry, sum(case when opens is not null or opens_entry is not null then 1 else 0 end) over w as unit from o window w as (partition by document order by chunk_id, n rows between unbounded preceding and current row)) select document, unit::bigint as unit, max(clause) as clause, max(entry) as entry, count(*) as n_lines, sum(n_chars)::bigint as n_chars from s group by 1, 2",
+    "a23_parse_counters": f"with k as (select distinct chunk_id, is_table, text from chunks), n as (select chunk_id, count(line) filter (where rule is null) as kept, count(line) filter (where rule is not null) as dropped from {_CLEAN} group by 1) select regexp_extract(chunk_id, '^(.*):', 1) as document, count(*) as n_chunks, count(*) filter (where is_table) as n_tables, coalesce(sum(kept), 0)::bigint as n_lines, coalesce(sum(dropped), 0)::bigint as n_dropped, max(length(text))::bigint as longest, count(*) filter (where length(text) < 120) as small from k left join n using (chunk_id) group by 1",
     "t05_windows": "with k as (select doc_id, string_split(text, chr(10)) as l from documents where text is not null), w as (select doc_id, l, unnest(range(0, len(l), 27)) as i from k) select doc_id, (i // 27)::bigint as window_no, len(case when i = 0 then l[1:30] else l[1:6] || l[i + 1:i + 30] end)::bigint as n_lines, length(array_to_string(case when i = 0 then l[1:30] else l[1:6] || l[i + 1:i + 30] end, chr(10)))::bigint as n_chars from w where i = 0 or i + 3 < len(l)",
     "t06_positional_id": "select region_key, format('{}:{:04d}', substr(source_sha256, 1, 8), row_number() over (partition by substr(source_sha256, 1, 8) order by source_sha256, region_key) - 1) as chunk_id from (select distinct region_key, source_sha256 from regions)",
     "t08_islands": "with k as (select distinct chunk_id, regulation_id, part, section, subsection, clause, appendix from chunks), f as (select *, case when part = lag(part) over w + 1 and section is not distinct from lag(section) over w and subsection is not distinct from lag(subsection) over w and clause is not distinct from lag(clause) over w and appendix is not distinct from lag(appendix) over w then 0 else 1 end as fresh from k window w as (partition by regulation_id order by chunk_id)), i as (select *, sum(fresh) over (partition by regulation_id order by chunk_id) as island from f) select regulation_id, min(chunk_id) as first, max(chunk_id) as last, count(*) as n from i group by regulation_id, island having count(*) > 1",
@@ -269,7 +299,7 @@ SQL = {
     "j18_digit_runs": f"with {_PAIRS} select source_sha256, read_no, region_id, array_to_string(list_filter({_RUNS.format('b')}, lambda r: not list_bool_or(list_transform({_RUNS.format('a')}, lambda x: contains(x, r)) || [false])), '|') as unconfirmed from p",
     "j23_markers": f"""with n as (select aspect_id, unnest({_w("lower(aspect_name)", 5)}) as word from aspects), w as (select distinct chunk_id, unnest({_w("lower(text)", 5)}) as word from {_CH}) select aspect_id, word, count(distinct chunk_id) as n_chunks from w join n using (word) group by 1, 2""",
     "j09_token_except": f"with k as (select chunk_id, list_transform(regexp_extract_all(text, '([0-9]+(?:,[0-9]+)?) (?:мг|мм|%|°C)', 1), lambda n: replace(n, ',', '.')) as a, list_transform(regexp_extract_all(string_split(text, chr(10))[1], '([0-9]+(?:,[0-9]+)?) (?:мг|мм|%|°C)', 1), lambda n: replace(n, ',', '.')) as b from {_CH}) select chunk_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(a, lambda n: not list_contains(b, n)))), '|'), '') as numbers from k",
-    "j08_verbatim": rf"with n as (select distinct id, check_id, trim(regexp_replace(translate(lower(note), 'ё', 'е'), '[{_SPACE}]+', ' ', 'g')) as t from feedback where check_id is not null and trim(note) <> ''), w as (select check_id, t, min(id) as id_2 from n group by 1, 2) select n.id as id_1, w.id_2 from n join w on n.check_id = w.check_id and n.id <> w.id_2 and contains(w.t, n.t)",
+    "j08_verbatim": rf"with k as (select chunk_id, regexp_extract(chunk_id, '^(.*):', 1) as document, regexp_extract(chunk_id, '(\d+)$', 1)::bigint as place, text, string_split(regexp_replace(trim(regexp_replace(text, '[{_SPACE}]+', ' ', 'g')), '([.!?]) ', '\1' || chr(10), 'g'), chr(10)) as s0 from {_CH}), t as (select *, list_filter(s0, lambda x: length(x) > 0) as s from k), q as (select chunk_id as from_id, document, place + case when place % 3 = 0 then 0 else 1 end as place, trim(regexp_replace(translate(lower(substr(case when length(s[-1]) < 40 and len(s) > 1 then s[-2] || ' ' || s[-1] else s[-1] end, 1, 220)), 'ё', 'е'), '[{_SPACE}]+', ' ', 'g')) as quote from t), w as (select document, place, chunk_id as cited_id, trim(regexp_replace(translate(lower(text), 'ё', 'е'), '[{_SPACE}]+', ' ', 'g')) as whole from k) select from_id, cited_id, case when cited_id is null then 'absent' when not coalesce(contains(whole, quote), false) then 'not word for word' end as problem from q left join w using (document, place)",
     "f23_bbox": f"select region_key, round(least(greatest(least(x0, x1) * 100 / 100.0, 0.0), 1.0), 6) as x0, round(least(greatest(least(y0, y1) * 100 / 100.0, 0.0), 1.0), 6) as y0, round(least(greatest(greatest(x0, x1) * 100 / 100.0, 0.0), 1.0), 6) as x1, round(least(greatest(greatest(y0, y1) * 100 / 100.0, 0.0), 1.0), 6) as y1 from {_BOX}",
     "j11_box_join": f"select a.source_sha256, a.region_key as outer_id, count(*) as n_inside from {_BOX} a join {_BOX} b on a.source_sha256 = b.source_sha256 and a.region_key <> b.region_key and {_IN} group by 1, 2",
     "j27_smallest_box": f"select b.region_key as inner_id, arg_min(a.region_key, (round((a.x1 - a.x0) * (a.y1 - a.y0), 6), a.region_key)) as outer_id from {_BOX} a join {_BOX} b on a.source_sha256 = b.source_sha256 and a.read_no = b.read_no and {_IN} group by 1",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import segments as S
 from ..sources.tables import table
 
 c = F.col
@@ -83,15 +84,19 @@ def p18_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p07_optional_predicate(spark: SparkSession, d: str) -> DataFrame:
-    """Addresses with optional parts against chunks: a null part matches anything, a prefix ends at its full stop.
+    """Addresses with optional parts against chunks: a prefix of a subsection ends at its full stop, none matches all of the regulation.
 
-    The addresses are the distinct sections of the corpus; the join is an equality on the regulation, the rest
-    filters behind it.
+    The addresses are the distinct subsections of the corpus and the regulations alone. Each chunk offers the beginnings
+    of its own subsection, so that the join is one of equal keys.
     """
-    chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "subsection", "appendix"]).distinct()
-    rules = chunks.where("subsection is not null").select(c("regulation_id"), c("subsection").alias("prefix")).distinct()
-    hits = chunks.join(rules, "regulation_id").where("prefix is null or subsection = prefix or startswith(subsection, concat(prefix, '.'))")
-    return hits.groupBy("regulation_id", "prefix").agg(F.count_distinct("chunk_id").alias("n_chunks"))
+    chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "subsection"]).distinct()
+    rules = chunks.select("regulation_id", c("subsection").alias("prefix")).distinct()
+    bare = F.regexp_replace("subsection", r"\.$", "")
+    offered = F.array_append(F.coalesce(S.prefixes(bare), F.array().cast("array<string>")), F.lit(None).cast("string"))
+    starts = chunks.select("chunk_id", "regulation_id", F.explode(offered).alias("bare")).distinct()
+    wanted = rules.select("regulation_id", "prefix", F.regexp_replace("prefix", r"\.$", "").alias("bare"))
+    same = (F.col("a.regulation_id") == F.col("b.regulation_id")) & F.col("a.bare").eqNullSafe(F.col("b.bare"))
+    return starts.alias("a").join(wanted.alias("b"), same).groupBy("b.regulation_id", "prefix").agg(F.count_distinct("chunk_id").alias("n_chunks"))
 
 
 def p16_missing_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -240,8 +245,8 @@ select item_id, concat_ws('|', case when length(item_text) not between 15 and 30
     "p06_facts": f"select region_key, substr({_squeeze('text')}, 1, 200) as fact, status = 'read' as reliable from regions where kind <> 'technical' and trim(coalesce(text,'')) <> ''",
     "p18_notes": "select distinct id, check_id, note from feedback where trim(coalesce(note,'')) <> ''",
     "p07_optional_predicate": """
-with k as (select distinct chunk_id, regulation_id, subsection from chunks), r as (select distinct regulation_id, subsection as prefix from k where subsection is not null)
-select k.regulation_id, prefix, count(distinct chunk_id) as n_chunks from k join r on k.regulation_id = r.regulation_id and (subsection = prefix or starts_with(subsection, prefix || '.')) group by 1, 2""",
+with k as (select distinct chunk_id, regulation_id, subsection from chunks), r as (select distinct regulation_id, subsection as prefix from k)
+select k.regulation_id, prefix, count(distinct chunk_id) as n_chunks from k join r on k.regulation_id = r.regulation_id and (prefix is null or rtrim(subsection, '.') = rtrim(prefix, '.') or starts_with(subsection, rtrim(prefix, '.') || '.')) group by 1, 2""",
     "p16_missing_kinds": """
 with s as (select source_sha256, bool_or(coalesce(kind = 'composition', false) or coalesce(contains(lower(text),'состав'), false)) as composition,
  bool_or(coalesce(kind = 'manufacturer', false) or coalesce(contains(lower(text),'изготовитель'), false)) as manufacturer,

@@ -14,6 +14,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -28,14 +30,18 @@ def local_session(cores: int | str = 8, partitions: int = 8, **conf: str) -> Spa
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The reliable checkpoint folder of the session.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary folder is used.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset and all runs on one machine
+    (tests) a temporary folder is used.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "clausework-checkpoints")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="spark-clausework-")
     context.setCheckpointDir(folder)
     return folder
 

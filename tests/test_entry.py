@@ -22,7 +22,7 @@ def test_core_does_not_import_llm():
 
 
 @pytest.mark.skipif(not DATA.exists() or importlib.util.find_spec("duckdb") is None, reason="no test tables here")
-@pytest.mark.parametrize("name", ["r03_bm25_topk", "a08_status_pivot", "j12_iou_dedup", "p3_found", "x02_orders"])
+@pytest.mark.parametrize("name", ["r03_bm25_topk", "a08_status_pivot", "j12_iou_dedup", "p3_found", "star_revenue"])
 def test_against_sql(spark, name):
     import duckdb
 

@@ -1,6 +1,5 @@
 import random
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from clausework.operators import boxes as B
@@ -39,12 +38,36 @@ def test_windows_and_cleaning(spark):
 
 
 def test_islands(spark, rows):
+    df = spark.createDataFrame([("k", 1, "1", 1), ("k", 2, "1", 2), ("k", 3, "2", None), ("k", 4, "1", 1), ("k", 5, "1", 2)], "k string, n int, c string, part int")
+    here = df.select("k", "n", F.struct("c", "part").alias("here"))
+    got = S.islands(S.Ordered(here, ["k"], ["n"]).previous("here", "before"), (F.col("here.c") == F.col("before.c")) & (F.col("here.part") == F.col("before.part") + 1))
+    assert rows(got, "n", "island") == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 3)]
     df = spark.createDataFrame([("a1", 1, 1), ("a2", 1, 2), ("x", 2, None), ("b1", 2, 1), ("b2", 2, 2)], "id string, c int, part int").withColumn("n", F.monotonically_increasing_id()).withColumn("k", F.lit(1))
-    w = Window.partitionBy("k").orderBy("n")
-    got = S.islands(df, ["k"], ["n"], (F.col("c") == F.lag("c").over(w)) & (F.col("part") == F.lag("part").over(w) + 1))
+    here = df.select("k", "n", F.struct("c", "part").alias("here"))
+    got = S.islands(S.Ordered(here, ["k"], ["n"]).previous("here", "before"), (F.col("here.c") == F.col("before.c")) & (F.col("here.part") == F.col("before.part") + 1))
     assert [r.island for r in got.orderBy("n").collect()] == [1, 1, 2, 3, 3]
 
 
+def test_order_over_partitions(spark):
+    random.seed(2)
+    data = [(["a", "a", "a", "b", None][random.randrange(5)], i, random.choice([None, None, i])) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, n int, v int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ordered = S.Ordered(df, ["k"], ["n"])
+        assert ordered.rows.select("_part").distinct().count() > 2
+        got = ordered.carry(F.col("v"), "last").previous("v", "before").running(F.lit(1), "place").done().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    last, before, place, want = {}, {}, {}, set()
+    for k, n, v in sorted(data, key=lambda r: r[1]):
+        place[k] = place.get(k, 0) + 1
+        last[k] = last.get(k) if v is None else v
+        want.add((k, n, v, last[k], before.get(k), place[k]))
+        before[k] = v
+    assert {(r.k, r.n, r.v, r["last"], r.before, r.place) for r in got} == want
+
+
 def test_near_pairs_against_all_pairs(spark):
     random.seed(4)
     words = list({"".join(random.choice("abc") for _ in range(random.randint(3, 9))) for _ in range(160)})
