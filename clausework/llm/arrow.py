@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,12 +23,22 @@ def lists(values: np.ndarray, counts: list[int] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``function`` on slices of at most ``rows`` rows, so that what it needs beside a slice stays small."""
+def per_batch(function: Callable[[pa.RecordBatch], pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function`` on slices of at most ``rows`` rows and about ``size`` bytes, so that what it needs beside a slice stays small.
+
+    A row of more than ``size`` bytes is a slice of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield function(batch.slice(at, rows))
+            if not batch.num_rows:
+                continue
+            texts = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)]
+            before = np.concatenate([[0], np.cumsum(np.sum(texts, axis=0, dtype=np.int64) if texts else np.zeros(batch.num_rows, np.int64))])
+            at = 0
+            while at < batch.num_rows:
+                stop = min(at + rows, max(at + 1, int(np.searchsorted(before, before[at] + size, "right")) - 1))
+                yield function(batch.slice(at, stop - at))
+                at = stop
 
     return run

@@ -35,6 +35,8 @@ SPELLINGS = {
 }
 #: Labelled documents of each language on which the word model is fitted, at most (in expectation).
 SAMPLE_DOCS = 600
+#: Sources whose priors go to all tasks; more of them are joined on (source, salt), in so many ways.
+MOST_SOURCES, SALTS = 50_000, 16
 #: Weight, in words, of the character model in the word model; in documents, of the wider prior in a source's.
 WORD_PRIOR, SOURCE_PRIOR = 5.0, 20.0
 #: One word never speaks by more than this for one language against another.
@@ -189,7 +191,8 @@ def fit_model(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     Labels are partly wrong and documents partly mixed, so the model fitted on the labels reads the sample once
     more, and its decision for each sentence gives the counts of the final model.
     """
-    sample = _labelled_sample(documents, sample_docs)
+    # written once: three readings of the texts for a hash that no scan can push down would be two too many
+    sample = cut(_labelled_sample(documents, sample_docs).select("labelled", "text"))
     return Model(_count_words(sample, Model(_count_words(sample, None))))
 
 
@@ -240,6 +243,17 @@ def _priors(evidence: DataFrame) -> tuple[DataFrame, dict[str, list[float]]]:
     return sources.select("source", "source_group", shrunk("prior", lambda i: F.col("group_prior")[i])), label_given
 
 
+def _with_priors(evidence: DataFrame, priors: DataFrame, most_sources: int = MOST_SOURCES) -> DataFrame:
+    """The evidence with the prior of its source. A source with a third of all documents is not one task."""
+    if priors.count() <= most_sources:
+        right, salted = F.broadcast(priors.withColumn("salt", F.lit(0))), evidence.withColumn("salt", F.lit(0))
+    else:
+        right = priors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = evidence.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    same = F.col("e.source").eqNullSafe(F.col("p.source")) & F.col("e.source_group").eqNullSafe(F.col("p.source_group")) & (F.col("e.salt") == F.col("p.salt"))
+    return salted.alias("e").join(right.alias("p"), same, "left").select("e.doc_id", "e.labelled", "e.n_words", "e.likelihoods", "p.prior")
+
+
 def language_segments(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Segments of each document with their language and its posterior probability.
 
@@ -254,8 +268,9 @@ def language_segments(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> D
     with confidence 0. Repeated ids come out as often as they are there. Unknown, empty and null labels name no
     language; null sources share one prior. An empty table gives no rows.
 
-    The texts are read twice for the bounded sample and once for the rest, without a shuffle; sources are joined
-    by their counts, a join of one row for each document with one row for each source.
+    The texts are read once to count the labels, once for the bounded sample, which is written, and once for the rest,
+    without a shuffle; the priors of the sources go to all tasks behind a check of their number, beyond which they are
+    joined on (source, salt).
     """
     has_group = "source_group" in documents.columns
     rows = documents.select(
@@ -264,12 +279,7 @@ def language_segments(documents: DataFrame, sample_docs: int = SAMPLE_DOCS) -> D
     model = fit_model(rows, sample_docs)
     evidence = cut(_evidence(rows, model))
     priors, label_given = _priors(evidence)
-    s, g = F.col("e.source"), F.col("e.source_group")
-    joined = (
-        evidence.alias("e")
-        .join(priors.alias("p"), s.eqNullSafe(F.col("p.source")) & g.eqNullSafe(F.col("p.source_group")), "left")
-        .select("e.doc_id", "e.labelled", "e.n_words", "e.likelihoods", "p.prior")
-    )
+    joined = _with_priors(evidence, cut(priors))
 
     label_table = {k: np.array(v) for k, v in label_given.items()}
 

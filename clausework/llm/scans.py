@@ -51,7 +51,7 @@ _HYPHENS = {"-", "\u00ac", "\u2010", "\u00ad"}
 _CONTINUES = re.compile(r"^\s*[^\W_]?[a-zа-яё|/0-9]")
 _WORD = re.compile(r"(?:\)\((?=\w)|[^\s«»\"“”„(),;:!?])+")
 _SIGNS = ".-—–'"
-_SUSPENDED = re.compile(r"(\w+)- (\w+)")
+_WORD_END, _WORD_START = re.compile(r"\w+\Z"), re.compile(r"\w+")
 _CYRILLIC = re.compile("[а-яё]")
 _STRANGE = re.compile("[a-z0-9|/()]")
 _ENTRY = re.compile(r"^\s*(?:\d+(?:\.\d+)*[.)]|[а-яёa-z]\)|[-–—•]\s|Приложение\b)")
@@ -295,15 +295,22 @@ def _core(raw: str) -> str:
 
 
 def _tokens(text: str) -> tuple[list[str], list[str], list[str]]:
-    """(words, divided words, pairs of words with a hyphen and a blank) of a text, as they are counted.
+    """(tokens between blanks, divided words, pairs of words with a hyphen and a blank) of a text, as they are counted.
 
-    A divided word is its two parts with a line end between them and no word.
+    A divided word is its two parts with a line end between them and no token. Words never go over a blank: they are
+    taken from the distinct tokens.
     """
     parts: list[str] = []
     lines = text.split("\n")
     kept, _ = join_divided(lines, ["page" if is_page_line(x) else None for x in lines], lambda a, b: parts.append(f"{a}\n{b}"))
     whole = "\n".join(kept).lower()
-    return _WORD.findall(whole), parts, [f"{a}- {b}" for a, b in _SUSPENDED.findall(whole)]
+    pairs, at = [], whole.find("- ")
+    while at >= 0:
+        a, b = _WORD_END.search(whole, max(whole.rfind(" ", 0, at), 0), at), _WORD_START.match(whole, at + 2)
+        if a and b:
+            pairs.append(f"{a[0]}- {b[0]}")
+        at = whole.find("- ", at + 2)
+    return whole.split(), parts, pairs
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
@@ -317,16 +324,17 @@ def word_counts(chunks: DataFrame) -> DataFrame:
         raw: Counter[str] = Counter()
         out: Counter[str] = Counter()
         for text in batch["text"].to_pylist():
-            words, parts, pairs = _tokens(text)
-            raw.update(words)
+            tokens, parts, pairs = _tokens(text)
+            raw.update(tokens)
             out.update(pairs)
             for both in parts:
                 out[both] += 1
                 if word := _core(both.replace("\n", "")):
                     out[word] += 0
         for token, n in raw.items():
-            if word := _core(token):
-                out[word] += n
+            for w in _WORD.findall(token):
+                if word := _core(w):
+                    out[word] += n
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], ["word", "n"])
 
     words = spread(chunks.where("text is not null and text <> ''").select("text")).mapInArrow(per_batch(count), "word string, n bigint")
@@ -339,7 +347,8 @@ def chunk_corrections(rows: DataFrame, right: DataFrame) -> DataFrame:
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for *key, text in zip(*(batch[c].to_pylist() for c in ("document", "block", "chunk_id", "text_hash", "text")), strict=True):
-            words, parts, _ = _tokens(text)
+            tokens, parts, _ = _tokens(text)
+            words = (w for token in set(tokens) for w in _WORD.findall(token))
             lines = text.split("\n")
             for k, line in enumerate(lines):
                 if _divided(line) and (last := _last_word(line.rstrip()[:-1])):

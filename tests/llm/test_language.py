@@ -62,3 +62,41 @@ def test_sentences():
     assert len(L.sentences("Дата 25.10.2024 и 3.5 мм. Вторая фраза.\n\nТретья")) == 3
     assert len(L.sentences("one serving is small. it keeps well.")) == 2
     assert L.words_of("Партия K12-3, 45 г") == ["партия", "k12-3", "г"]
+
+
+def test_priors_are_shrunk_to_the_group(spark):
+    data = []
+    for i in range(600):
+        group = ["kz", "de"][i % 2]
+        data.append((i, " ".join(random.Random(i).sample(SENTENCES["ru" if group == "kz" else "de"], 2)), "ru" if group == "kz" else "de", f"host{i % 40}.{group}", group))
+    data += [(9001, "Контракт", None, "new.kz", "kz"), (9002, "Kontrakt", None, "new.de", "de")]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, source_group string")
+    rows = df.select("doc_id", "text", L.language_of_label(F.col("lang")).alias("labelled"), "source", "source_group")
+    evidence = L._evidence(rows, L.fit_model(rows))
+    priors, _ = L._priors(evidence)
+    of = {r.source: r.prior for r in priors.collect()}
+    ru, de = L.LANGUAGES.index("ru"), L.LANGUAGES.index("de")
+    assert of["host0.kz"][ru] > 0.9 and of["host1.de"][de] > 0.9
+    # a host of one document has the prior of its group, not that of the corpus
+    assert of["new.kz"][ru] > 0.85 and of["new.de"][de] > 0.85
+
+
+def test_salted_priors_are_the_same(spark):
+    data = corpus(120)
+    df = spark.createDataFrame([(a, b, c, d) for a, b, c, d, _, _ in data], "doc_id bigint, text string, lang string, source string")
+    rows = df.select("doc_id", "text", L.language_of_label(F.col("lang")).alias("labelled"), "source", F.lit(None).cast("string").alias("source_group"))
+    evidence = L._evidence(rows, L.fit_model(rows)).cache()
+    priors, _ = L._priors(evidence)
+    sent, salted = (sorted(map(str, L._with_priors(evidence, priors, most).collect())) for most in (10**6, 0))
+    assert sent == salted and len(sent) == 120
+
+
+def test_slices_by_bytes():
+    import pyarrow as pa
+
+    from clausework.llm.arrow import per_batch
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["x" * 10, None, "y" * 90, "z" * 5, "", "w" * 200, "v"]})
+    parts = list(per_batch(lambda b: b, rows=3, size=100)([batch, batch.slice(0, 0)]))
+    assert [k for p in parts for k in p["k"].to_pylist()] == list(range(7))
+    assert all(p.num_rows <= 3 for p in parts) and [p["k"].to_pylist() for p in parts if p.num_rows and (p["t"].to_pylist()[0] or "")[:1] == "w"] == [[5]]

@@ -103,3 +103,31 @@ def test_compounds_and_bare_values_stay(spark):
     assert got["d:0001"].noise == ["hyphen"] and got["d:0001"].text == "Масса какао-порошка указана в ведомости и двух- или трёх слоёв"
     assert {k for k, r in got.items() if "page" in r.noise} == {"d:0002", "d:0004", "d:0005", "d:0007"}
     assert "2016" in got["d:0003"].text and "1999" in got["e:0000"].text
+
+
+def test_right_forms_by_a_join_are_the_same(spark):
+    data, _ = corpus()
+    df = spark.createDataFrame(data, SCHEMA)
+    sent, joined = (sorted((r.chunk_id, tuple(r.noise), r.text) for r in S.repair_scans(df, most).collect()) for most in (S.MOST_SENT, 0))
+    assert sent == joined and any("misread" in x for _, x, _ in joined) and any("hyphen" in x for _, x, _ in joined)
+
+
+def test_headers_misread_in_every_chunk_are_repeated(spark):
+    forms = ["Собрание правил Союза", "С0брание правил Союза", "Собрапие правил Союза", "Собрание праввл Союза"]
+    body = "изготовитель подтверждает состав продукта протоколом испытаний\nи хранит его в сухом месте не менее трёх лет со дня выпуска"
+    rows = [(f"d:{i:04d}", f"1. Первый пункт, {body}\n{f}\nи далее {body}.", False, None, None, "x") for i, f in enumerate(forms)]
+    got = {r.chunk_id: r for r in S.repair_scans(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all("header" in r.noise and "Союза" not in r.text for r in got.values())
+    assert S.header_look("С0брание правил Союза") == S.header_look("Собрапие правил Союза") != S.header_look("Собрание законов Союза")
+
+
+def test_a_header_with_a_wrong_letter_at_each_end():
+    headers = S.Headers(["собрание правил союза и сообщества"])
+    assert S.is_header_line("Сорание правил Союза и сообществв", headers, "", "")
+    assert not S.is_header_line("Собрание жителей дома и соседей", headers, "", "")
+
+
+def test_many_copies_and_a_chunk_without_position(spark):
+    rows = [("d:0001", "Текст пункта о со-\nставе продукта", False, None, None, "x")] * 40 + [("nopos", "Состав продукта", None, None, None, "x"), (None, "Состав", None, None, None, "x")]
+    got = S.repair_scans(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 3 and {r.chunk_id: r.noise for r in got}["d:0001"] == ["hyphen"]
