@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,3 +89,41 @@ def merge_close(boxes: DataFrame, page: list[str], gap: float) -> DataFrame:
     rows = boxes.dropna(subset=CORNERS).select(*page, "box_id", *CORNERS, F.lit(1).alias("n"))
     schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes)
     return rows.groupBy(*page).applyInPandas(merge, schema)
+
+
+def dropped_greedily(pairs: DataFrame, page: list[str]) -> DataFrame:
+    """(box_id): boxes that overlap an earlier box (by id) which is kept itself. ``pairs``: page, ``id_1`` < ``id_2``.
+
+    Whether a box is kept depends on those before it, so the pairs of a page are one group; pages are spread by Spark.
+    """
+
+    def drop(group: pa.Table) -> pa.Table:
+        gone: set = set()
+        for a, b in sorted(zip(group["id_1"].to_pylist(), group["id_2"].to_pylist(), strict=True), key=lambda p: (p[1], p[0])):
+            if a not in gone:
+                gone.add(b)
+        return pa.table({"box_id": pa.array(sorted(gone), group.schema.field("id_2").type)})
+
+    rows = pairs.select(*page, "id_1", "id_2")
+    return rows.groupBy(*page).applyInArrow(drop, f"box_id {dict(rows.dtypes)['id_2']}")
+
+
+def halved(a: Column, b: Column, most: float, overlap: float) -> Column:
+    """Parts (``a``, ``b``) of a span that is cut in halves with an overlap until none is longer than ``most``; in order.
+
+    All parts of one depth are equally long, so the depth comes first and the parts follow from the bits of their number.
+    """
+    start = F.struct((b - a).alias("size"), F.lit(0).alias("depth"))
+    longer = lambda s: F.when(s["size"] > most + 1e-9, F.struct(((s["size"] + overlap) / 2).alias("size"), (s["depth"] + 1).alias("depth"))).otherwise(s)
+    depth = F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, lambda s, _: longer(s))["depth"]
+
+    def part(k: Column) -> Column:
+        def go(s: Column, j: Column) -> Column:
+            size = (s["size"] + overlap) / 2
+            bit = F.floor(k / F.pow(F.lit(2.0), depth - j)) % 2
+            return F.struct((s["a"] + bit * (s["size"] - size)).alias("a"), size.alias("size"))
+
+        done = F.aggregate(F.filter(F.sequence(F.lit(1), F.lit(20)), lambda j: j <= depth), F.struct(a.alias("a"), (b - a).alias("size")), go)
+        return F.struct(done["a"].alias("a"), (done["a"] + done["size"]).alias("b"))
+
+    return F.transform(F.sequence(F.lit(0).cast("bigint"), (F.pow(F.lit(2.0), depth) - 1).cast("bigint")), part)

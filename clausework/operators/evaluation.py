@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import short_hash
+
 
 def seeded_order(key: str, seed: int) -> Column:
     """An order that any engine can repeat: the MD5 of seed and key."""
@@ -45,3 +47,17 @@ def allocate(strata: DataFrame, name: str, available: str, quota: int, floor: in
 def duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Values that stand in several rows, with how many."""
     return rows.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def ground_truth(rows: DataFrame, key: str, fields: list[str], problems: dict[str, Column], seals: DataFrame | None = None) -> DataFrame:
+    """(key, problems, seal): each row with what is wrong with it and the hash of its fields.
+
+    ``seals``: key and ``expected``; a row whose seal is another one, or has none, is an error when it is met.
+    """
+    seal = short_hash(F.col(key).cast("string"), *(F.coalesce(F.col(f), F.lit("")) for f in fields))
+    wrong = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in problems.items())))
+    out = rows.select(key, F.array_join(wrong, "|").alias("problems"), seal.alias("seal"))
+    if seals is None:
+        return out
+    checked = F.when(F.col("seal").eqNullSafe(F.col("expected")), F.col("seal")).otherwise(F.raise_error(F.concat(F.lit("seal broken: "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    return out.join(seals, key, "left").select(key, "problems", checked.cast("string").alias("seal"))

@@ -43,6 +43,24 @@ def clean_lines(array: Column, substrings: list[str], patterns: list[str]) -> tu
     return kept, dropped
 
 
+def drop_blocks(array: Column, start: str, end: str, span: int) -> Column:
+    """Lines without the blocks from a line that matches ``start`` to the first line that matches ``end`` within ``span``.
+
+    A start inside a block that is dropped already opens none; one without an end in reach stays, as does an end alone.
+    """
+    n = F.size(array)
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("until"), F.array().cast("array<string>").alias("kept"))
+
+    def step(s: Column, line: Column) -> Column:
+        ends = F.filter(F.sequence(s["at"] + 1, F.least(s["at"] + span, n - 1)), lambda i: F.get(array, i).rlike(end))
+        opens = (s["at"] >= s["until"]) & line.rlike(start) & (s["at"] + 1 < n)
+        until = F.when(opens & (F.size(ends) > 0), F.get(ends, F.lit(0)) + 1).otherwise(s["until"])
+        inside = s["at"] < until
+        return F.struct((s["at"] + 1).alias("at"), until.alias("until"), F.when(inside, s["kept"]).otherwise(F.array_append(s["kept"], line)).alias("kept"))
+
+    return F.aggregate(array, first, step)["kept"]
+
+
 def segment_ids(rows: DataFrame, key: str, order: str, is_head: Column, name: str = "segment") -> DataFrame:
     """Rows with the number of heads up to them, 0 before the first."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
