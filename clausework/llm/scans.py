@@ -86,12 +86,17 @@ def header_key(line: str) -> str:
     return re.sub(r"\d+", "#", line).lower()
 
 
+def _unscanned(line: str) -> str:
+    """The line with digits inside words as the letters that they stand for."""
+    return _INSIDE.sub(lambda m: "".join(SINGLES.get(c, c) for c in m[0]), line)
+
+
 def header_look(line: str) -> str:
     """The key of a line in which letters that a scanner mixes up are one letter."""
     line = _NUMBER_RIGHT.sub("", _NUMBER_LEFT.sub("", line.strip())).lower()
     for group, letter in GROUPS:
         line = line.replace(group, letter)
-    line = _INSIDE.sub(lambda m: "".join(SINGLES.get(c, c) for c in m[0]), line)
+    line = _unscanned(line)
     line = "".join(SINGLES.get(c, c) if "a" <= c <= "z" else c for c in line)
     return re.sub(r"\d+", "#", line).translate(_OF_CLASS)
 
@@ -203,7 +208,10 @@ def is_header_line(line: str, headers: Headers, title: str, reverse_title: str)
     for known in (title, reverse_title):
         if len(known) >= 12 and len(letters) >= HEADER_PART * len(known) and (known.startswith(letters) or (abs(len(known) - len(letters)) <= 0.15 * len(known) and _alike(known, letters, HEADER_LIKE + 0.05, Counter(known), Counter(letters)))):
             return True
-    return bool(headers.known) and _TITLE_START.match(line.strip().lstrip("0123456789 ")) is not None and headers.like(letters)
+    if not headers.known:
+        return False
+    plain = _unscanned(line.strip().lstrip("0123456789 "))
+    return _TITLE_START.match(plain) is not None and headers.like(_letters(plain) if plain != line else letters)
 
 
 def _alike(known: str, letters: str, least: float, of_known: Counter[str], of_letters: Counter[str]) -> bool:
