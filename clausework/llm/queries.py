@@ -24,6 +24,16 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_oversized(table(spark, d, "chunks", ["chunk_id", "text"]))
 
 
+def p2_rejoined(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the pieces of each chunk: none too long, each after the first starts with the end of the one
+    before it, and without these overlaps they are the text."""
+    pieces = split_oversized(table(spark, d, "chunks", ["chunk_id", "text"])).where("text is not null")
+    one = pieces.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "overlap", "text"))).alias("p"))  # a chunk's own pieces
+    whole = F.array_join(F.transform("p", lambda x: F.substring(x["text"], x["overlap"] + 1, F.length(x["text"]))), "")
+    laps = F.forall(F.filter(F.transform("p", lambda x, i: F.struct(x.alias("x"), F.get("p", i - 1).alias("before"))), lambda y: y["before"].isNotNull()), lambda y: (y["x"]["overlap"] <= 200) & y["before"]["text"].endswith(F.substring(y["x"]["text"], F.lit(1), y["x"]["overlap"])))
+    return one.select("chunk_id", F.forall("p", lambda x: F.length(x["text"]) <= 3500).alias("short"), laps.alias("overlap"), F.md5(whole.cast("binary")).alias("md5"))
+
+
 CHUNK_COLUMNS = ["chunk_id", "text", "is_table", "regulation_id", "regulation_name"]
 
 
@@ -83,6 +93,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_rejoined": p2_rejoined,
     "p4_found": p4_found,
     "p4_repaired": p4_repaired,
     "p5_found": p5_found,
@@ -95,10 +106,10 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_segments": p8_segments,
 }
+#: white space as the splitter takes it off: the separators 1C-1F beside the Unicode white space
+_BLANKS = r"\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STRIPPED = rf"regexp_replace(text, '^[{_BLANKS}]+|[{_BLANKS}]+$', '', 'g')"
 SQL = {
-    # white space as the splitter takes it off: the separators 1C-1F beside the Unicode white space
-    "p2_found": r"""
-select distinct chunk_id from chunks
-where length(regexp_replace(text, '^[\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+|[\s\x1c-\x1f\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$', '', 'g')) > 3500
-""",
+    "p2_found": f"select distinct chunk_id from chunks where length({_STRIPPED}) > 3500",
+    "p2_rejoined": f"select distinct chunk_id, true as short, true as overlap, md5({_STRIPPED}) as md5 from chunks where text is not null",
 }
