@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import raw_tokens, stemmed
-from ..session import cut
+from ..session import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, TOP_K, RRF_K = 20, 10, 60
@@ -32,13 +32,14 @@ class Bm25:
     """
 
     def __init__(self, corpus: DataFrame, key: str, text: str):
-        texts = corpus.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull()).distinct()
-        words = texts.select("doc", F.coalesce(raw_tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+        texts = corpus.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
+        # one shuffle by document: removing repeated rows, counting tokens and counting terms all keep to it
+        words = texts.repartition("doc").distinct().select("doc", F.coalesce(raw_tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
         rows = words.select("doc", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("raw"))
-        counted = cut(rows.groupBy("doc", "length", "raw").agg(F.count("*").alias("tf")))
-        forms = vocabulary(counted.where("raw is not null"))
+        counted = rows.groupBy("doc", "length", "raw").agg(F.count("*").alias("tf"))
+        tokens = spread(texts).select(F.explode(raw_tokens(F.col("text"))).alias("raw"))
         # the index is written once: every statistic and every search reads it and none tokenizes the corpus again
-        self.index = cut(counted.join(forms, "raw", "left").groupBy("doc", "length", "term").agg(F.sum("tf").alias("tf")))
+        self.index = cut(counted.join(cut(vocabulary(tokens)), "raw", "left").groupBy("doc", "length", "term").agg(F.sum("tf").alias("tf")))
         self.postings = self.index.where("term is not null")
         self.terms = cut(self.index.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")))
         self._numbers: tuple[float, float, float] | None = None
