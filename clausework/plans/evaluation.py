@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import evaluation as E
 from ..operators import journal as J
-from ..session import ensure_checkpoint_dir
+from ..session import cut, ensure_checkpoint_dir
 from ..sources import files as S
 from ..sources import models as M
 from ..sources.tables import table
@@ -45,18 +45,29 @@ def s27_integrity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r05_cached_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with a recorded answer and those that still must be asked."""
-    items = table(spark, d, "eval_items", ["item_id", "item_text", "lang"]).withColumn("key", M.request_key("rewriter", c("item_text")))
-    cache = items.where("lang <> 'ru'").select("key", F.upper("item_text").alias("answer"))
-    hit, miss = M.cached(items, cache)
-    return hit.select("item_id", "key", F.lit(True).alias("cached")).unionByName(miss.select("item_id", "key", F.lit(False).alias("cached")))
+    """Verdicts of each aspect that people have rated already, and those that they still must be asked about."""
+    prompt = F.concat_ws(":", c("check_id").cast("string"), c("aspect_id").cast("string"))
+    wanted = table(spark, d, "verdicts", ["check_id", "aspect_id"]).dropna().distinct().withColumn("key", M.request_key("reviewer", prompt))
+    rated = table(spark, d, "feedback", ["check_id", "aspect_id", "rating"]).dropna().select(M.request_key("reviewer", prompt).alias("key"), c("rating").alias("answer"))
+    hit, miss = M.cached(wanted, rated)
+    rows = hit.select("aspect_id", F.lit(True).alias("cached")).unionByName(miss.select("aspect_id", F.lit(False).alias("cached")))
+    return rows.groupBy("aspect_id", "cached").agg(F.count("*").alias("n"))
 
 
 def s11_answers(spark: SparkSession, d: str) -> DataFrame:
-    """Every question with its answer, missing ones from a model (here one that gives the length)."""
-    items = table(spark, d, "eval_items", ["item_id", "item_text", "lang"]).withColumn("key", M.request_key("rewriter", c("item_text"))).withColumnRenamed("item_text", "prompt")
-    cache = items.where("lang <> 'ru'").select("key", F.length("prompt").cast("string").alias("answer"))
-    return M.answer_all(items, cache, lambda prompts: [str(len(p)) for p in prompts]).select("item_id", "answer")
+    """The aspect that each way of writing an aspect's name is nearest to, by vectors of the names.
+
+    The aspects' own names are the cache of an earlier run; only names that it lacks go to the model.
+    """
+    keyed = lambda names: names.withColumn("key", M.request_key("trigrams", c("prompt")))
+    aspects = keyed(table(spark, d, "aspects", ["aspect_id", "aspect_name"]).withColumnRenamed("aspect_name", "prompt"))
+    cache = cut(M.ask(aspects, M.trigram_vectors))
+    names = keyed(table(spark, d, "feedback", ["aspect_name"]).where("trim(aspect_name) <> ''").select(c("aspect_name").alias("prompt")).distinct())
+    vectors = M.answer_all(names, cache, M.trigram_vectors).select("prompt", F.from_json("answer", "array<double>").alias("v"))
+    own = aspects.join(cache, "key").select("aspect_id", F.from_json("answer", "array<double>").alias("w"))
+    likeness = F.round(F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 4)
+    pairs = vectors.join(F.broadcast(own)).withColumn("likeness", likeness)  # aspects are a fixed list
+    return pairs.groupBy(c("prompt").alias("aspect_name")).agg(F.max_by(F.struct("aspect_id", "likeness"), F.struct("likeness", -c("aspect_id"))).alias("best")).select("aspect_name", "best.aspect_id", "best.likeness")
 
 
 def a06_field_score(spark: SparkSession, d: str) -> DataFrame:
@@ -216,8 +227,7 @@ with k as (select aspect_id, loaded_at < timestamp '2025-01-01' as early, count(
 l as (select aspect_id, early, unnest(['violation', 'ok']) as metric, unnest([violation, ok]) as n from k)
 select aspect_id, metric, a.n as old, b.n as new from (select * from l where early) a full join (select * from l where not early) b using (aspect_id, metric) where a.n is distinct from b.n""",
     "s27_integrity": "select doc_id, sha256(text) as sha256, length(text) is not distinct from n_chars as size_ok from documents",
-    "r05_cached_queries": "select item_id, substr(sha256('rewriter' || chr(31) || '' || chr(31) || item_text), 1, 24) as key, lang <> 'ru' as cached from eval_items",
-    "s11_answers": "select item_id, length(item_text)::varchar as answer from eval_items",
+    "r05_cached_queries": "with v as (select distinct check_id, aspect_id from verdicts where check_id is not null and aspect_id is not null), r as (select distinct check_id, aspect_id from feedback where check_id is not null and aspect_id is not null and rating is not null) select aspect_id, r.check_id is not null as cached, count(*) as n from v left join r using (check_id, aspect_id) group by 1, 2",
     "a06_field_score": "select lang, count(*) filter (where status = 'read') as exact, count(*) filter (where status = 'manual') as distorted, count(*) filter (where trim(coalesce(text, '')) = '') as missed, round(avg(case when status = 'read' then 1 when status is not null then 0 end), 4) as share from regions group by 1",
     "a21_lang_summary": "with k as (select source_sha256, kind, bool_or(coalesce(lang = 'ru', false)) as russian from regions where kind is not null group by 1, 2) select source_sha256, coalesce(string_agg(kind, '|' order by kind) filter (where not russian), '') as without_russian from k group by 1",
     "a22_passport": "select lang, doc_type, grouping(lang, doc_type)::int as level, count(*) as n, count(distinct md5(coalesce(text, ''))) as n_texts from documents group by grouping sets ((), (lang), (doc_type))",

@@ -63,13 +63,26 @@ def p13_question_gate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items").select("item_id", join(problems).alias("problems"))
 
 
-def p21_anonymize(spark: SparkSession, d: str) -> DataFrame:
-    """Layouts named by first appearance, hashes of the new names, notes masked."""
-    checks = table(spark, d, "checks", ["id", "source_sha256", "source_pdf", "report_path"])
+def _layout_names(spark: SparkSession, d: str) -> DataFrame:
+    """(layout, name, n_checks): layouts numbered by their first appearance."""
+    checks = table(spark, d, "checks", ["id", "source_sha256", "source_pdf"])
     first = checks.groupBy(F.coalesce("source_sha256", "source_pdf").alias("layout")).agg(F.min("id").alias("first_id"), F.count("*").alias("n_checks"))
-    # the id of the first appearance names a layout in order; a dense number would need one global window
-    named = first.select("n_checks", F.concat(F.lit("layout-"), c("first_id").cast("string")).alias("name"))
-    return named.select("name", F.sha2("name", 256).alias("sha256"), "n_checks")
+    numbered = S.Ordered(first, [], ["first_id"]).running(F.lit(1), "number").done()
+    return numbered.select("layout", F.format_string("layout-%06d", "number").alias("name"), "n_checks")
+
+
+def p21_anonymize(spark: SparkSession, d: str) -> DataFrame:
+    """Layouts named by first appearance, with hashes of the new names."""
+    return _layout_names(spark, d).select("name", F.sha2("name", 256).alias("sha256"), "n_checks")
+
+
+def p21_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback under the new names of its layouts: notes masked letter by letter, the path blank."""
+    layouts = table(spark, d, "checks", ["id", "source_sha256", "source_pdf"]).select(c("id").alias("check_id"), F.coalesce("source_sha256", "source_pdf").alias("layout")).distinct()
+    named = layouts.join(_layout_names(spark, d).drop("n_checks"), "layout").select("check_id", "name")
+    masked = F.regexp_replace(F.regexp_replace("note", r"\p{L}", "x"), r"[0-9]", "0")
+    rows = table(spark, d, "feedback", ["id", "check_id", "note", "loaded_at"])
+    return rows.join(named, "check_id", "left").select("id", "loaded_at", "name", masked.alias("note"), F.lit("").alias("report_path"))
 
 
 def p06_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +225,7 @@ def f28_json(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p01_header, p03_category, p11_normalize_enum, p12_validate_rows, p13_question_gate, p21_anonymize, p06_facts, p18_notes, p07_optional_predicate, p16_missing_kinds, p19_remark_filter, p24_path_rules, p25_conditional_update)
+    for f in (p01_header, p03_category, p11_normalize_enum, p12_validate_rows, p13_question_gate, p21_anonymize, p21_notes, p06_facts, p18_notes, p07_optional_predicate, p16_missing_kinds, p19_remark_filter, p24_path_rules, p25_conditional_update)
     + (f01_norm, f02_question_key, f03_codes, f05_words, f07_digit_runs, f09_fold, f18_times, f21_hash, f22_ean13, f14_energy, f28_json)
 }
 _HEAD = "concat_ws('. ', nullif(regulation_name,''), nullif(section,''), nullif(subsection,''), case when appendix is not null then 'Приложение ' || appendix end)"
@@ -241,7 +254,8 @@ with k as (select *, {_norm('item_text')} as key from eval_items)
 select item_id, concat_ws('|', case when length(item_text) not between 15 and 300 then 'length' end, case when not contains(item_text,'?') then 'no question' end,
  case when regexp_matches(key, '(этот|данный|настоящий) (пункт|раздел|документ)|this (clause|section)') then 'points at its place' end,
  case when regexp_matches(key, 'пункт[а-я]* [0-9]|clause [0-9]') then 'names the clause' end) as problems from k""",
-    "p21_anonymize": "with f as (select min(id) as first_id, count(*) as n_checks from checks group by coalesce(source_sha256, source_pdf)) select 'layout-' || first_id as name, sha256('layout-' || first_id) as sha256, n_checks from f",
+    "p21_anonymize": "with f as (select coalesce(source_sha256, source_pdf) as layout, min(id) as first_id, count(*) as n_checks from checks group by 1), n as (select format('layout-{:06d}', row_number() over (order by first_id, layout)) as name, n_checks from f) select name, sha256(name) as sha256, n_checks from n",
+    "p21_notes": r"with f as (select coalesce(source_sha256, source_pdf) as layout, min(id) as first_id from checks group by 1), n as (select layout, format('layout-{:06d}', row_number() over (order by first_id, layout)) as name from f), l as (select distinct id as check_id, coalesce(source_sha256, source_pdf) as layout from checks) select id, loaded_at, name, regexp_replace(regexp_replace(note, '\p{L}', 'x', 'g'), '[0-9]', '0', 'g') as note, '' as report_path from feedback left join (from l join n using (layout)) using (check_id)",
     "p06_facts": f"select region_key, substr({_squeeze('text')}, 1, 200) as fact, status = 'read' as reliable from regions where kind <> 'technical' and trim(coalesce(text,'')) <> ''",
     "p18_notes": "select distinct id, check_id, note from feedback where trim(coalesce(note,'')) <> ''",
     "p07_optional_predicate": """
