@@ -34,7 +34,7 @@ SPELLINGS = {
     "es": "es spa spanish español espanol castellano",
 }
 #: Labelled documents of each language on which the word model is fitted, at most (in expectation).
-SAMPLE_DOCS = 600
+SAMPLE_DOCS = 1500
 #: Sources whose priors go to all tasks; more of them are joined on (source, salt), in so many ways.
 MOST_SOURCES, SALTS = 50_000, 16
 #: Weight, in words, of the character model in the word model; in documents, of the wider prior in a source's.
