@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, TOP_K, RRF_K = 20, 10, 60
 #: Queries and vectors of one matrix product.
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 65536
+#: Postings of the queries' terms beyond which queries and documents meet in blocks; queries and documents of such a block.
+MANY, ASKED_BLOCK, DOC_BLOCK = 20_000_000, 32768, 32768
+#: Rows and columns of one matrix of scores, and the share of its pairs from which on a term is a column of the product.
+SCORE_ROWS, SCORE_COLUMNS, DENSE = 512, 4096, 1 / 300
 
 
 def vocabulary(terms: DataFrame) -> DataFrame:
@@ -66,12 +71,15 @@ class Bm25:
         out of the same pass; repeated tokens of a query count each time. ``allowed``: ``query``, ``doc`` pairs or
         only ``doc``; None allows all, an empty frame none. Scores that are not above 0 do not come out; ties go to
         the smaller document key. The postings are cut to the queries' terms before they are joined, and the scores
-        are summed map-side.
+        are summed map-side; where the terms have more than ``MANY`` postings in all, see :meth:`_in_blocks`.
         """
         _, mean_length, _ = self.numbers()
         keys = [c for c in ("query", "variant") if c in queries.columns]
         raw = queries.select(*keys, F.explode(raw_tokens(F.col("text"))).alias("raw"))
-        asked = raw.join(vocabulary(raw), "raw").groupBy(*keys, "term").agg(F.count("*").alias("times"))
+        asked = cut(raw.join(vocabulary(raw), "raw").groupBy(*keys, "term").agg(F.count("*").alias("times")))
+        if allowed is None or "query" not in allowed.columns:
+            if (asked.join(self.terms, "term").agg(F.sum("df")).first()[0] or 0) > MANY:
+                return top_k(self._in_blocks(asked, keys, k or CANDIDATES, allowed), k or CANDIDATES, keys)
         hits = self.postings.join(asked.join(self.idf(), "term"), "term")
         if allowed is not None:
             hits = hits.join(allowed, [c for c in ("query", "doc") if c in allowed.columns], "left_semi")
@@ -80,6 +88,36 @@ class Bm25:
         scores = hits.groupBy(*keys, "doc").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
         return top_k(scores, k or CANDIDATES, keys)
 
+    def _in_blocks(self, asked: DataFrame, keys: list[str], k: int, allowed: DataFrame | None) -> DataFrame:
+        """(keys, doc, score) of the best ``k`` documents of each block of documents, for many queries.
+
+        No row for each query, term and document: blocks of queries meet blocks of documents, each pair in a task of
+        its own that adds up a matrix of scores and keeps the best. All documents are scored.
+        """
+        n, mean_length, _ = self.numbers()
+        # numbers of the terms for the tasks, written once since both sides must agree on them
+        terms = cut(asked.select("term").distinct().join(self.idf(), "term").withColumn("id", F.monotonically_increasing_id()))
+        lists = lambda rows, by, value: rows.groupBy(*by).agg(F.collect_list(F.struct("id", value)).alias("all")).select(*by, F.col("all.id").alias("ids"), F.col(f"all.{value}").alias("values"))
+        name = F.struct(*keys).alias("query") if len(keys) > 1 else F.col("query")
+        weights = asked.join(terms, "term").select(name, "id", (F.col("times") * F.col("idf")).alias("weight"))
+        queries = cut(lists(weights, ["query"], "weight"))
+        postings = self.postings.join(terms.select("term", "id"), "term").select("doc", "length", "id", F.col("tf").cast("int").alias("tf"))
+        if allowed is not None:
+            postings = postings.join(allowed, "doc", "left_semi")
+        across = max(1, -(-queries.count() // ASKED_BLOCK))
+        down = max(1, -(-int(n) // DOC_BLOCK), min(4 * asked.sparkSession.sparkContext.defaultParallelism, int(n) // 1024))
+        left = lists(postings, ["doc", "length"], "tf").withColumn("down", F.pmod(F.xxhash64("doc"), F.lit(down)).cast("int")).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        right = queries.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
+
+        def best(docs: pa.Table, asked: pa.Table) -> pa.Table:
+            docs = docs.sort_by("doc")  # ties go to the smaller key
+            at_query, at_doc, scores = _bm25_of_blocks(docs, asked, k, mean_length)
+            return _named(asked["query"], docs["doc"], at_query, at_doc, scores)
+
+        kinds = dict(queries.dtypes)["query"], dict(self.index.dtypes)["doc"]
+        found = left.groupBy("down", "across").cogroup(right.groupBy("down", "across")).applyInArrow(best, f"query {kinds[0]}, doc {kinds[1]}, score double").where("score > 0")
+        return found.select(*(F.col(f"query.{c}").alias(c) if len(keys) > 1 else F.col(c) for c in keys), "doc", "score")
+
     def vectors(self, dims: int = 64) -> DataFrame:
         """(doc, embedding): the tf-idf weights of each document's terms hashed into ``dims`` signed buckets.
 
@@ -110,6 +148,108 @@ def hashed_vectors(weights: DataFrame, key: str, dims: int) -> DataFrame:
     return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("values", i), F.lit(0.0))).alias("embedding"))
 
 
+def _named(names: pa.ChunkedArray, docs: pa.ChunkedArray, at_query: np.ndarray, at_doc: np.ndarray, scores: np.ndarray) -> pa.Table:
+    """(query, doc, score) of scores by the places of their query and document."""
+    if pa.types.is_struct(names.type):
+        names = names.cast(pa.struct([f.with_nullable(True) for f in names.type]))
+    return pa.table([names.take(pa.array(at_query)), docs.take(pa.array(at_doc)), pa.array(scores, pa.float64())], names=["query", "doc", "score"])
+
+
+class _Best:
+    """The best ``k`` of each row of matrices of scores that come one after the other, rounded; ties to the earlier column."""
+
+    def __init__(self, rows: int, k: int, least: float):
+        self.k, self.bar, self.some = k, np.full(rows, least), False
+        self.row, self.column, self.score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+
+    def add(self, scores: np.ndarray, first: int) -> None:
+        n, slack = scores.shape[1], 1.1e-6  # two scores that differ by more stay apart when rounded
+        if not self.some and n >= self.k:
+            self.bar = np.maximum(self.bar, np.partition(scores, n - self.k, axis=1)[:, n - self.k] - slack)
+        self.some = True
+        at = np.flatnonzero(scores >= self.bar[:, None])
+        if not len(at):
+            return
+        row, column, score = np.append(self.row, at // n), np.append(self.column, first + at % n), np.append(self.score, np.round(scores.ravel()[at], 6))
+        order = np.lexsort((column, -score, row))
+        row, column, score = row[order], column[order], score[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        last = rank == self.k - 1
+        self.bar[row[last]] = np.maximum(self.bar[row[last]], score[last] - slack)
+        kept = rank < self.k
+        self.row, self.column, self.score = row[kept], column[kept], score[kept]
+
+
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each value, and the values."""
+    one = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
+    return np.repeat(np.arange(len(one)), pc.list_value_length(one).to_numpy(zero_copy_only=False)), one.flatten().to_numpy(zero_copy_only=False)
+
+
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... (``count`` of them), one range after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _bm25_of_blocks(docs: pa.Table, asked: pa.Table, k: int, mean_length: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the document, score) of the best ``k`` for each query.
+
+    Terms that many queries of a matrix share with many documents are a matrix product, all others are added posting
+    by posting; queries with like terms lie together, so that few terms are columns of one product.
+    """
+    d_row, d_id = _flat(docs["ids"])
+    q_row, q_id = _flat(asked["ids"])
+    weight, tf = _flat(asked["values"])[1], _flat(docs["values"])[1].astype(np.float64)
+    terms = np.unique(q_id)
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    if not len(terms) or not len(d_id):
+        return out[0]
+    d_term, q_term = np.minimum(np.searchsorted(terms, d_id), len(terms) - 1), np.searchsorted(terms, q_id)
+    value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * docs["length"].to_numpy()[d_row] / mean_length))
+    known = terms[d_term] == d_id
+    d_row, d_term, value = d_row[known], d_term[known], value[known]
+
+    met = np.bincount(q_term, minlength=len(terms)) * np.bincount(d_term, minlength=len(terms))
+    bit = np.full(len(terms), 64)
+    bit[np.argsort(-met, kind="stable")[:64]] = np.arange(min(64, len(terms)))
+    look = np.zeros((asked.num_rows, 65), bool)
+    look[q_row, bit[q_term]] = True
+    order = np.argsort(np.packbits(look[:, :64], axis=1).view(">u8").ravel(), kind="stable")
+    place = np.empty(len(order), int)
+    place[order] = np.arange(len(order))
+    by_place = np.argsort(place[q_row], kind="stable")
+    q_row, q_term, weight = place[q_row][by_place], q_term[by_place], weight[by_place]
+
+    slices = []
+    for first in range(0, docs.num_rows, SCORE_COLUMNS):
+        lo, hi = np.searchsorted(d_row, (first, first + SCORE_COLUMNS))
+        by_term = lo + np.argsort(d_term[lo:hi], kind="stable")
+        slices.append((first, min(SCORE_COLUMNS, docs.num_rows - first), np.searchsorted(d_term[by_term], np.arange(len(terms) + 1)), d_row[by_term] - first, value[by_term]))
+    for a in range(0, len(order), SCORE_ROWS):
+        rows = min(SCORE_ROWS, len(order) - a)
+        lo, hi = np.searchsorted(q_row, (a, a + rows))
+        row, by = q_row[lo:hi] - a, weight[lo:hi]
+        used, at, times = np.unique(q_term[lo:hi], return_inverse=True, return_counts=True)
+        best = _Best(rows, k, 4e-7)  # less is 0 when rounded
+        for first, columns, start, column, worth in slices:
+            held = start[used + 1] - start[used]
+            dense = held * times > rows * columns * DENSE
+            number = np.cumsum(dense) - 1
+            product = np.zeros((rows, dense.sum()))
+            many = dense[at]
+            product[row[many], number[at[many]]] = by[many]
+            matrix = np.zeros((dense.sum(), columns))
+            found = _ranges(start[used[dense]], held[dense])
+            matrix[np.repeat(np.arange(len(matrix)), held[dense]), column[found]] = worth[found]
+            scores = product @ matrix
+            few = ~many
+            found, count = _ranges(start[used[at[few]]], held[at[few]]), held[at[few]]
+            np.add.at(scores.ravel(), np.repeat(row[few] * columns, count) + column[found], np.repeat(by[few], count) * worth[found])
+            best.add(scores, first)
+        out.append((order[a + best.row], best.column, best.score))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def top_k(scores: DataFrame, k: int, keys: list[str] | None = None) -> DataFrame:
     """The best ``k`` of each query with their rank from 1; Spark cuts each partition to k before the shuffle."""
     order = Window.partitionBy(*(keys or ["query"])).orderBy(F.desc("score"), "doc")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import search as S
+from ..session import cut
 from ..sources.tables import table
 
 c = F.col
@@ -92,12 +93,13 @@ def r08_hybrid_rewritten(spark: SparkSession, d: str) -> DataFrame:
 
 def _known_items(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Last sentences of every twentieth chunk as questions, and the address that each chunk answers for (body clauses only)."""
-    chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "section", "subsection", "clause", "appendix", "is_table", "text"]).distinct()
+    chunks = table(spark, d, "chunks", ["chunk_id", "regulation_id", "section", "subsection", "clause", "appendix", "is_table", "text"])
     body = ~c("is_table") & c("clause").isNotNull() & c("appendix").isNull()
     parts = [F.coalesce(c(x), F.lit("<none>")) for x in ("regulation_id", "section", "subsection", "clause")]
     addresses = chunks.select(c("chunk_id").alias("doc"), F.when(body, F.concat_ws("|", *parts)).alias("address")).distinct()
     position = F.regexp_extract("chunk_id", r"(\d+)$", 1).try_cast("bigint")
-    return chunks.where(position % 20 == 0).select(c("chunk_id").alias("query"), T.tail_sentence(c("text")).alias("text")), addresses
+    known = chunks.where(position % 20 == 0).distinct().select(c("chunk_id").alias("query"), T.tail_sentence(c("text")).alias("text"))
+    return cut(known), addresses
 
 
 def r11_hits(spark: SparkSession, d: str) -> DataFrame:

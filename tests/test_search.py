@@ -117,3 +117,30 @@ def test_cosine_in_blocks(spark, monkeypatch):
     for i in range(0, 90, 3):
         want = sorted(range(90), key=lambda d: (-cos[i, d], d))[:4]
         assert [got[i, r] for r in range(1, 5)] == want
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
+    random.seed(8)
+    vocabulary = [f"w{i}" for i in range(60)] + ["the"] * 40 + ["of"] * 20
+    docs = {f"d{i:03d}": random.choices(vocabulary, k=random.randint(1, 30)) for i in range(150)}
+    docs |= {f"c{i:02d}": docs["d007"] for i in range(20)}  # ties
+    corpus = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()] + [("e", None)], "id string, text string")
+    asked = {i: random.choices([*vocabulary, "unknown"], k=random.randint(1, 9)) for i in range(40)} | {40: docs["d007"], 41: ["unknown"]}
+    queries = spark.createDataFrame([(i, " ".join(w)) for i, w in asked.items()] + [(42, None)], "query int, text string")
+    docs["e"] = []
+    index = S.Bm25(corpus, "id", "text")
+    joined = index.search(queries, 5)
+    for name, value in (("MANY", 0), ("ASKED_BLOCK", 17), ("DOC_BLOCK", 50), ("SCORE_ROWS", 6), ("SCORE_COLUMNS", 16), ("DENSE", 0.1)):
+        monkeypatch.setattr(S, name, value)
+    found = index.search(queries, 5)
+    # no row for each query, term and document: 2.8 billion for r11_hits over 90,000 chunks
+    assert "CoGroup" in found._jdf.queryExecution().toString() and "CoGroup" not in joined._jdf.queryExecution().toString()
+    got = {}
+    for r in found.orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.doc, r.score))
+    assert got == {q: want for q, w in asked.items() if (want := brute_bm25(docs, w)[:5])}
+    only = spark.createDataFrame([("d003",), ("e",)], "doc string")
+    assert {r.doc for r in index.search(queries, 5, allowed=only).collect()} == {"d003"}
+    assert index.search(queries, 5, allowed=only.limit(0)).count() == 0
+    several = queries.withColumn("variant", F.col("query") % 2).withColumn("query", F.col("query").cast("string"))
+    assert {(int(r.query), r.doc, r.score) for r in index.search(several, 5).collect()} == {(q, d, x) for q, found in got.items() for d, x in found}
