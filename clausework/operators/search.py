@@ -16,7 +16,7 @@ from ..session import cut, spread
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, TOP_K, RRF_K = 20, 10, 60
 #: Queries and vectors of one matrix product.
-QUERY_BLOCK, VECTOR_BLOCK = 4096, 65536
+QUERY_BLOCK, VECTOR_BLOCK = 32768, 65536
 #: Postings of the queries' terms beyond which queries and documents meet in blocks; queries and documents of such a block.
 MANY, ASKED_BLOCK, DOC_BLOCK = 20_000_000, 32768, 32768
 #: Rows and columns of one matrix of scores, and the share of its pairs from which on a term is a column of the product.
@@ -123,7 +123,7 @@ class Bm25:
 
         A vector for documents where no model is at hand; any frame of ``doc`` and ``embedding`` can stand for it.
         """
-        return hashed_vectors(self.postings.join(self.idf(), "term"), "doc", dims)
+        return hashed_vectors(self.postings, self.idf(), "doc", dims)
 
     def query_vectors(self, queries: DataFrame, dims: int = 64) -> DataFrame:
         """(query, embedding), with ``variant`` where there is one, by the same weights."""
@@ -131,18 +131,19 @@ class Bm25:
         raw = queries.select(*keys, F.explode(raw_tokens(F.col("text"))).alias("raw"))
         asked = raw.join(vocabulary(raw), "raw").groupBy(*keys, "term").agg(F.count("*").alias("tf"))
         named = asked.select(F.struct(*keys).alias("query") if len(keys) > 1 else F.col("query"), "term", "tf")
-        return hashed_vectors(named.join(self.idf(), "term"), "query", dims)
+        return hashed_vectors(named, self.idf(), "query", dims)
 
 
 def _raw_idf(n: float) -> Column:
     return F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
 
-def hashed_vectors(weights: DataFrame, key: str, dims: int) -> DataFrame:
-    """(key, embedding) of rows (key, term, tf, idf): bucket and sign of a term by its MD5; summed map-side."""
+def hashed_vectors(counts: DataFrame, idf: DataFrame, key: str, dims: int) -> DataFrame:
+    """(key, embedding) of rows (key, term, tf) and (term, idf): bucket and sign of a term by its MD5, once a term; summed map-side."""
     digest = F.md5(F.col("term").cast("binary"))
     byte = lambda at: F.conv(F.substring(digest, at, 2), 16, 10).cast("int")
-    parts = weights.select(key, (byte(1) % dims).alias("bucket"), (F.when(byte(3) % 2 == 0, 1.0).otherwise(-1.0) * F.col("tf") * F.col("idf")).alias("part"))
+    hashed = idf.select("term", (byte(1) % dims).alias("bucket"), (F.when(byte(3) % 2 == 0, 1.0).otherwise(-1.0) * F.col("idf")).alias("weight"))
+    parts = counts.join(hashed, "term").select(key, "bucket", (F.col("tf") * F.col("weight")).alias("part"))
     buckets = parts.groupBy(key, "bucket").agg(F.sum("part").alias("value"))
     found = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "value"))).alias("values"))  # dims entries at most
     return found.select(key, F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("values", i), F.lit(0.0))).alias("embedding"))
@@ -156,17 +157,19 @@ def _named(names: pa.ChunkedArray, docs: pa.ChunkedArray, at_query: np.ndarray,
 
 
 class _Best:
-    """The best ``k`` of each row of matrices of scores that come one after the other, rounded; ties to the earlier column."""
+    """The best ``k`` of each row of matrices of scores that come one after the other, rounded.
 
-    def __init__(self, rows: int, k: int, least: float):
-        self.k, self.bar, self.some = k, np.full(rows, least), False
+    Ties go to the earlier column; with ``ties`` all that reach the k-th best are kept.
+    """
+
+    def __init__(self, rows: int, k: int, least: float, ties: bool = False):
+        self.k, self.bar, self.some, self.ties = k, np.full(rows, least), False, ties
         self.row, self.column, self.score = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
 
     def add(self, scores: np.ndarray, first: int) -> None:
         n, slack = scores.shape[1], 1.1e-6  # two scores that differ by more stay apart when rounded
         if not self.some and n >= self.k:
-            self.bar = np.maximum(self.bar, np.partition(scores, n - self.k, axis=1)[:, n - self.k] - slack)
-        self.some = True
+            self.bar, self.some = np.maximum(self.bar, np.partition(scores, n - self.k, axis=1)[:, n - self.k] - slack), True
         at = np.flatnonzero(scores >= self.bar[:, None])
         if not len(at):
             return
@@ -176,7 +179,9 @@ class _Best:
         rank = np.arange(len(row)) - np.searchsorted(row, row)
         last = rank == self.k - 1
         self.bar[row[last]] = np.maximum(self.bar[row[last]], score[last] - slack)
-        kept = rank < self.k
+        reached = np.full(len(self.bar), -np.inf)
+        reached[row[last]] = score[last]
+        kept = score >= reached[row] if self.ties else rank < self.k
         self.row, self.column, self.score = row[kept], column[kept], score[kept]
 
 
@@ -274,29 +279,8 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, skip_se
     right = asked.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(down - 1).cast("bigint"))))
 
     def best(docs: pa.Table, asked: pa.Table) -> pa.Table:
-        matrix = _rows_of(asked["embedding"])
-        norm = np.linalg.norm(matrix, axis=1) if len(matrix) else np.zeros(0)
-        seen = np.flatnonzero(norm > 0)
-        at_query, at_doc, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
-        for a in range(0, docs.num_rows, 2048) if len(seen) else ():
-            part = _rows_of(docs["embedding"].slice(a, 2048))
-            length = np.linalg.norm(part, axis=1)
-            full = np.flatnonzero(length > 0)
-            value = np.round(matrix[seen] @ part[full].T / norm[seen, None] / length[None, full], 6)
-            if not value.size:
-                continue
-            # all that reach the k-th best, so that ties are decided by the keys
-            most = min(k + skip_self, value.shape[1])
-            bar = np.partition(value, value.shape[1] - most, axis=1)[:, value.shape[1] - most]
-            q, d = np.nonzero(value >= bar[:, None])
-            at_query.append(seen[q])
-            at_doc.append(a + full[d])
-            scores.append(value[q, d])
-        names = asked["query"]
-        if pa.types.is_struct(names.type):
-            names = names.cast(pa.struct([f.with_nullable(True) for f in names.type]))
-        taken = names.take(pa.array(np.concatenate(at_query))), docs["doc"].take(pa.array(np.concatenate(at_doc)))
-        return pa.table([*taken, pa.array(np.concatenate(scores), pa.float64())], names=["query", "doc", "score"])
+        at_query, at_doc, scores = _cosine_of_blocks(docs, asked, k + skip_self)
+        return _named(asked["query"], docs["doc"], at_query, at_doc, scores)
 
     kinds = dict(asked.dtypes)["query"], dict(found.dtypes)["doc"]
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)  # sides of one table are told apart
@@ -306,6 +290,32 @@ def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, skip_se
     return top_k(scores, k)
 
 
+def _cosine_of_blocks(docs: pa.Table, asked: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query, place of the document, score) of the best ``k`` for each query, and of all with the score of the last."""
+    matrix, seen = _units(_rows_of(asked["embedding"]))
+    slices = []
+    for first in range(0, docs.num_rows if len(seen) else 0, SCORE_COLUMNS):
+        part, full = _units(_rows_of(docs["embedding"].slice(first, SCORE_COLUMNS)))
+        if len(full):
+            slices.append((part.T, first + full))
+    out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+    places = np.concatenate([at for _, at in slices]) if slices else None
+    for a in range(0, len(seen) if slices else 0, SCORE_ROWS):
+        best, first = _Best(len(matrix[a : a + SCORE_ROWS]), k, -np.inf, ties=True), 0
+        for part, at in slices:
+            best.add(matrix[a : a + SCORE_ROWS] @ part, first)
+            first += len(at)
+        out.append((seen[a + best.row], places[best.column], best.score))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _units(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a length above 0, at length 1, and their places."""
+    length = np.linalg.norm(rows, axis=1) if len(rows) else np.zeros(0)
+    full = np.flatnonzero(length > 0)
+    return rows[full] / length[full, None], full
+
+
 def _rows_of(vectors: pa.ChunkedArray) -> np.ndarray:
     """The vectors as the rows of a matrix."""
     flat = vectors.combine_chunks() if vectors.num_chunks != 1 else vectors.chunk(0)

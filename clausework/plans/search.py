@@ -114,8 +114,11 @@ def r13_methods(spark: SparkSession, d: str) -> DataFrame:
     """Rank of the chunk that a question was made of, by each method side by side."""
     queries, _ = _known_items(spark, d)
     index = _index(spark, d)
-    vectors = index.vectors()
-    lists = [S.run_search(m, index, queries, vectors).select("query", "doc", "rank", F.lit(m).alias("method")) for m in ("bm25", "vector", "hybrid")]
+    # each list is found once, as deep as the fusion needs it; the methods' own lists are its head
+    bm25 = cut(index.search(queries, S.CANDIDATES))
+    vector = cut(S.cosine_top_k(cut(index.query_vectors(queries)), cut(index.vectors()), S.CANDIDATES))
+    found = {"bm25": bm25.where(c("rank") <= S.TOP_K), "vector": vector.where(c("rank") <= S.TOP_K), "hybrid": S.rrf([bm25, vector])}
+    lists = [ranking.select("query", "doc", "rank", F.lit(m).alias("method")) for m, ranking in found.items()]
     own = reduce(DataFrame.unionByName, lists).where("query = doc")
     return queries.select("query").distinct().join(own.groupBy("query").pivot("method", ["bm25", "vector", "hybrid"]).agg(F.min("rank")), "query", "left")
 

@@ -1,11 +1,15 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from clausework.operators import search as S
 
+DATA = Path("/root/testdata/sf0.001")
+
 
 def brute_bm25(docs, query):
     n = len(docs)
@@ -144,3 +148,36 @@ def test_many_queries_in_blocks(spark, monkeypatch):
     assert index.search(queries, 5, allowed=only.limit(0)).count() == 0
     several = queries.withColumn("variant", F.col("query") % 2).withColumn("query", F.col("query").cast("string"))
     assert {(int(r.query), r.doc, r.score) for r in index.search(several, 5).collect()} == {(q, d, x) for q, found in got.items() for d, x in found}
+
+
+def test_best_of_matrices():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    scores = rng.integers(0, 12, (30, 200)) / 4 + rng.choice([0, 4e-7, 6e-7], (30, 200))
+    rounded = np.round(scores, 6)
+    for ties in (False, True):
+        best = S._Best(30, 5, -np.inf, ties)
+        for first, last in ((0, 3), (3, 40), (40, 41), (41, 200)):
+            best.add(scores[:, first:last], first)
+        for i in range(30):
+            want = sorted(range(200), key=lambda d: (-rounded[i, d], d))
+            want = [d for d in want if rounded[i, d] >= rounded[i, want[4]]] if ties else want[:5]
+            assert list(best.column[best.row == i]) == want and list(best.score[best.row == i]) == list(rounded[i, want])
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_methods_side_by_side(spark, monkeypatch):
+    import duckdb
+
+    from clausework.plans import search as plans
+
+    con = duckdb.connect()
+    con.execute(f"create view chunks as select * from read_parquet('{DATA}/chunks.parquet')")
+    want = sorted(con.execute(f"select query, bm25, vector, hybrid from ({plans.SQL['r13_methods']})").fetchall(), key=str)
+    calls, cosine = [], S.cosine_top_k
+    monkeypatch.setattr(S, "cosine_top_k", lambda *a, **b: calls.append(1) or cosine(*a, **b))
+    monkeypatch.setattr(S, "MANY", 0)
+    got = plans.r13_methods(spark, str(DATA)).select("query", "bm25", "vector", "hybrid").collect()
+    assert sorted((tuple(r) for r in got), key=str) == want and want
+    assert len(calls) == 1  # all pairs of questions and vectors meet once, not once for each method that needs their list
