@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -28,9 +29,13 @@ def question_key(text: Column) -> Column:
     return squeeze(F.regexp_replace(norm_text(text), r"[^\p{L}\p{N} ]+", ""))
 
 
+#: Runs of Russian and plain Latin letters and digits, in lower case.
+TOKEN = "[а-яёa-z0-9]+"
+
+
 def raw_tokens(text: Column) -> Column:
     """Runs of Russian and plain Latin letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[а-яёa-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def one_alphabet(token: Column) -> Column:
@@ -62,6 +67,9 @@ _FAR = re.compile(f".*?[{VOWELS}][^{VOWELS}].*?[{VOWELS}][^{VOWELS}]")
 _GERUND, _REFLEXIVE, _ADJECTIVE, _PARTICIPLE, _VERB, _NOUN = (re.compile(_ending(*([g] if isinstance(g, str) else g))) for g in (GERUND, REFLEXIVE, ADJECTIVE, PARTICIPLE, VERB, NOUN))
 
 
+_CODE = re.compile("^e([0-9]+)$")
+
+
 def stem(word: str) -> str:
     """The word without its Russian ending, by the rules of Snowball; words with digits or Latin letters stay."""
     head = _HEAD.match(word)
@@ -89,6 +97,12 @@ def stem(word: str) -> str:
     return start + first.removesuffix("ь")
 
 
+@functools.lru_cache(maxsize=1 << 18)
+def search_form(token: str) -> str:
+    """A token of ``TOKEN`` as :func:`stemmed` gives it."""
+    return stem((_CODE.sub(r"е\1", token)).replace("ё", "е"))
+
+
 def stemmed(tokens: DataFrame, raw: str, name: str) -> DataFrame:
     """(raw, name): each token in one alphabet and without its Russian ending. Meant for the distinct tokens of a corpus."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -10,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import raw_tokens, stemmed
-from ..session import cut, spread
+from ..functions.text import TOKEN, raw_tokens, search_form, stemmed
+from ..session import cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 CANDIDATES, TOP_K, RRF_K = 20, 10, 60
@@ -19,6 +22,7 @@ CANDIDATES, TOP_K, RRF_K = 20, 10, 60
 QUERY_BLOCK, VECTOR_BLOCK = 32768, 65536
 #: Postings of the queries' terms beyond which queries and documents meet in blocks; queries and documents of such a block.
 MANY, ASKED_BLOCK, DOC_BLOCK = 20_000_000, 32768, 32768
+_TOKEN = re.compile(TOKEN)
 #: Rows and columns of one matrix of scores, and the share of its pairs from which on a term is a column of the product.
 SCORE_ROWS, SCORE_COLUMNS, DENSE = 512, 4096, 1 / 300
 
@@ -28,25 +32,33 @@ def vocabulary(terms: DataFrame) -> DataFrame:
     return stemmed(terms.select("raw").distinct(), "raw", "term")
 
 
+def counted_terms(texts: DataFrame, kind: str) -> DataFrame:
+    """(doc, length, terms, tfs) of rows (doc, text): number of tokens, distinct search forms and their counts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [Counter(map(search_form, _TOKEN.findall(text or ""))) for text in batch["text"].to_pylist()]
+            columns = [pa.array([x.total() for x in found], pa.int32()), pa.array([[*x] for x in found], pa.list_(pa.string())), pa.array([[*x.values()] for x in found], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["doc"], *columns], ["doc", "length", "terms", "tfs"])
+
+    return texts.select("doc", F.lower("text").alias("text")).mapInArrow(run, f"doc {kind}, length int, terms array<string>, tfs array<int>")
+
+
 class Bm25:
     """Postings and statistics of a corpus. Statistics always cover the whole corpus, whatever a search filters.
 
-    Repeated rows of one key and text count once. A document is one row without a term beside its postings, so that
-    one aggregate by term gives the documents of each term and, at no term, their number and length. Tokens are
-    counted as written first; only the distinct ones are brought to their search form.
+    Repeated rows of one key and text count once. The index has one row a document, with its distinct terms and their
+    counts; a worker brings each token to its search form once. One aggregate by term gives the documents of each term
+    and, at no term, their number and length.
     """
 
     def __init__(self, corpus: DataFrame, key: str, text: str):
         texts = corpus.select(F.col(key).alias("doc"), F.col(text).alias("text")).where(F.col("doc").isNotNull())
-        # one shuffle by document: removing repeated rows, counting tokens and counting terms all keep to it
-        words = texts.repartition("doc").distinct().select("doc", F.coalesce(raw_tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
-        rows = words.select("doc", F.size("words").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "words")).alias("raw"))
-        counted = rows.groupBy("doc", "length", "raw").agg(F.count("*").alias("tf"))
-        tokens = spread(texts).select(F.explode(raw_tokens(F.col("text"))).alias("raw"))
         # the index is written once: every statistic and every search reads it and none tokenizes the corpus again
-        self.index = cut(counted.join(cut(vocabulary(tokens)), "raw", "left").groupBy("doc", "length", "term").agg(F.sum("tf").alias("tf")))
-        self.postings = self.index.where("term is not null")
-        self.terms = cut(self.index.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")))
+        self.index = cut(counted_terms(texts.repartition("doc").distinct(), dict(texts.dtypes)["doc"]))
+        self.postings = self.index.select("doc", "length", F.explode(F.arrays_zip("terms", "tfs")).alias("one")).select("doc", "length", F.col("one.terms").alias("term"), F.col("one.tfs").cast("bigint").alias("tf"))
+        every = self.index.select("length", F.explode(F.concat(F.array(F.lit(None).cast("string")), "terms")).alias("term"))
+        self.terms = cut(every.groupBy("term").agg(F.count("*").alias("df"), F.sum("length").alias("lengths")))
         self._numbers: tuple[float, float, float] | None = None
 
     def numbers(self) -> tuple[float, float, float]:
@@ -95,18 +107,13 @@ class Bm25:
         its own that adds up a matrix of scores and keeps the best. All documents are scored.
         """
         n, mean_length, _ = self.numbers()
-        # numbers of the terms for the tasks, written once since both sides must agree on them
-        terms = cut(asked.select("term").distinct().join(self.idf(), "term").withColumn("id", F.monotonically_increasing_id()))
-        lists = lambda rows, by, value: rows.groupBy(*by).agg(F.collect_list(F.struct("id", value)).alias("all")).select(*by, F.col("all.id").alias("ids"), F.col(f"all.{value}").alias("values"))
         name = F.struct(*keys).alias("query") if len(keys) > 1 else F.col("query")
-        weights = asked.join(terms, "term").select(name, "id", (F.col("times") * F.col("idf")).alias("weight"))
-        queries = cut(lists(weights, ["query"], "weight"))
-        postings = self.postings.join(terms.select("term", "id"), "term").select("doc", "length", "id", F.col("tf").cast("int").alias("tf"))
-        if allowed is not None:
-            postings = postings.join(allowed, "doc", "left_semi")
+        weights = asked.join(self.idf(), "term").select(name, F.struct("term", (F.col("times") * F.col("idf")).alias("weight")).alias("one"))
+        queries = cut(weights.groupBy("query").agg(F.collect_list("one").alias("all")).select("query", F.col("all.term").alias("terms"), F.col("all.weight").alias("weights")))
+        docs = self.index if allowed is None else self.index.join(allowed, "doc", "left_semi")
         across = max(1, -(-queries.count() // ASKED_BLOCK))
         down = max(1, -(-int(n) // DOC_BLOCK), min(4 * asked.sparkSession.sparkContext.defaultParallelism, int(n) // 1024))
-        left = lists(postings, ["doc", "length"], "tf").withColumn("down", F.pmod(F.xxhash64("doc"), F.lit(down)).cast("int")).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
+        left = docs.withColumn("down", F.pmod(F.xxhash64("doc"), F.lit(down)).cast("int")).withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(across - 1))))
         right = queries.withColumn("across", F.pmod(F.xxhash64("query"), F.lit(across)).cast("int")).withColumn("down", F.explode(F.sequence(F.lit(0), F.lit(down - 1))))
 
         def best(docs: pa.Table, asked: pa.Table) -> pa.Table:
@@ -185,10 +192,10 @@ class _Best:
         self.row, self.column, self.score = row[kept], column[kept], score[kept]
 
 
-def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """The row of each value, and the values."""
     one = lists.combine_chunks() if lists.num_chunks != 1 else lists.chunk(0)
-    return np.repeat(np.arange(len(one)), pc.list_value_length(one).to_numpy(zero_copy_only=False)), one.flatten().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(one)), pc.list_value_length(one).to_numpy(zero_copy_only=False)), one.flatten()
 
 
 def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -202,16 +209,17 @@ def _bm25_of_blocks(docs: pa.Table, asked: pa.Table, k: int, mean_length: float)
     Terms that many queries of a matrix share with many documents are a matrix product, all others are added posting
     by posting; queries with like terms lie together, so that few terms are columns of one product.
     """
-    d_row, d_id = _flat(docs["ids"])
-    q_row, q_id = _flat(asked["ids"])
-    weight, tf = _flat(asked["values"])[1], _flat(docs["values"])[1].astype(np.float64)
-    terms = np.unique(q_id)
+    d_row, d_name = _flat(docs["terms"])
+    q_row, q_name = _flat(asked["terms"])
+    weight, tf = _flat(asked["weights"])[1].to_numpy(), _flat(docs["tfs"])[1].to_numpy().astype(np.float64)
+    terms = pc.unique(q_name)
     out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-    if not len(terms) or not len(d_id):
+    if not len(terms) or not len(d_name):
         return out[0]
-    d_term, q_term = np.minimum(np.searchsorted(terms, d_id), len(terms) - 1), np.searchsorted(terms, q_id)
+    q_term = pc.index_in(q_name, value_set=terms).to_numpy()
+    d_term = pc.index_in(d_name, value_set=terms).fill_null(-1).to_numpy()
     value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * docs["length"].to_numpy()[d_row] / mean_length))
-    known = terms[d_term] == d_id
+    known = d_term >= 0
     d_row, d_term, value = d_row[known], d_term[known], value[known]
 
     met = np.bincount(q_term, minlength=len(terms)) * np.bincount(d_term, minlength=len(terms))

@@ -181,3 +181,14 @@ def test_methods_side_by_side(spark, monkeypatch):
     got = plans.r13_methods(spark, str(DATA)).select("query", "bm25", "vector", "hybrid").collect()
     assert sorted((tuple(r) for r in got), key=str) == want and want
     assert len(calls) == 1  # all pairs of questions and vectors meet once, not once for each method that needs their list
+
+
+def test_the_index_has_a_row_a_document(spark):
+    from clausework.functions import text as T
+
+    texts = [(1, "Наклейку E322, наклейки Ёлка ёлка e12a"), (2, None), (3, ""), (1, "Наклейку E322, наклейки Ёлка ёлка e12a")]
+    index = S.Bm25(spark.createDataFrame(texts, "id int, text string"), "id", "text")
+    got = {r.doc: (r.length, dict(zip(r.terms, r.tfs, strict=True))) for r in index.index.collect()}
+    assert got == {1: (6, {"наклейк": 2, "е322": 1, "елк": 2, "e12a": 1}), 2: (0, {}), 3: (0, {})} and index.index.count() == 3
+    raw = spark.createDataFrame([(w,) for w in ("e322", "ёлка", "e12a", "падение", "label")], "raw string")
+    assert all(r.term == T.search_form(r.raw) for r in T.stemmed(raw, "raw", "term").collect())
